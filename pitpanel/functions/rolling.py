@@ -26,6 +26,26 @@ def filled(n: int, probe: Column, value: Column, w: WindowSpec) -> Column:
     return F.when(F.count(probe).over(w) == n, value)
 
 
+def ema_rate(span: int) -> float:
+    return -math.log(1.0 - 2.0 / (span + 1.0))
+
+
+def ema_block(spans: list[int]) -> int:
+    """Rows over which all spans' weights stay far inside double range."""
+    return math.floor(300.0 / max(ema_rate(s) for s in spans))
+
+
+def ema_term(value: Column, pos: Column, span: int) -> Column:
+    """Contribution of one row to the running sum; ``pos`` counts from the start."""
+    start = F.when(pos == 0, F.lit(1.0)).otherwise(F.lit(2.0 / (span + 1.0)))
+    return start * value * F.exp(pos * F.lit(ema_rate(span)))
+
+
+def ema_of(term: Column, pos: Column, span: int, running: WindowSpec) -> Column:
+    """The moving average from its running terms, for at most ``ema_block`` rows."""
+    return F.sum(term).over(running) * F.exp(-pos * F.lit(ema_rate(span)))
+
+
 def with_emas(
     df: DataFrame,
     value: str,
@@ -40,8 +60,8 @@ def with_emas(
     kept relative to the block start; one block back is enough, since older rows
     weigh less than the rounding error (``block * rate >= 39``, e^-39 < 1e-16).
     """
-    rates = {name: -math.log(1.0 - 2.0 / (span + 1.0)) for name, span in spans.items()}
-    block = math.floor(300.0 / max(rates.values()))
+    rates = {name: ema_rate(span) for name, span in spans.items()}
+    block = ema_block(list(spans.values()))
     if block * min(rates.values()) < 39.0:
         for name, span in spans.items():
             df = with_emas(df, value, {name: span}, key, order)

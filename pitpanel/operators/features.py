@@ -2,112 +2,199 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitpanel.functions.ranks import with_average_rank
-from pitpanel.functions.rolling import along, filled, last_rows, with_emas
+from pitpanel.functions.rolling import (
+    along, ema_block, ema_of, ema_term, filled, last_rows, with_emas,
+)
 from pitpanel.functions.scalars import ratio
 from pitpanel.operators.asof import asof_join, asof_on_dates
 from pitpanel.session import dim
 
 P = "adjusted_close"
 HORIZONS = (5, 20, 60, 120)
-EMA_SPANS = {"_ema12": 12, "_ema20": 20, "_ema26": 26}
+EMA_SPANS = [12, 20, 26]
 
 
-def with_ret1(prices: DataFrame) -> DataFrame:
-    """One-row return per ticker; NULL on the first row and around NULL prices."""
-    return prices.withColumn("ret1", ratio(F.col(P), F.lag(P).over(along())) - 1)
+@dataclass
+class Step:
+    """What one feature needs: shifted inputs, row expressions, rolling frames.
 
+    Steps are merged layer by layer, so any set of features costs one window pass
+    for the shifts and one for all frames, in the same partitioning and order.
+    Names starting with an underscore are dropped at the end.
+    """
 
-def market_returns(returns: DataFrame, out: str = "market_ret") -> DataFrame:
-    """Equal-weight mean return per date."""
-    return returns.groupBy("date").agg(F.avg("ret1").alias(out))
+    shifts: dict[str, Column] = field(default_factory=dict)
+    derived: dict[str, Column] = field(default_factory=dict)
+    rolled: dict[str, Column] = field(default_factory=dict)
+    market: bool = False
 
 
-def add_returns(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {f"return_{n}d": ratio(F.col(P), F.lag(P, n).over(along())) - 1 for n in HORIZONS}
+def _price() -> Column:
+    return F.col(P)
+
+
+def _prev() -> dict[str, Column]:
+    return {"_prev": F.lag(P).over(along())}
+
+
+def _ret1() -> dict[str, Column]:
+    return {"ret1": ratio(_price(), F.col("_prev")) - 1}
+
+
+def returns_step() -> Step:
+    return Step(
+        {**_prev(), **{f"_p{n}": F.lag(P, n).over(along()) for n in HORIZONS}},
+        {**_ret1(), **{f"return_{n}d": ratio(_price(), F.col(f"_p{n}")) - 1 for n in HORIZONS}},
     )
 
 
-def add_moving_averages(df: DataFrame) -> DataFrame:
-    w, p = last_rows(20), F.col(P)
-    df = df.withColumn("sma_ratio_20", filled(20, p, ratio(p, F.avg(p).over(w)) - 1, w))
-    df = with_emas(df, P, EMA_SPANS)
-    return df.withColumns(
-        {
-            "ema_ratio_20": ratio(p, F.col("_ema20")) - 1,
-            "macd": F.col("_ema12") - F.col("_ema26"),
-        }
-    ).drop(*EMA_SPANS)
+def sma_step(n: int = 20) -> Step:
+    w, p = last_rows(n), _price()
+    return Step(rolled={f"sma_ratio_{n}": filled(n, p, ratio(p, F.avg(p).over(w)) - 1, w)})
 
 
-def add_rsi(df: DataFrame, n: int = 14) -> DataFrame:
+def rsi_step(n: int = 14) -> Step:
     """Relative strength from plain means; no losses in the frame gives NULL."""
     w, d = last_rows(n), F.col("_d")
-    moved = df.withColumn("_d", F.col(P) - F.lag(P).over(along()))
     gain = F.avg(F.when(d > 0, d).when(d.isNotNull(), 0.0)).over(w)
     loss = F.avg(F.when(d < 0, -d).when(d.isNotNull(), 0.0)).over(w)
     strength = 100 - ratio(F.lit(100.0), 1 + ratio(gain, loss))
-    return moved.withColumn(f"rsi_{n}", filled(n, d, strength, w)).drop("_d")
+    return Step(
+        _prev(), {"_d": _price() - F.col("_prev")}, {f"rsi_{n}": filled(n, d, strength, w)}
+    )
 
 
-def add_atr(df: DataFrame, n: int = 14) -> DataFrame:
+def atr_step(n: int = 14) -> Step:
     """Mean true range over price; gaps are measured to the prior adjusted close."""
-    w, before = last_rows(n), F.lag(P).over(along())
-    tr = F.greatest(
+    w, before, tr = last_rows(n), F.col("_prev"), F.col("_tr")
+    widest = F.greatest(
         F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)
     )
-    ranged = df.withColumn("_tr", tr)
-    mean = filled(n, F.col("_tr"), F.avg("_tr").over(w), w)
-    return ranged.withColumn(f"atr_{n}", ratio(mean, F.col(P))).drop("_tr")
+    mean = filled(n, tr, F.avg(tr).over(w), w)
+    return Step(_prev(), {"_tr": widest}, {f"atr_{n}": ratio(mean, _price())})
 
 
-def add_volatility(df: DataFrame, n: int = 20) -> DataFrame:
+def volatility_step(n: int = 20) -> Step:
     w, r = last_rows(n), F.col("ret1")
-    down = F.when(r < 0, r).otherwise(0.0)
-    return df.withColumns(
-        {
-            f"volatility_{n}d": filled(n, r, F.stddev_samp(r).over(w), w),
-            # a missing return counts as zero here, so this starts one row earlier
-            f"downside_volatility_{n}d": filled(n, F.lit(1), F.stddev_samp(down).over(w), w),
-        }
+    return Step(
+        _prev(), _ret1(), {f"volatility_{n}d": filled(n, r, F.stddev_samp(r).over(w), w)}
     )
 
 
-def add_drawdown(df: DataFrame, n: int = 60) -> DataFrame:
-    w, p = last_rows(n), F.col(P)
-    return df.withColumn(f"drawdown_{n}d", filled(n, p, ratio(p, F.max(p).over(w)) - 1, w))
+def downside_step(n: int = 20) -> Step:
+    """A missing return counts as zero here, so this starts one row earlier."""
+    w, r = last_rows(n), F.col("ret1")
+    down = F.stddev_samp(F.when(r < 0, r).otherwise(0.0)).over(w)
+    return Step(
+        _prev(), _ret1(), {f"downside_volatility_{n}d": filled(n, F.lit(1), down, w)}
+    )
 
 
-def add_liquidity(df: DataFrame, n: int = 20) -> DataFrame:
-    w, v = last_rows(n), F.col("trading_value")
-    return df.withColumn(f"liquidity_{n}d", filled(n, v, F.log1p(F.avg(v).over(w)), w))
+def drawdown_step(n: int = 60) -> Step:
+    w, p = last_rows(n), _price()
+    return Step(rolled={f"drawdown_{n}d": filled(n, p, ratio(p, F.max(p).over(w)) - 1, w)})
 
 
-def add_beta(
-    df: DataFrame, market: DataFrame | None = None, n: int = 60, dates: int | None = None
-) -> DataFrame:
-    """Covariance with the market over the market's variance.
+def liquidity_step(n: int = 20) -> Step:
+    w, v = last_rows(n), F.col("trading_value")
+    return Step(rolled={f"liquidity_{n}d": filled(n, v, F.log1p(F.avg(v).over(w)), w)})
 
-    ``market`` is (date, market_ret), derived from ``df`` if absent; ``dates``
-    bounds its row count and allows the broadcast that keeps rows by ticker.
-    """
-    if market is None:
-        market = market_returns(df)
+
+def beta_step(n: int = 60) -> Step:
+    """Covariance with the market over the market's variance."""
     w, r, m = last_rows(n), F.col("ret1"), F.col("market_ret")
-    joined = df.join(dim(market, dates), "date", "left")
     both = F.when(r.isNotNull() & m.isNotNull(), F.lit(1))
     cov = filled(n, both, F.covar_samp(r, m).over(w), w)
     var = filled(n, m, F.var_samp(m).over(w), w)
-    return joined.withColumn(f"beta_{n}d", ratio(cov, var)).drop("market_ret")
+    return Step(_prev(), _ret1(), {f"beta_{n}d": ratio(cov, var)}, market=True)
 
 
-def add_target(df: DataFrame, n: int = 20) -> DataFrame:
+def target_step(n: int = 20) -> Step:
     """Forward return; a label, never a feature."""
-    return df.withColumn(f"target_return_{n}d", ratio(F.lead(P, n).over(along()), F.col(P)) - 1)
+    return Step(
+        {"_ahead": F.lead(P, n).over(along())},
+        {f"target_return_{n}d": ratio(F.col("_ahead"), _price()) - 1},
+    )
+
+
+def ema_step() -> Step:
+    """Price over its EMA, and the fast less the slow EMA, for short histories.
+
+    Valid up to ``ema_block`` rows per ticker; ``with_features`` switches to the
+    blocked form beyond.
+    """
+    pos = F.col("_pos")
+    running = along().rowsBetween(Window.unboundedPreceding, 0)
+    ema = {n: ema_of(F.col(f"_t{n}"), pos, n, running) for n in EMA_SPANS}
+    return Step(
+        {"_pos": F.row_number().over(along()) - 1},
+        {f"_t{n}": ema_term(_price(), pos, n) for n in EMA_SPANS},
+        {"ema_ratio_20": ratio(_price(), ema[20]) - 1, "macd": ema[12] - ema[26]},
+    )
+
+
+def with_ret1(prices: DataFrame) -> DataFrame:
+    """One-row return per ticker; NULL on the first row and around NULL prices."""
+    return prices.withColumn("ret1", ratio(_price(), F.lag(P).over(along())) - 1)
+
+
+def market_returns(returns: DataFrame, out: str = "market_ret") -> DataFrame:
+    """Equal-weight mean return per date."""
+    return returns.groupBy("date").agg(F.avg("ret1").alias(out))
+
+
+def with_emas_blocked(df: DataFrame) -> DataFrame:
+    spans = {f"_ema{n}": n for n in EMA_SPANS}
+    return (
+        with_emas(df, P, spans)
+        .withColumns(
+            {
+                "ema_ratio_20": ratio(_price(), F.col("_ema20")) - 1,
+                "macd": F.col("_ema12") - F.col("_ema26"),
+            }
+        )
+        .drop(*spans)
+    )
+
+
+def with_features(
+    prices: DataFrame,
+    steps: list[Step],
+    dates: int | None = None,
+    market: DataFrame | None = None,
+    ema: bool = False,
+) -> DataFrame:
+    """Add the steps' columns to a price panel.
+
+    ``market`` is (date, market_ret), derived from the prices if a step needs it
+    and it is absent. ``dates`` bounds the rows per ticker: it allows the market's
+    broadcast, which keeps rows partitioned by ticker, and the short EMA form.
+    """
+    blocked = ema and (dates is None or dates > ema_block(EMA_SPANS))
+    if ema and not blocked:
+        steps = [*steps, ema_step()]
+    shifts = {k: v for s in steps for k, v in s.shifts.items()}
+    derived = {k: v for s in steps for k, v in s.derived.items()}
+    rolled = {k: v for s in steps for k, v in s.rolled.items()}
+    df = prices
+    if shifts:
+        df = df.withColumns(shifts)
+    if derived:
+        df = df.withColumns(derived)
+    if any(s.market for s in steps):
+        if market is None:
+            market = market_returns(with_ret1(prices))
+        df = df.join(dim(market, dates), "date", "left")
+    if rolled:
+        df = df.withColumns(rolled)
+    df = df.drop("market_ret", *[c for c in (*shifts, *derived) if c.startswith("_")])
+    return with_emas_blocked(df) if blocked else df
 
 
 def add_target_rank(df: DataFrame, target: str = "target_return_20d", dates: int | None = None):
@@ -118,19 +205,12 @@ def add_target_rank(df: DataFrame, target: str = "target_return_20d", dates: int
 def market_features(
     prices: DataFrame, dates: int | None = None, market: DataFrame | None = None
 ) -> DataFrame:
-    """All market features and the label.
-
-    One shuffle by ticker serves every window. The market series joins as a
-    bounded dimension, and only the label's rank leaves that partitioning.
-    """
-    df = with_ret1(prices)
-    df = add_beta(df, market, dates=dates)
-    for step in (
-        add_returns, add_rsi, add_atr, add_volatility, add_drawdown, add_liquidity, add_target,
-        add_moving_averages,
-    ):
-        df = step(df)
-    return df
+    """All market features and the label: one shuffle by ticker, two window passes."""
+    steps = [
+        returns_step(), sma_step(), rsi_step(), atr_step(), volatility_step(), downside_step(),
+        drawdown_step(), liquidity_step(), beta_step(), target_step(),
+    ]
+    return with_features(prices, steps, dates, market, ema=True)
 
 
 def build_features(

@@ -81,76 +81,77 @@ def panel_index_membership(p):
 # -- features ----------------------------------------------------------------------
 
 
+def _featured(p, *steps, ema=False):
+    return features.with_features(p.prices(), list(steps), p.weeks(), ema=ema)
+
+
 @query
 def flagship_features_latest(p):
-    """Per ticker at its latest week: SMA ratio, volatility, beta, return percentile."""
-    df = features.with_ret1(p.prices())
-    df = features.add_beta(df, dates=p.weeks())
-    df = features.add_volatility(features.add_returns(df))
-    df = features.add_liquidity(features.add_moving_averages(df))
-    last = df.groupBy("ticker").agg(
-        F.max("date").alias("date"),
-        *[
-            F.max_by(c, "date").alias(c)
-            for c in ("sma_ratio_20", "volatility_20d", "beta_60d", "return_20d", "liquidity_20d")
-        ],
+    """Per ticker at its latest week: SMA ratio, volatility, beta, return, liquidity."""
+    df = _featured(
+        p, features.returns_step(), features.sma_step(), features.volatility_step(),
+        features.beta_step(), features.liquidity_step(),
+    )
+    kept = ("sma_ratio_20", "volatility_20d", "beta_60d", "return_20d", "liquidity_20d")
+    return df.groupBy("ticker").agg(
+        F.max("date").alias("date"), *[F.max_by(c, "date").alias(c) for c in kept]
     )
-    return last
 
 
 @query
 def feat_returns(p):
-    return features.add_returns(features.with_ret1(p.prices()))
+    return _featured(p, features.returns_step())
 
 
 @query
 def feat_sma_ema(p):
-    return features.add_moving_averages(p.prices())
+    return _featured(p, features.sma_step(), ema=True)
 
 
 @query
 def feat_rsi(p):
-    return features.add_rsi(p.prices())
+    return _featured(p, features.rsi_step())
 
 
 @query
 def feat_macd(p):
-    return features.add_moving_averages(p.prices())
+    """The blocked EMA form, which has no limit on history length."""
+    return features.with_emas_blocked(p.prices())
 
 
 @query
 def feat_atr(p):
-    return features.add_atr(p.prices())
+    return _featured(p, features.atr_step())
 
 
 @query
 def feat_vol(p):
-    return features.add_volatility(features.with_ret1(p.prices()))
+    return _featured(p, features.volatility_step())
 
 
 @query
 def feat_downside(p):
-    return features.add_volatility(features.with_ret1(p.prices()))
+    return _featured(p, features.downside_step())
 
 
 @query
 def feat_drawdown(p):
-    return features.add_drawdown(p.prices())
+    return _featured(p, features.drawdown_step())
 
 
 @query
 def feat_liquidity(p):
-    return features.add_liquidity(p.prices())
+    return _featured(p, features.liquidity_step())
 
 
 @query
 def feat_beta(p):
-    return features.add_beta(features.with_ret1(p.prices()), dates=p.weeks())
+    return _featured(p, features.beta_step())
 
 
 @query
 def feat_target_rank(p):
-    return features.add_target_rank(features.add_target(p.prices()), dates=p.weeks())
+    return features.add_target_rank(_featured(p, features.target_step()), dates=p.weeks())
 
 
 @query

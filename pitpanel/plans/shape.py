@@ -32,7 +32,8 @@ def shaped(df: DataFrame, shape: str) -> DataFrame:
 
 def shaped_sql(source: str, shape: str) -> str:
     out = []
-    for name, kind in _items(shape):
+    for plain, kind in _items(shape):
+        name = f'"{plain}"'
         if kind == "d":
             e = f"strftime({name}, '%Y-%m-%d')"
         elif kind == "i":

@@ -1,6 +1,6 @@
 """Columns and rounding of each registered query, see ``shape``."""
 
-_BAR = "open:6 high:6 low:6 close:6 adjusted_close:6 volume:i trading_value:2"
+_BAR = "open:8 high:8 low:8 close:8 adjusted_close:8 volume:i trading_value:7"
 _METRICS = (
     "cumulative_return:8 annualized_return:8 annualized_volatility:8 sharpe:6 sortino:6 "
     "max_drawdown:8 calmar:6 positive_day_ratio:8 observations:i"
@@ -10,8 +10,8 @@ SHAPES = {
     "panel_prices": f"date:d ticker {_BAR} source available_at:d data_class",
     "panel_master": "ticker company_name exchange industry sector listing_date:d delisting_date:d "
     "effective_from:d effective_to:d available_at:d source data_class",
-    "panel_financials": "ticker fiscal_period_end:d publication_date:d available_at:d revenue:2 "
-    "net_income:2 total_assets:2 equity:2 source data_class",
+    "panel_financials": "ticker fiscal_period_end:d publication_date:d available_at:d revenue:4 "
+    "net_income:4 total_assets:4 equity:4 source data_class",
     "panel_macro": "series_id observation_date:d release_date:d available_at:d value:8 source data_class",
     "panel_foreign_flow": "date:d ticker available_at:d foreign_net_value:2 source data_class",
     "panel_index_membership": "ticker index_code effective_from:d effective_to:d "
@@ -31,7 +31,7 @@ SHAPES = {
     "feat_target_rank": "ticker date:d target_return_20d:8 target_rank:8",
     "feat_all": "ticker date:d return_5d:7 return_20d:7 return_60d:7 return_120d:7 sma_ratio_20:7 "
     "ema_ratio_20:7 rsi_14:5 macd:4 atr_14:7 volatility_20d:7 downside_volatility_20d:7 "
-    "drawdown_60d:7 liquidity_20d:7 beta_60d:6 target_return_20d:7 target_rank:7 roe_pit:4 "
+    "drawdown_60d:7 liquidity_20d:7 beta_60d:6 target_return_20d:7 target_rank:7 roe_pit:9 "
     "revenue_growth_yoy_pit:7 policy_rate_pit:8 feature_available_at:d",
     "market_return": "date:d market_ret:8",
     "validate_issues": "severity check count:i",
@@ -40,15 +40,15 @@ SHAPES = {
     "coverage_ticker": "ticker source records:i start:d end:d calendar_span_days:i missing_open:i "
     "missing_close:i nonpositive_close:i",
     "dataset_summary": "records:i tickers:i start:d end:d data_classes",
-    "quarantine_rows": "date:d ticker source open:6 high:6 low:6 close:6",
+    "quarantine_rows": "date:d ticker source open:8 high:8 low:8 close:8",
     "leakage_checks": "check passed fixture_only",
     "side_table_status": "table status",
     "fingerprint": "records:i lane0 lane1 lane2 lane3",
     "universe_monthly": "decision_time:d ticker eligible reason data_class",
-    "month_end_closes": "ticker month_end:d close:6",
-    "fundamental_ratios": "ticker fiscal_period_end:d available_at:d roe_pit:5 revenue_growth_yoy_pit:8",
-    "asof_financials": "ticker date:d close:6 roe_pit:5 revenue_growth_yoy_pit:8",
-    "asof_macro": "ticker date:d close:6 policy_rate_pit:8",
+    "month_end_closes": "ticker month_end:d close:8",
+    "fundamental_ratios": "ticker fiscal_period_end:d available_at:d roe_pit:9 revenue_growth_yoy_pit:8",
+    "asof_financials": "ticker date:d close:8 roe_pit:9 revenue_growth_yoy_pit:8",
+    "asof_macro": "ticker date:d close:8 policy_rate_pit:8",
     "norm_feed_a": f"date:d ticker {_BAR} source available_at:d parser_version data_class",
     "norm_feed_b": f"date:d ticker {_BAR} source available_at:d parser_version data_class",
     "norm_feed_c": f"date:d ticker {_BAR} source available_at:d parser_version data_class",
@@ -62,7 +62,7 @@ SHAPES = {
     "source_counts": "source tickers:i",
     "candidates_topn": "ticker source records:i start:d end:d ends_at_target",
     "fresh_tickers": "ticker last_date:d",
-    "stale_rows": "date:d ticker open:6 close:6 volume:i",
+    "stale_rows": "date:d ticker open:8 close:8 volume:i",
     "run_ledger": "source status records:i tickers_requested:i tickers_collected:i failures:i "
     "date_start:d date_end:d",
     "incremental_ingest": f"date:d ticker {_BAR} source available_at:d",

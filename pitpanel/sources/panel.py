@@ -7,6 +7,7 @@ weeks without a trade. Everything stays lazy.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,11 +42,24 @@ class TradePanel:
     # -- fills and bars ---------------------------------------------------
 
     def fills(self) -> DataFrame:
+        """One row per fill; ``at`` orders the fills of a week.
+
+        ``at`` packs (weekday, order, line, part) into one exact decimal. A
+        fixed-width key keeps first and last price in a hash aggregate, where a
+        struct key would sort every task's fills. Keys past the packed widths raise.
+        """
         value, qty = F.col("l_extendedprice"), F.col("l_quantity")
+        order, line, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+        day = F.weekday(F.col("l_shipdate").cast("date")).cast("bigint")
+        high = F.shiftleft(day, 60) + order
+        low = F.shiftleft(line.cast("bigint"), 52) + part
+        packed = high.cast("decimal(19,0)") * F.lit(Decimal(10) ** 19) + low.cast("decimal(19,0)")
+        fits = (order < 1 << 60) & (line < 1 << 11) & (part < 1 << 52)
+        beyond = F.raise_error(F.lit("fill key exceeds the packed width")).cast("decimal(38,0)")
         return self.table("lineitem").select(
             "l_suppkey",
             F.trunc(F.col("l_shipdate").cast("date"), "week").alias("date"),
-            F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey").alias("at"),
+            F.when(fits, packed).otherwise(beyond).alias("at"),
             F.try_divide(value, qty).alias("price"),
             qty.alias("qty"),
             value.alias("value"),
