@@ -173,7 +173,8 @@ cte("financials", "fills", """
                  last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS e,
                  sum(l_extendedprice) AS revenue,
                  sum(l_extendedprice * (l_discount - 0.04::DOUBLE)) AS net_income,
-                 sum(l_extendedprice * l_tax) AS total_assets, sum(l_quantity) AS equity
+                 sum(l_extendedprice * l_tax) AS total_assets,
+                 sum(l_extendedprice * (1 - l_discount)) AS equity
           FROM fills JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)""")
 cte("fin_ratios", "financials", """
     SELECT *, net_income / nullif(equity, 0) AS roe_pit,

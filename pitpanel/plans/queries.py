@@ -642,7 +642,9 @@ def sector_bootstrap(p):
 def _labelled(p):
     run = walk(p)
     rows = features.market_features(p.prices(), p.weeks(), run.market)
-    snap = cut_lineage(run._at_decisions(rows).withColumn("signal", selection.linear_signal()))
+    snap = run.at_decisions(
+        rows.withColumn("signal", selection.linear_signal()), ["date", "signal", "target_return_20d"]
+    )
     return features.add_target_rank(snap, dates=WALK.fold_bound)
 
 

@@ -1,7 +1,8 @@
 """Output shapes shared by the Spark queries and their SQL counterparts.
 
 A shape is a string of ``name[:kind]`` items. Kinds: none = as is, ``d`` = date as
-ISO text, ``i`` = BIGINT, a digit = double rounded to that many places (a zero is
+ISO text, ``i`` = BIGINT, ``s`` = eight significant digits as text (for compounded
+values of any size), a digit = double rounded to that many places (a zero is
 always positive).
 """
 
@@ -23,6 +24,10 @@ def shaped(df: DataFrame, shape: str) -> DataFrame:
             c = F.date_format(c, "yyyy-MM-dd")
         elif kind == "i":
             c = c.cast("bigint")
+        elif kind == "s":
+            e = F.floor(F.log10(F.abs(c)))
+            digits = F.round(c / F.pow(F.lit(10.0), e.cast("double")), 7).cast("string")
+            c = F.when(c == 0, "0").otherwise(F.concat(digits, F.lit("e"), e.cast("string")))
         elif kind:
             r = F.round(c.cast("double"), int(kind))
             c = F.when(r == 0, F.lit(0.0)).otherwise(r)
@@ -38,6 +43,10 @@ def shaped_sql(source: str, shape: str) -> str:
             e = f"strftime({name}, '%Y-%m-%d')"
         elif kind == "i":
             e = f"CAST({name} AS BIGINT)"
+        elif kind == "s":
+            x = f"CAST(floor(log10(abs({name}))) AS BIGINT)"
+            e = f"""CASE WHEN {name} = 0 THEN '0' WHEN {name} IS NOT NULL THEN
+                 CAST(round({name} / power(10.0::DOUBLE, {x}), 7) AS VARCHAR) || 'e' || {x} END"""
         elif kind:
             r = f"round(CAST({name} AS DOUBLE), {kind})"
             e = f"CASE WHEN {r} = 0 THEN 0.0::DOUBLE ELSE {r} END"

@@ -2,8 +2,8 @@
 
 _BAR = "open:8 high:8 low:8 close:8 adjusted_close:8 volume:i trading_value:7"
 _METRICS = (
-    "cumulative_return:8 annualized_return:8 annualized_volatility:8 sharpe:6 sortino:6 "
-    "max_drawdown:8 calmar:6 positive_day_ratio:8 observations:i"
+    "cumulative_return:s annualized_return:s annualized_volatility:8 sharpe:s sortino:s "
+    "max_drawdown:8 calmar:s positive_day_ratio:8 observations:i"
 )
 
 SHAPES = {
@@ -104,9 +104,9 @@ SHAPES = {
     "backtest_optimised": "strategy fold:i date:d gross:6 ret:6",
     "performance_metrics": f"strategy {_METRICS}",
     "market_metrics": f"sector {_METRICS}",
-    "wealth_curve": "strategy fold:i date:d wealth:8 peak:8 drawdown:8",
+    "wealth_curve": "strategy fold:i date:d wealth:s peak:s drawdown:8",
     "returns_pivot": "date:d liquidity:8 ewma:8 signal:8 adaptive:8 adaptive_costed:8",
-    "regimes": "date:d market_ret:8 trailing_return:8 trailing_vol:8 vol_median:8 regime",
+    "regimes": "date:d market_ret:8 trailing_return:s trailing_vol:8 vol_median:8 regime",
     "metrics_by_regime": f"strategy regime {_METRICS}",
     "paired_bootstrap": "test mean_difference:8 ci_low:8 ci_high:8 p_value:6",
     "sharpe_ci": "strategy sharpe_ci_low:6 sharpe_ci_high:6",

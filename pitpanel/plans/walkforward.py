@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pitpanel import contracts
 from pitpanel.operators import allocate, backtest, features, folds, inference, metrics, moments
 from pitpanel.operators import quality, ranker, selection, subset
-from pitpanel.session import cut_lineage
+from pitpanel.session import cut_lineage, dim
 
 #: Strategy, its candidate selector, and whether trading costs are charged.
 STRATEGIES = [
@@ -106,14 +106,12 @@ class WalkForwardRun:
         """Decision-date rows with every market feature and a signal."""
         if self.cfg.ranker is None:
             rows = features.market_features(self.prices, self.dates, self.market)
-            snap = self._at_decisions(rows).withColumn("signal", selection.linear_signal())
-            return cut_lineage(
-                snap.select(
-                    "fold", "decision_time", "ticker", "signal", "liquidity_20d", "volatility_20d"
-                )
+            return self.at_decisions(
+                rows.withColumn("signal", selection.linear_signal()),
+                ["signal", "liquidity_20d", "volatility_20d"],
             )
         stored = cut_lineage(self.features)
-        snap = cut_lineage(self._at_decisions(stored))
+        snap = self.at_decisions(stored)
         return ranker.rank_assets(
             stored, snap, self.folds, self.cfg.ranker, minimum=self.cfg.reduction.candidate_size
         ).select(
@@ -121,19 +119,26 @@ class WalkForwardRun:
             "volatility_20d",
         )
 
-    def _at_decisions(self, rows: DataFrame) -> DataFrame:
-        """Snapshot rows of folds with enough tickers, within the universe if asked."""
+    def at_decisions(self, rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """Snapshot rows of folds with enough tickers, within the universe if asked.
+
+        The snapshot is cut before its rows are counted, so the features behind it
+        are computed once.
+        """
         snap = folds.snapshots(rows, self.decisions, contracts.MARKET_FEATURES, self.cfg.walk)
+        if columns is not None:
+            snap = snap.select("fold", "decision_time", "ticker", *columns)
         if self.cfg.use_universe and self.universe is not None:
-            month = self.decisions.select("fold", F.col("test_start").alias("_m"))
+            month = self.decisions.select("fold", F.col("test_start").alias("decision_time"))
             listed = self.universe.join(
-                F.broadcast(month), F.col("_m") == F.col("decision_time")
+                dim(month, self.cfg.walk.fold_bound, 16), "decision_time"
             ).select("fold", "ticker")
             snap = snap.join(listed, ["fold", "ticker"], "left_semi")
+        snap = cut_lineage(snap)
         enough = (
             snap.groupBy("fold").count().where(F.col("count") >= self.cfg.reduction.candidate_size)
         )
-        return snap.join(enough.select("fold"), "fold", "left_semi")
+        return snap.join(dim(enough.select("fold"), self.cfg.walk.fold_bound, 16), "fold", "left_semi")
 
     # -- candidates ---------------------------------------------------------
 

@@ -221,7 +221,7 @@ class TradePanel:
                 F.sum("l_extendedprice").alias("revenue"),
                 F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.04)).alias("net_income"),
                 F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("total_assets"),
-                F.sum("l_quantity").alias("equity"),
+                F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("equity"),
             )
         )
         ends = self._named(booked).withColumn(
