@@ -42,7 +42,7 @@ def query(fn):
 
 
 def walk(p: TradePanel, cfg: ExperimentConfig = CONFIG, **kw) -> WalkForwardRun:
-    return WalkForwardRun(p.prices(), cfg, calendar=p.calendar(), dates=p.weeks(), **kw)
+    return WalkForwardRun(p.stored_prices(), cfg, calendar=p.calendar(), dates=p.weeks(), **kw)
 
 
 # -- contract tables -------------------------------------------------------------
@@ -82,7 +82,9 @@ def panel_index_membership(p):
 
 
 def _featured(p, *steps, ema=False):
-    return features.with_features(p.prices(), list(steps), p.weeks(), ema=ema)
+    branches = any(s.market for s in steps)
+    prices = p.stored_prices() if branches else p.prices()
+    return features.with_features(prices, list(steps), p.weeks(), ema=ema)
 
 
 @query
@@ -151,13 +153,14 @@ def feat_beta(p):
 
 @query
 def feat_target_rank(p):
-    return features.add_target_rank(_featured(p, features.target_step()), dates=p.weeks())
+    rows = features.with_features(p.stored_prices(), [features.target_step()], p.weeks())
+    return features.add_target_rank(rows, dates=p.weeks())
 
 
 @query
 def feat_all(p):
     """Every market feature, the label, its rank and the publication-time features."""
-    built = features.build_features(p.prices(), p.weeks())
+    built = features.build_features(p.stored_prices(), p.weeks())
     return features.attach_point_in_time(built, p.financials(), p.macro(), p.weeks())
 
 
@@ -641,7 +644,7 @@ def sector_bootstrap(p):
 
 def _labelled(p):
     run = walk(p)
-    rows = features.market_features(p.prices(), p.weeks(), run.market)
+    rows = features.market_features(run.prices, p.weeks(), run.market)
     snap = run.at_decisions(
         rows.withColumn("signal", selection.linear_signal()), ["date", "signal", "target_return_20d"]
     )

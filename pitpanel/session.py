@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as a columnar table in the shared folder and read it back.
+
+    For inputs that several branches of one plan read: each branch then scans only
+    its columns instead of computing the input again.
+    """
+    path = f"{scratch_root(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dim(df: DataFrame, rows: int | None, width: int = 64) -> DataFrame:
     """Ask for a broadcast only when ``rows * width`` is known to be small.
 

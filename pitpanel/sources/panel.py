@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitpanel import contracts
+from pitpanel.session import store
 from pitpanel.sources import feeds
 
 WEEK = "interval 7 days"
@@ -131,6 +132,11 @@ class TradePanel:
             F.lit("real").alias("data_class"),
         )
 
+    def stored_prices(self) -> DataFrame:
+        """The columns features need, written once for plans that branch on them."""
+        names = ["ticker", "date", "high", "low", "close", "adjusted_close", "trading_value"]
+        return store(self.prices().select(names), "prices")
+
     def tape(self) -> DataFrame:
         """Two unmerged vendors' bars, as a quality check meets them.
 

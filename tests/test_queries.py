@@ -57,7 +57,17 @@ def test_partition_count_does_not_change_results(spark):
     assert one == rows_of(entry.queries()[name](spark, SF).collect(), ["a"] * 4)
 
 
-def test_market_return_joins_by_broadcast_and_scan_is_pruned(spark):
-    plan = entry.queries()["feat_beta"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "l_discount" not in plan and "l_returnflag" not in plan
-    assert "CartesianProduct" not in plan and "SortAggregate" not in plan
+def plan_of(spark, name):
+    return entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scan_is_pruned_and_bars_hash_aggregate(spark):
+    plan = plan_of(spark, "feat_rsi")
+    scan = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scan and all("l_discount" not in line and "l_returnflag" not in line for line in scan)
+    assert "SortAggregate" not in plan and "CartesianProduct" not in plan
+
+
+def test_market_return_joins_by_broadcast(spark):
+    plan = plan_of(spark, "feat_beta")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
