@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pitpanel.llm.decontaminate import op6_benchmark_decontamination
+from pitpanel.llm.secrets import op9_secret_ledger
+from pitpanel.llm.shards import op5_stratified_shards
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op5_stratified_shards,
         op6_benchmark_decontamination,
+        op9_secret_ledger,
     )
 }
 
@@ -38,5 +42,35 @@ items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) A
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover USING (rid) LEFT JOIN items USING (rid)
+""",
+    "op5_stratified_shards": r"""
+WITH crc AS (
+  SELECT list(c ORDER BY b) AS t
+  FROM (SELECT b, list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+          (c, z) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM (SELECT unnest(range(256)) AS b))),
+bytes AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+         hex(encode(coalesce(text, ''))) AS h
+  FROM documents),
+rows AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS source, size,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT,
+             list_transform(range(1, (size - 15)::BIGINT), i -> ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)),
+           (c, b) -> xor(c >> 8, (SELECT t FROM crc)[xor(c, b) % 256 + 1]))) AS text_crc32,
+         md5('shards-1|' || coalesce(doc_id::VARCHAR, '')) AS draw
+  FROM bytes),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id, text_crc32, size) AS rank,
+         count(*) OVER (PARTITION BY source) AS rows
+  FROM rows),
+placed AS (
+  SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY (2 * rank - 1)::DOUBLE / (2 * rows), source, draw,
+         doc_id, text_crc32, size) - 1 AS position
+  FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (position * 40 // n)::INT AS shard,
+       position - ((position * 40 // n) * n + 39) // 40 AS slot, NULL::INT AS grown_shard
+FROM placed
 """,
 }
