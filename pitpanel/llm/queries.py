@@ -7,12 +7,14 @@ from pitpanel.llm.lines import op1_line_dedup
 from pitpanel.llm.mixing import BUDGET, SWEEPS, TEMPER, op3_target_mixture
 from pitpanel.llm.secrets import op9_secret_ledger
 from pitpanel.llm.shards import op5_stratified_shards
+from pitpanel.llm.toxicity import op4_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup,
         op3_target_mixture,
+        op4_toxicity,
         op5_stratified_shards,
         op6_benchmark_decontamination,
         op9_secret_ledger,
