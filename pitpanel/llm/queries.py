@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pitpanel.llm.decontaminate import op6_benchmark_decontamination
 from pitpanel.llm.lines import op1_line_dedup
+from pitpanel.llm.minhash import op2_minhash_near_dedup
 from pitpanel.llm.mixing import BUDGET, SWEEPS, TEMPER, op3_target_mixture
 from pitpanel.llm.secrets import op9_secret_ledger
 from pitpanel.llm.shards import op5_stratified_shards
@@ -13,6 +14,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup,
+        op2_minhash_near_dedup,
         op3_target_mixture,
         op4_toxicity,
         op5_stratified_shards,
