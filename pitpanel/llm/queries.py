@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pitpanel.llm.decontaminate import op6_benchmark_decontamination
+from pitpanel.llm.html_extract import op10_html_main_text
 from pitpanel.llm.lines import op1_line_dedup
 from pitpanel.llm.minhash import op2_minhash_near_dedup
 from pitpanel.llm.mixing import BUDGET, SWEEPS, TEMPER, op3_target_mixture
@@ -20,6 +21,7 @@ QUERIES = {
         op5_stratified_shards,
         op6_benchmark_decontamination,
         op9_secret_ledger,
+        op10_html_main_text,
     )
 }
 
