@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pitpanel.llm.decontaminate import op6_benchmark_decontamination
+from pitpanel.llm.embedding_dedup import op8_embedding_near_dedup
 from pitpanel.llm.html_extract import op10_html_main_text
 from pitpanel.llm.lines import op1_line_dedup
 from pitpanel.llm.minhash import op2_minhash_near_dedup
@@ -20,6 +21,7 @@ QUERIES = {
         op4_toxicity,
         op5_stratified_shards,
         op6_benchmark_decontamination,
+        op8_embedding_near_dedup,
         op9_secret_ledger,
         op10_html_main_text,
     )
