@@ -10,6 +10,7 @@ from pitpanel.llm.minhash import op2_minhash_near_dedup
 from pitpanel.llm.mixing import BUDGET, SWEEPS, TEMPER, op3_target_mixture
 from pitpanel.llm.secrets import op9_secret_ledger
 from pitpanel.llm.shards import op5_stratified_shards
+from pitpanel.llm.suffix_dedup import op7_suffix_array_dedup
 from pitpanel.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
         op4_toxicity,
         op5_stratified_shards,
         op6_benchmark_decontamination,
+        op7_suffix_array_dedup,
         op8_embedding_near_dedup,
         op9_secret_ledger,
         op10_html_main_text,
