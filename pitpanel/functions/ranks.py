@@ -51,7 +51,10 @@ def with_average_rank(
     ranked = placed.join(dim(offsets, bound, 48), [*by, "_b"]).select(
         *by, value, (average / F.col("_all") if pct else average.cast("double")).alias(rank)
     )
-    return df.join(ranked, [*by, value], "left")
+    # rows without a value have no rank; a digest spreads them, or they would share one task
+    spread = F.when(F.col(value).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(4096))).otherwise(F.lit(0))
+    keyed = df.withColumn("_spread", spread.cast("long"))
+    return keyed.join(ranked.withColumn("_spread", F.lit(0).cast("long")), [*by, value, "_spread"], "left").drop("_spread")
 
 
 def with_zscores(

@@ -26,24 +26,8 @@ def filled(n: int, probe: Column, value: Column, w: WindowSpec) -> Column:
     return F.when(F.count(probe).over(w) == n, value)
 
 
-def ema_rate(span: int) -> float:
-    return -math.log(1.0 - 2.0 / (span + 1.0))
-
-
-def ema_block(spans: list[int]) -> int:
-    """Rows over which all spans' weights stay far inside double range."""
-    return math.floor(300.0 / max(ema_rate(s) for s in spans))
-
-
-def ema_term(value: Column, pos: Column, span: int) -> Column:
-    """Contribution of one row to the running sum; ``pos`` counts from the start."""
-    start = F.when(pos == 0, F.lit(1.0)).otherwise(F.lit(2.0 / (span + 1.0)))
-    return start * value * F.exp(pos * F.lit(ema_rate(span)))
-
-
-def ema_of(term: Column, pos: Column, span: int, running: WindowSpec) -> Column:
-    """The moving average from its running terms, for at most ``ema_block`` rows."""
-    return F.sum(term).over(running) * F.exp(-pos * F.lit(ema_rate(span)))
+#: Decay, in nats of the fastest average, after which a running sum starts afresh.
+EMA_BLOCK = 300.0
 
 
 def with_emas(
@@ -55,36 +39,47 @@ def with_emas(
 ) -> DataFrame:
     """Exponential moving averages started at the first value (no bias correction).
 
-    ``y_i = (1-a) y_{i-1} + a x_i`` unrolls to a weighted running sum. The weights
-    would overflow on long histories, so rows are cut into blocks and the sum is
-    kept relative to the block start; one block back is enough, since older rows
-    weigh less than the rounding error (``block * rate >= 39``, e^-39 < 1e-16).
+    Across a gap of g rows (g - 1 of them NULL) the old average weighs ``(1-a)^g``
+    and both weights are renormalised; a NULL row carries the last average. With
+    ``c`` the weight of the old average, ``y = c y' + (1 - c) x`` unrolls to a
+    weighted running sum in the decay ``sum(-log c)``. The weights would overflow on
+    long histories, so rows are cut into blocks of that decay and sums are kept
+    relative to the block's start; one block back is enough, since older rows weigh
+    less than the rounding error.
     """
-    rates = {name: ema_rate(span) for name, span in spans.items()}
-    block = ema_block(list(spans.values()))
-    if block * min(rates.values()) < 39.0:
+    rate = {n: -math.log(1.0 - 2.0 / (s + 1.0)) for n, s in spans.items()}
+    fast = max(rate, key=rate.get)
+    if EMA_BLOCK * min(rate.values()) < 39.0 * rate[fast]:
         for name, span in spans.items():
             df = with_emas(df, value, {name: span}, key, order)
         return df
-
-    out = df.withColumn("_pos", F.row_number().over(along(key, order)) - 1)
-    out = out.withColumn("_blk", F.floor(F.col("_pos") / block).cast("int"))
-    offset = F.col("_pos") - F.col("_blk") * block
+    at, known = along(key, order), F.col(value).isNotNull()
+    earlier = at.rowsBetween(Window.unboundedPreceding, -1)
+    upto = at.rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("_pos", F.row_number().over(at))
+    out = out.withColumn("_gap", F.col("_pos") - F.max(F.when(known, F.col("_pos"))).over(earlier))
+    old = {n: F.exp(F.col("_gap") * F.lit(-rate[n])) for n in spans}
+    new = {n: F.lit(2.0 / (s + 1.0)) for n, s in spans.items()}
+    share = {n: F.when(F.col("_gap").isNull(), F.lit(1.0)).otherwise(new[n] / (old[n] + new[n])) for n in spans}
+    loss = {n: F.when(known & F.col("_gap").isNotNull(), -F.log(old[n] / (old[n] + new[n]))).otherwise(F.lit(0.0)) for n in spans}
+    out = out.withColumns({f"_d_{n}": F.sum(loss[n]).over(upto) for n in spans})
+    out = out.withColumn("_blk", F.floor(F.col(f"_d_{fast}") / EMA_BLOCK).cast("int"))
+    block = Window.partitionBy(key, "_blk")
     inside = along([key, "_blk"], order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(key).orderBy("_blk").rangeBetween(-1, -1)
-    terms, sums = {}, {}
-    for name, span in spans.items():
-        alpha = 2.0 / (span + 1.0)
-        start = F.when(F.col("_pos") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-        terms[f"_t_{name}"] = start * F.col(value) * F.exp(offset * F.lit(rates[name]))
-        sums[f"_s_{name}"] = F.sum(f"_t_{name}").over(inside)
-    out = out.withColumns(terms).withColumns(sums)
-    out = out.withColumns({f"_p_{n}": F.sum(f"_t_{n}").over(before) for n in spans})
+    out = out.withColumns({f"_b_{n}": F.min(f"_d_{n}").over(block) for n in spans})
+    out = out.withColumns({
+        f"_t_{n}": F.when(known, share[n] * F.col(value) * F.exp(F.col(f"_d_{n}") - F.col(f"_b_{n}"))) for n in spans
+    })
+    out = out.withColumns({f"_s_{n}": F.sum(f"_t_{n}").over(inside) for n in spans})
+    out = out.withColumns(
+        {f"_p_{n}": F.sum(f"_t_{n}").over(before) for n in spans} | {f"_q_{n}": F.min(f"_b_{n}").over(before) for n in spans}
+    )
     result = {}
-    for name in spans:
-        rate = F.lit(rates[name])
-        here = F.col(f"_s_{name}") * F.exp(-offset * rate)
-        back = F.col(f"_p_{name}") * F.exp(-(offset + block) * rate)
-        result[name] = here + F.coalesce(back, F.lit(0.0))
-    helpers = ["_pos", "_blk"] + [f"_{p}_{n}" for n in spans for p in "tsp"]
+    for n in spans:
+        here = F.col(f"_s_{n}") * F.exp(F.col(f"_b_{n}") - F.col(f"_d_{n}"))
+        back = F.col(f"_p_{n}") * F.exp(F.col(f"_q_{n}") - F.col(f"_d_{n}"))
+        # no value yet: NULL
+        result[n] = F.when(here.isNull(), back).otherwise(here + F.coalesce(back, F.lit(0.0)))
+    helpers = ["_pos", "_gap", "_blk"] + [f"_{p}_{n}" for n in spans for p in "dbtspq"]
     return out.withColumns(result).drop(*helpers)

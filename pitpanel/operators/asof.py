@@ -24,14 +24,17 @@ def asof_join(
     travel as one struct, so a NULL field of the latest row stays NULL. One
     shuffle, linear in rows. On equal times the highest ``tiebreak`` wins.
     """
-    kept = [c for c in left.columns if c not in values]
-    order = F.col(tiebreak).cast("string") if tiebreak else F.lit(None).cast("string")
+    clash = [c for c in left.columns if c in values]
+    if clash:
+        raise ValueError(f"columns of both sides: {clash}; drop or rename them on the left")
+    kind = right.schema[tiebreak].dataType if tiebreak else "string"
+    order = F.col(tiebreak) if tiebreak else F.lit(None).cast("string")
     probe = left.select(
         F.col(key).alias("_key"),
         F.col(left_on).alias("_at"),
         F.lit(1).alias("_side"),
-        F.lit(None).cast("string").alias("_tie"),
-        F.struct(*kept).alias("_row"),
+        F.lit(None).cast(kind).alias("_tie"),
+        F.struct(*left.columns).alias("_row"),
     )
     known = right.where(F.col(right_on).isNotNull()).select(
         F.col(key).alias("_key"),

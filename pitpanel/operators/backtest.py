@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitpanel.operators.folds import fold_dates
 from pitpanel.operators.moments import PROBLEM
 from pitpanel.session import dim
 
@@ -22,13 +23,13 @@ def holdings(
 ) -> DataFrame:
     """Daily rows of held tickers in each fold's test window ``(start, end]``.
 
-    The weights are strategies x folds x k rows and go to the panel, not the
-    panel to them. A missing return counts as zero.
+    Test windows are stretched to days, so the panel is joined on (ticker, date) and
+    only those dates are read. A missing return counts as zero.
     """
-    held = weights.join(folds.select("fold", "test_start", "test_end"), "fold")
-    daily = returns.select("ticker", "date", "ret1").join(dim(held, rows, 96), "ticker")
-    inside = (F.col("date") > F.col("test_start")) & (F.col("date") <= F.col("test_end"))
-    return daily.where(inside).select(
+    days = fold_dates(folds).where("role = 'test'").select("fold", "date")
+    held = weights.join(days, "fold")
+    daily = returns.select("ticker", "date", "ret1").join(dim(held, None if rows is None else rows * 62, 96), ["ticker", "date"])
+    return daily.select(
         *PROBLEM, "ticker", "weight", "date", F.coalesce("ret1", F.lit(0.0)).alias("ret1")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.functions.ranks import with_average_rank
 from pitpanel.functions.rolling import (
-    along, ema_block, ema_of, ema_term, filled, last_rows, with_emas,
+    along, filled, last_rows, with_emas,
 )
 from pitpanel.functions.scalars import ratio
 from pitpanel.operators.asof import asof_join, asof_on_dates
@@ -123,22 +123,6 @@ def target_step(n: int = 20) -> Step:
     )
 
 
-def ema_step() -> Step:
-    """Price over its EMA, and the fast less the slow EMA, for short histories.
-
-    Valid up to ``ema_block`` rows per ticker; ``with_features`` switches to the
-    blocked form beyond.
-    """
-    pos = F.col("_pos")
-    running = along().rowsBetween(Window.unboundedPreceding, 0)
-    ema = {n: ema_of(F.col(f"_t{n}"), pos, n, running) for n in EMA_SPANS}
-    return Step(
-        {"_pos": F.row_number().over(along()) - 1},
-        {f"_t{n}": ema_term(_price(), pos, n) for n in EMA_SPANS},
-        {"ema_ratio_20": ratio(_price(), ema[20]) - 1, "macd": ema[12] - ema[26]},
-    )
-
-
 def with_ret1(prices: DataFrame) -> DataFrame:
     """One-row return per ticker; NULL on the first row and around NULL prices."""
     return prices.withColumn("ret1", ratio(_price(), F.lag(P).over(along())) - 1)
@@ -149,7 +133,7 @@ def market_returns(returns: DataFrame, out: str = "market_ret") -> DataFrame:
     return returns.groupBy("date").agg(F.avg("ret1").alias(out))
 
 
-def with_emas_blocked(df: DataFrame) -> DataFrame:
+def with_price_emas(df: DataFrame) -> DataFrame:
     spans = {f"_ema{n}": n for n in EMA_SPANS}
     return (
         with_emas(df, P, spans)
@@ -174,11 +158,8 @@ def with_features(
 
     ``market`` is (date, market_ret), derived from the prices if a step needs it
     and it is absent. ``dates`` bounds the rows per ticker: it allows the market's
-    broadcast, which keeps rows partitioned by ticker, and the short EMA form.
+    broadcast, which keeps rows partitioned by ticker.
     """
-    blocked = ema and (dates is None or dates > ema_block(EMA_SPANS))
-    if ema and not blocked:
-        steps = [*steps, ema_step()]
     shifts = {k: v for s in steps for k, v in s.shifts.items()}
     derived = {k: v for s in steps for k, v in s.derived.items()}
     rolled = {k: v for s in steps for k, v in s.rolled.items()}
@@ -194,7 +175,7 @@ def with_features(
     if rolled:
         df = df.withColumns(rolled)
     df = df.drop("market_ret", *[c for c in (*shifts, *derived) if c.startswith("_")])
-    return with_emas_blocked(df) if blocked else df
+    return with_price_emas(df) if ema else df
 
 
 def add_target_rank(df: DataFrame, target: str = "target_return_20d", dates: int | None = None):

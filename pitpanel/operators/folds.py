@@ -12,12 +12,12 @@ from pitpanel.session import dim
 
 @dataclass(frozen=True)
 class WalkForward:
-    """Interval lengths in months; ``max_folds`` keeps the latest folds."""
+    """Interval lengths in months; ``max_folds``, if given, keeps the latest folds."""
 
     train_months: int = 24
     validation_months: int = 3
     test_months: int = 1
-    max_folds: int | None = 12
+    max_folds: int | None = None
 
     @property
     def fold_bound(self) -> int | None:
@@ -91,22 +91,25 @@ def assign_folds(rows: DataFrame, folds: DataFrame, wf: WalkForward, role: str |
 def decision_dates(folds: DataFrame, calendar: DataFrame) -> DataFrame:
     """Folds with ``decision_time``, the latest panel date not after the test start.
 
-    A theta join of two calendar-sized tables with the folds broadcast.
+    Dates and test starts meet in one sorted pass, as long as the calendar.
     """
-    hit = calendar.join(folds.select("fold", "test_start"), F.col("date") <= F.col("test_start"))
-    latest = hit.groupBy("fold").agg(F.max("date").alias("decision_time"))
+    marks = calendar.select("date", F.lit(None).cast("int").alias("fold")).unionByName(
+        folds.select(F.col("test_start").alias("date"), F.col("fold").cast("int").alias("fold"))
+    )
+    w = Window.orderBy("date", F.col("fold").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = marks.withColumn("decision_time", F.max(F.when(F.col("fold").isNull(), F.col("date"))).over(w))
+    latest = seen.where("fold IS NOT NULL AND decision_time IS NOT NULL").select("fold", "decision_time")
     return folds.join(latest, "fold")
 
 
 def recent_dates(decisions: DataFrame, calendar: DataFrame, n: int) -> DataFrame:
     """(fold, date, age): the ``n`` latest panel dates up to each decision; age 0 newest."""
-    w = Window.partitionBy("fold").orderBy(F.col("date").desc())
-    past = calendar.join(
-        decisions.select("fold", "decision_time"), F.col("date") <= F.col("decision_time")
-    )
-    return past.withColumn("age", F.row_number().over(w) - 1).where(F.col("age") < n).select(
-        "fold", "date", "age"
-    )
+    # dates are numbered once, in one pass as long as the calendar; a window is a run of numbers
+    numbered = calendar.withColumn("_at", F.row_number().over(Window.orderBy("date")))
+    last = decisions.select("fold", F.col("decision_time").alias("date")).join(numbered, "date")
+    ages = F.explode(F.expr(f"sequence(0, {n - 1})")).alias("age")
+    asked = last.select("fold", "_at", ages).select("fold", "age", (F.col("_at") - F.col("age")).alias("_at"))
+    return asked.join(numbered, "_at").select("fold", "date", "age")
 
 
 def fold_counts(rows: DataFrame, folds: DataFrame, wf: WalkForward) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from pitpanel.functions.scalars import md5_draw, ratio
 
 
-def paired_differences(returns: DataFrame, first: str, others: list[str]) -> DataFrame:
-    """(test, pos, x): date-aligned differences of ``first`` to each other strategy."""
+def paired_differences(returns: DataFrame, first: str, others: list[str] | None = None) -> DataFrame:
+    """(test, pos, x): date-aligned differences of ``first`` to each other strategy, or to ``others``."""
     mean = returns.groupBy("strategy", "date").agg(F.avg("ret").alias("ret"))
     a = mean.where(F.col("strategy") == first).select("date", F.col("ret").alias("_a"))
-    b = mean.where(F.col("strategy").isin(others)).select("strategy", "date", "ret")
+    peer = F.col("strategy") != first if others is None else F.col("strategy").isin(others)
+    b = mean.where(peer).select("strategy", "date", "ret")
     joined = b.join(a, "date").where(F.col("ret").isNotNull() & F.col("_a").isNotNull())
     named = joined.select(
         F.concat(F.lit(f"{first}_vs_"), F.col("strategy")).alias("test"),

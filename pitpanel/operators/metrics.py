@@ -101,10 +101,10 @@ def market_regimes(market: DataFrame, n: int = 60, band: float = 0.05) -> DataFr
 
 
 def metrics_by_regime(
-    returns: DataFrame, regimes: DataFrame, risk_free: float = 0.03, dates: int | None = None
+    returns: DataFrame, regimes: DataFrame, risk_free: float = 0.03, dates: int | None = None, periods: int = 252
 ) -> DataFrame:
     labelled = returns.join(dim(regimes.select("date", "regime"), dates, 48), "date", "left")
-    return performance_metrics(labelled, ["strategy", "regime"], risk_free, ["fold", "date"])
+    return performance_metrics(labelled, ["strategy", "regime"], risk_free, ["date", "fold"], periods=periods)
 
 
 def returns_wide(returns: DataFrame, strategies: list[str]) -> DataFrame:

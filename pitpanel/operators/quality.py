@@ -42,15 +42,11 @@ def validation_issues(prices: DataFrame) -> DataFrame:
 def return_outliers(prices: DataFrame, limit: float = OUTLIER) -> DataFrame:
     """Rows whose one-row return exceeds ``limit`` in size.
 
-    Copies of a (date, ticker) are reported by the key check; here the first
-    source stands for them. Folding the copies map-side keeps the window per
-    ticker as short as the calendar.
+    Every bar is checked, each against the bar before it of its own source.
     """
-    once = prices.groupBy("ticker", "date").agg(
-        F.min_by("adjusted_close", F.struct("source", "adjusted_close")).alias("adjusted_close")
-    )
-    w = Window.partitionBy("ticker").orderBy("date")
+    w = Window.partitionBy("ticker", "source").orderBy("date", "adjusted_close")
     moved = ratio(F.col("adjusted_close"), F.lag("adjusted_close").over(w)) - 1
+    once = prices.select("ticker", "date", "source", "adjusted_close")
     return once.withColumn("ret1", moved).where(F.abs("ret1") > limit)
 
 

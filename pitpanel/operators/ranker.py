@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.contracts import FEATURES
 from pitpanel.functions.ranks import with_average_rank
-from pitpanel.session import cut_lineage
+from pitpanel.session import cut_lineage, store
 
 
 @dataclass(frozen=True)
@@ -23,14 +23,12 @@ class RankerConfig:
     seed: int = 42
 
 
-def medians(train: DataFrame, names: list[str], accuracy: int = 100000) -> dict[str, float]:
-    """Per-feature medians of the training rows; a feature without values is 0.
+def medians(train: DataFrame, names: list[str]) -> dict[str, float]:
+    """Exact per-feature medians of the training rows; a feature without values is 0.
 
-    A sketch of fixed size per task; one driver row comes back.
+    Tasks merge counts per distinct value; one driver row comes back.
     """
-    row = train.agg(
-        *[F.percentile_approx(n, 0.5, accuracy).alias(n) for n in names]
-    ).first()
+    row = train.agg(*[F.percentile(n, F.lit(0.5)).alias(n) for n in names]).first()
     return {n: (0.0 if row[n] is None else float(row[n])) for n in names}
 
 
@@ -64,10 +62,11 @@ def score(bundle: tuple[dict[str, float], PipelineModel], rows: DataFrame) -> Da
 
 def rank_ic(scored: DataFrame, folds: int | None = None) -> DataFrame:
     """(fold, n, rank_ic): Spearman correlation of signal and label rank per fold."""
-    known = scored.where(F.col("target_rank").isNotNull() & F.col("signal").isNotNull()).select(
+    # each ranking reads its input several times: stored once
+    known = store(scored.where(F.col("target_rank").isNotNull() & F.col("signal").isNotNull()).select(
         "fold", "ticker", "signal", "target_rank"
-    )
-    ranked = with_average_rank(known, ["fold"], "signal", "_rs", groups=folds)
+    ), "ranks")
+    ranked = store(with_average_rank(known, ["fold"], "signal", "_rs", groups=folds), "ranks")
     ranked = with_average_rank(ranked, ["fold"], "target_rank", "_rt", groups=folds)
     ic = F.nanvl(F.corr("_rs", "_rt"), F.lit(None).cast("double"))
     return ranked.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), ic.alias("_ic")).select(

@@ -158,11 +158,12 @@ def adaptive_reduce(
 def top_by(snapshot: DataFrame, column: str, m: int, by: str = "fold") -> DataFrame:
     """Top ``m`` tickers per fold, ties to the lower ticker.
 
-    Spark limits each map task to ``m`` rows per fold before the shuffle.
+    The bound is on the bare row number, so Spark keeps ``m`` rows per fold in each
+    map task before the shuffle.
     """
     w = Window.partitionBy(by).orderBy(F.col(column).desc(), "ticker")
-    ranked = snapshot.where(F.col(column).isNotNull()).withColumn("idx", F.row_number().over(w) - 1)
-    return ranked.where(F.col("idx") < m)
+    ranked = snapshot.where(F.col(column).isNotNull()).withColumn("_rn", F.row_number().over(w))
+    return ranked.where(F.col("_rn") <= m).withColumn("idx", F.col("_rn") - 1).drop("_rn")
 
 
 def ewma_scores(

@@ -11,7 +11,7 @@ from pitpanel.plans.shape import shaped_sql
 from pitpanel.plans.shapes import SHAPES
 
 REACHES = "2001-10-15"
-FOLDS, TRAIN, VALID, TEST = 12, 24, 3, 1
+PERIODS, TRAIN, VALID, TEST = 52, 24, 3, 1
 M, K, LOOKBACK, HISTORY, SPAN, HORIZON = 6, 3, 120, 252, 60, 20
 SEEDS, SHOTS, SEED = (11, 23, 47), 1024, 42
 COST, RF, AVERSION = 10.0, 0.03, 0.55
@@ -153,8 +153,8 @@ _BAD = ("(coalesce(high < greatest(open, close, low), FALSE) "
         "OR coalesce(least(open, high, low, close) <= 0, FALSE))")
 cte("outliers", "tape", """
     SELECT * FROM (
-      SELECT ticker, date, c / nullif(lag(c) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret1
-      FROM (SELECT ticker, date, arg_min(close, row(source, close)) AS c FROM tape GROUP BY ALL))
+      SELECT ticker, date, close / nullif(lag(close) OVER (PARTITION BY ticker, source ORDER BY date, close), 0) - 1 AS ret1
+      FROM tape)
     WHERE abs(ret1) > 0.3""")
 cte("master", "fills", """
     SELECT CAST(s_suppkey AS VARCHAR) AS ticker, s_name AS company_name, 'TAPE' AS exchange,
@@ -226,7 +226,10 @@ cte("folds", "fold_ends", f"""
            CAST(t - INTERVAL {TRAIN + VALID} MONTH AS DATE) AS train_start,
            CAST(t - INTERVAL {VALID} MONTH AS DATE) AS train_end,
            t AS validation_end, t AS test_start, CAST(t + INTERVAL {TEST} MONTH AS DATE) AS test_end
-    FROM (SELECT t FROM fold_ends ORDER BY t DESC LIMIT {FOLDS})""")
+    FROM fold_ends""")
+cte("folds_last12", "folds", """
+    SELECT * REPLACE (row_number() OVER (ORDER BY test_start) - 1 AS fold)
+    FROM (SELECT * FROM folds ORDER BY test_start DESC LIMIT 12)""")
 cte("decisions", "folds weeks", """
     SELECT f.*, (SELECT max(date) FROM weeks WHERE date <= f.test_start) AS decision_time
     FROM folds f""")
@@ -497,10 +500,10 @@ def _metrics(src: str, by: str) -> str:
     SELECT *, (annualized_return - {RF}) / nullif(annualized_volatility, 0) AS sharpe,
            (annualized_return - {RF}) / nullif(down, 0) AS sortino,
            annualized_return / nullif(abs(max_drawdown), 0) AS calmar
-    FROM (SELECT *, w - 1 AS cumulative_return, power(w, 252.0 / observations) - 1 AS annualized_return
+    FROM (SELECT *, w - 1 AS cumulative_return, power(w, {PERIODS}.0 / observations) - 1 AS annualized_return
           FROM (SELECT {by}, arg_max(wealth, date) AS w, count(*) AS observations,
-                       stddev_samp(ret) * sqrt(252) AS annualized_volatility,
-                       stddev_samp(ret) FILTER (WHERE ret < 0) * sqrt(252) AS down,
+                       stddev_samp(ret) * sqrt({PERIODS}) AS annualized_volatility,
+                       stddev_samp(ret) FILTER (WHERE ret < 0) * sqrt({PERIODS}) AS down,
                        min(drawdown) AS max_drawdown,
                        avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS positive_day_ratio
                 FROM {_wealth(src, by)} GROUP BY {by}))"""
@@ -604,7 +607,7 @@ for _name, _table in {
     "feat_macd": "feat", "feat_atr": "feat0", "feat_vol": "feat0", "feat_downside": "feat0",
     "feat_drawdown": "feat0", "feat_liquidity": "feat0", "feat_beta": "feat0",
     "feat_target_rank": "ranked", "market_return": "market", "return_outliers": "outliers",
-    "fundamental_ratios": "fin_ratios", "merge_sources": "merged", "fold_manifest": "folds",
+    "fundamental_ratios": "fin_ratios", "merge_sources": "merged", "fold_manifest": "folds", "fold_manifest_last12": "folds_last12",
     "snapshots": "snap", "base_scores": "scores", "adaptive_selection": "adaptive",
     "topm_liquidity": "top_liquidity", "topm_signal": "top_signal", "topm_ewma": "top_ewma",
     "ewma_cov": "mom_l", "shrunk_cov": "shrink", "selection_matrix": "q_l",
@@ -795,7 +798,7 @@ oracle("sharpe_ci", "sharpe_sample port_pos", f"""
     FROM (SELECT DISTINCT strategy FROM port_pos) k LEFT JOIN (
       SELECT strategy, quantile_cont(v, 0.025) AS sharpe_ci_low, quantile_cont(v, 0.975) AS sharpe_ci_high
       FROM (SELECT strategy, replicate,
-                   (avg(x) * 252 - {RF}) / nullif(stddev_samp(x) * sqrt(252), 0) AS v
+                   (avg(x) * {PERIODS} - {RF}) / nullif(stddev_samp(x) * sqrt({PERIODS}), 0) AS v
             FROM sharpe_sample GROUP BY 1, 2) GROUP BY 1) s ON s.strategy = k.strategy""")
 oracle("rank_ic_summary", "ic", """
     SELECT count(*) AS folds, avg(rank_ic) AS mean_ic, quantile_cont(rank_ic, 0.5) AS median_ic,

@@ -22,8 +22,9 @@ from pitpanel.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-WALK = folds.WalkForward(24, 3, 1, 12)
-CONFIG = ExperimentConfig(walk=WALK)
+WALK = folds.WalkForward(24, 3, 1)
+#: Weekly bars; the formula signal is asked for, since SQL cannot fit a ranker.
+CONFIG = ExperimentConfig(walk=WALK, ranker=None, periods=52)
 REACHES = "2001-10-15"
 
 
@@ -117,8 +118,8 @@ def feat_rsi(p):
 
 @query
 def feat_macd(p):
-    """The blocked EMA form, which has no limit on history length."""
-    return features.with_emas_blocked(p.prices())
+    """Averages alone, without the other features."""
+    return features.with_price_emas(p.prices())
 
 
 @query
@@ -371,6 +372,12 @@ def fold_manifest(p):
     return folds.make_folds(p.calendar(), WALK)
 
 
+@query
+def fold_manifest_last12(p):
+    """The fold limit is the feature here."""
+    return folds.make_folds(p.calendar(), folds.WalkForward(24, 3, 1, max_folds=12))
+
+
 @query
 def fold_counts(p):
     made = folds.make_folds(p.calendar(), WALK)
@@ -423,7 +430,7 @@ def corr_to_chosen(p):
     run = walk(p)
     chosen = selection.top_by(run.snapshot, "liquidity_20d", 3).select("fold", "ticker")
     window = run.window(CONFIG.reduction.lookback)
-    return selection.correlation_to(run.returns, chosen, window, WALK.fold_bound * 3 * 120)
+    return selection.correlation_to(run.returns, chosen, window, None)
 
 
 # -- moments and subsets -----------------------------------------------------------------------
@@ -572,7 +579,9 @@ def backtest_optimised(p):
 @query
 def performance_metrics(p):
     run = walk(p)
-    return metrics.performance_metrics(run.equal.returns, ["strategy"], CONFIG.risk_free)
+    return metrics.performance_metrics(
+        run.equal.returns, ["strategy"], CONFIG.risk_free, ["date", "fold"], periods=CONFIG.periods
+    )
 
 
 @query
@@ -581,12 +590,12 @@ def market_metrics(p):
     rets = features.with_ret1(p.prices()).select("ticker", "date", "ret1")
     sectors = p.master().select("ticker", "sector")
     daily = rets.join(sectors, "ticker").groupBy("sector", "date").agg(F.avg("ret1").alias("ret"))
-    return metrics.performance_metrics(daily, ["sector"], CONFIG.risk_free)
+    return metrics.performance_metrics(daily, ["sector"], CONFIG.risk_free, periods=CONFIG.periods)
 
 
 @query
 def wealth_curve(p):
-    return metrics.wealth_curve(walk(p).equal.returns, ["strategy"])
+    return metrics.wealth_curve(walk(p).equal.returns, ["strategy"], ["date", "fold"])
 
 
 @query
@@ -603,7 +612,7 @@ def regimes(p):
 def metrics_by_regime(p):
     run = walk(p)
     return metrics.metrics_by_regime(
-        cut_lineage(run.equal.returns), run.regimes(), CONFIG.risk_free, p.weeks()
+        cut_lineage(run.equal.returns), run.regimes(), CONFIG.risk_free, p.weeks(), CONFIG.periods
     )
 
 
@@ -617,7 +626,9 @@ def paired_bootstrap(p):
 
 @query
 def sharpe_ci(p):
-    return inference.sharpe_interval(cut_lineage(walk(p).equal.returns), CONFIG.risk_free, CONFIG.seed)
+    return inference.sharpe_interval(
+        cut_lineage(walk(p).equal.returns), CONFIG.risk_free, CONFIG.seed, periods=CONFIG.periods
+    )
 
 
 @query
@@ -634,8 +645,7 @@ def sector_bootstrap(p):
     held = rets.join(sectors, "ticker").groupBy("strategy", "date").agg(F.avg("ret1").alias("ret"))
     whole = features.market_returns(rets, "ret").withColumn("strategy", F.lit("market"))
     both = held.unionByName(whole.select("strategy", "date", "ret"))
-    others = [r.strategy for r in p.table("region").select(F.col("r_name").alias("strategy")).collect()]
-    diffs = cut_lineage(inference.paired_differences(both, "market", others))
+    diffs = cut_lineage(inference.paired_differences(both, "market"))
     return inference.holm_adjust(inference.paired_block_bootstrap(diffs, CONFIG.seed))
 
 

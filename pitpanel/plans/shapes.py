@@ -66,6 +66,7 @@ SHAPES = {
     "run_ledger": "source status records:i tickers_requested:i tickers_collected:i failures:i "
     "date_start:d date_end:d",
     "incremental_ingest": f"date:d ticker {_BAR} source available_at:d",
+    "fold_manifest_last12": "fold:i train_start:d train_end:d validation_end:d test_start:d test_end:d",
     "fold_manifest": "fold:i train_start:d train_end:d validation_end:d test_start:d test_end:d",
     "fold_counts": "fold:i role records:i dates:i tickers:i",
     "snapshots": "fold:i decision_time:d ticker signal:8 liquidity_20d:8 volatility_20d:8",

@@ -34,7 +34,8 @@ class ExperimentConfig:
     walk: folds.WalkForward = field(default_factory=folds.WalkForward)
     reduction: selection.Reduction = field(default_factory=selection.Reduction)
     weights: allocate.WeightRule = field(default_factory=allocate.WeightRule)
-    ranker: ranker.RankerConfig | None = None
+    #: None takes ``selection.linear_signal`` instead of a fitted model
+    ranker: ranker.RankerConfig | None = field(default_factory=ranker.RankerConfig)
     subset_risk_aversion: float = 0.55
     covariance: str = "ewma"
     span: int = 60
@@ -44,6 +45,7 @@ class ExperimentConfig:
     shots: int = 1024
     cost_bps: float = 10.0
     risk_free: float = 0.03
+    periods: int = 252
     seed: int = 42
     use_universe: bool = False
 
@@ -75,7 +77,7 @@ class WalkForwardRun:
     @property
     def pool_rows(self) -> int | None:
         bound = self.cfg.walk.fold_bound
-        return None if bound is None else len(STRATEGIES) * bound * self.cfg.reduction.rounds
+        return None if bound is None else len(STRATEGIES) * bound * self.cfg.reduction.candidate_size
 
     @cached_property
     def returns(self) -> DataFrame:
@@ -225,13 +227,8 @@ class WalkForwardRun:
     @cached_property
     def test_chosen(self) -> DataFrame:
         """Chosen tickers of folds whose test window has panel dates."""
-        tested = (
-            self.calendar.join(
-                self.folds, (F.col("date") > F.col("test_start")) & (F.col("date") <= F.col("test_end"))
-            )
-            .select("fold")
-            .distinct()
-        )
+        days = folds.fold_dates(self.folds).where("role = 'test'")
+        tested = self.calendar.join(days, "date").select("fold").distinct()
         return cut_lineage(self.chosen.join(tested, "fold", "left_semi"))
 
     @cached_property
@@ -336,9 +333,9 @@ class WalkForwardRun:
 
     def metrics(self, returns: DataFrame) -> DataFrame:
         table = metrics.performance_metrics(
-            returns, ["strategy"], self.cfg.risk_free, ["date", "fold"]
+            returns, ["strategy"], self.cfg.risk_free, ["date", "fold"], periods=self.cfg.periods
         )
-        ci = inference.sharpe_interval(returns, self.cfg.risk_free, self.cfg.seed)
+        ci = inference.sharpe_interval(returns, self.cfg.risk_free, self.cfg.seed, periods=self.cfg.periods)
         return table.join(ci, "strategy", "left")
 
 
@@ -376,7 +373,7 @@ def run_experiment(
         "portfolio_returns": returns,
         "metrics": run.metrics(returns),
         "regimes": regimes,
-        "regime_metrics": metrics.metrics_by_regime(returns, regimes, run.cfg.risk_free, dates),
+        "regime_metrics": metrics.metrics_by_regime(returns, regimes, run.cfg.risk_free, dates, run.cfg.periods),
         "ablations": run.ablation(bt),
         "sensitivity": run.sensitivity(),
         "statistical_tests": run.statistical_tests(returns),
