@@ -13,7 +13,7 @@ from pitpanel.session import cut_lineage, store
 #: Rows and bytes that one Arrow batch may hold; bounds the Python side whatever a row weighs.
 BATCH_ROWS, BATCH_BYTES = 512, 16 * 1024 * 1024
 
-__all__ = ["batches", "components", "cut_lineage", "fresh", "store", "table", "text_words"]
+__all__ = ["batches", "batches_of", "components", "cut_lineage", "fresh", "store", "table", "text_words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, setup=None) -> DataFrame:
     """``fn`` over Arrow batches of bounded size; ``setup()`` runs once per task."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
@@ -32,6 +29,14 @@ def batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schem
             if batch.num_rows:
                 yield fn(batch, state) if setup else fn(batch)
 
+    return batches_of(df, run, schema)
+
+
+def batches_of(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

@@ -13,11 +13,11 @@ on the full sets.
 Equal sets are one class from the start, so exact copies never meet pair by pair. In a
 band's bucket every class is compared with the bucket's smallest class only (a star,
 linear in the bucket). A link that a star does not show joins two classes of different
-components; those are sought afterwards among bucket members in different components,
-and the triangle inequality of the Jaccard distance, with both distances to the bucket's
-centre known exactly, leaves out pairs that cannot link. No pair that could add a link
-is dropped, and no bucket is gathered in one task: buckets are joined by key, where
-Spark splits skewed partitions.
+components. For buckets that still hold several, a second star goes out from the member
+with the fewest shingles of its own; then the members outside a bucket's main component
+are asked against all its members in blocks of bounded weight, which emit links alone.
+Members with too many shingles of their own cannot link at all and drop out first. No
+pair that could add a link is dropped, and no bucket is gathered in one task.
 
 Rows that share an id are one document. NULL ids link with nothing: their component is
 NULL and they are kept. Texts without words have an empty set and link with nothing.
@@ -32,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import batches, components, table
+from pitpanel.llm.common import batches, batches_of, components, table
 from pitpanel.session import store
 
 BINS, BANDS, ROWS = 252, 42, 6
+ASKED_TOKENS, MEMBER_TOKENS = 1 << 20, 1 << 23
 LEAST = 80  # percent
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
@@ -144,6 +145,128 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return batches(held, run, f"a {kind}, b {kind}, both long, either long", setup=lambda: {"words": _Words()})
 
 
+def _linked(checked: DataFrame) -> DataFrame:
+    return checked.where(F.expr(f"100 * both >= {LEAST} * either")).select("a", "b")
+
+
+def _united(links: DataFrame, more: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with ``more``, and their components."""
+    if more.isEmpty():
+        return links, known
+    return links.union(more), components(links.union(more))
+
+
+def _tokens(reps: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """``(rep, size, tokens)``: the full set of each class."""
+
+    def run(batch: pa.RecordBatch, words: _Words) -> pa.RecordBatch:
+        sets = [shingles(t, n, words).view(np.int64) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "size", "tokens"]
+        )
+
+    kind = reps.schema["rep"].dataType.simpleString()
+    held = texts.join(reps.withColumnRenamed("rep", "id"), "id").select("id", "text")
+    return store(batches(held, run, f"rep {kind}, size long, tokens array<long>", setup=_Words), "tokens")
+
+
+def _able(tokens: DataFrame) -> DataFrame:
+    """Members that can link to another: ``(rep, size, lone)``.
+
+    ``lone`` counts shingles that no other member has; the others must be at least 80%
+    of the set.
+    """
+    each = tokens.select("rep", F.explode("tokens").alias("token"))
+    shared = each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    common = each.join(shared, "token").groupBy("rep").agg(F.count("*").alias("common"))
+    return tokens.select("rep", "size").distinct().join(common, "rep").where(f"100 * common >= {LEAST} * size").select(
+        "rep", "size", (F.col("size") - F.col("common")).alias("lone")
+    )
+
+
+def _across(near: DataFrame, joined: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links between members of one bucket in different components.
+
+    A bucket belongs to the group of the component that most of its members have. In a
+    group, the members outside that component are asked against all, in blocks of
+    bounded weight: a task holds one block of askers and streams one block of members.
+    """
+    kind = near.schema["rep"].dataType.simpleString()
+    now = near.select("key", "rep", "size").join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")
+    )
+    most = now.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("kinds")
+    ).where("kinds > 1")
+    placed = store(now.join(most.select("key", F.col("m.component").alias("grp")), "key").select(
+        "grp", "rep", "component", "size", (F.col("component") != F.col("grp")).alias("asks")
+    ).distinct(), "groups")
+    weight = placed.groupBy("grp").agg(
+        F.ceil(F.sum(F.when(F.col("asks"), F.col("size"))) / ASKED_TOKENS).alias("p"), F.ceil(F.sum("size") / MEMBER_TOKENS).alias("q")
+    )
+    dealt = placed.join(weight, "grp")
+
+    def block(count: str, salt: int):
+        return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(count))
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    askers = dealt.where("asks").select("grp", "rep", "component", F.lit(0).alias("side"), block("p", 1).alias("i"), every("q").alias("j"))
+    others = dealt.select("grp", "rep", "component", F.lit(1).alias("side"), every("p").alias("i"), block("q", 2).alias("j"))
+    rows = askers.unionByName(others).join(tokens.select("rep", "tokens"), "rep")
+    rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side").select(
+        "grp", "i", "j", "side", "rep", "component", "tokens"
+    )
+
+    def run(it):
+        here, askers, index = None, [], None
+        for batch in it:
+            a, b = [], []
+            parts = [batch.column(k).to_pylist() for k in range(6)]
+            sets = batch.column(6)
+            for at, (grp, i, j, side, rep, component) in enumerate(zip(*parts, strict=True)):
+                if (grp, i, j) != here:
+                    here, askers, index = (grp, i, j), [], None
+                values = sets[at].values.to_numpy(zero_copy_only=False)
+                if side == 0:
+                    askers.append((rep, component, values))
+                    continue
+                if index is None:
+                    index = _Postings(askers)
+                for other in index.linked(rep, component, values):
+                    a.append(min(rep, other))
+                    b.append(max(rep, other))
+            yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(4).type), pa.array(b, batch.schema.field(4).type)], ["a", "b"])
+
+    return batches_of(rows, run, f"a {kind}, b {kind}").distinct()
+
+
+class _Postings:
+    """Askers by shingle, so that one member is counted against all of them at once."""
+
+    def __init__(self, askers: list[tuple]) -> None:
+        self.askers = askers
+        size = [len(v) for _, _, v in askers]
+        owner = np.repeat(np.arange(len(askers)), size)
+        flat = np.concatenate([v for _, _, v in askers]) if askers else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        self.token, self.start, self.many = np.unique(flat[order], return_index=True, return_counts=True)
+        self.size = np.array(size)
+
+    def linked(self, rep, component, values: np.ndarray) -> list:
+        if not len(self.token):
+            return []
+        at = np.searchsorted(self.token, values)
+        at = at[(at < len(self.token)) & (self.token[np.minimum(at, len(self.token) - 1)] == values)]
+        many = self.many[at]
+        first = np.repeat(self.start[at] - np.concatenate(([0], np.cumsum(many)[:-1])), many) if len(at) else at
+        both = np.bincount(self.owner[first + np.arange(len(first))], minlength=len(self.askers))
+        hit = np.flatnonzero(100 * both >= LEAST * (self.size + len(values) - both))
+        return [self.askers[k][0] for k in hit.tolist() if self.askers[k][1] != component]
+
+
 def near_duplicates(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, size, component)`` per row of ``docs``; ``component`` is the smallest id reachable."""
     sets = store(sketched(docs, n, id_col, text_col), "sets")
@@ -163,25 +286,24 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text
         at.withColumnRenamed("version", "v").hint("shuffle_hash"), (F.col("id") == F.col("rep")) & (F.col("version") == F.col("v"))
     ).select("id", "text"), "texts")
     found = store(_verified(stars, texts, n), "verified")
-    linked = F.expr(f"100 * both >= {LEAST} * either")
-    links = found.where(linked).select("a", "b")
+    links = _linked(found)
     first = components(links)
     # links that no star shows lie between members of one bucket in different components
     placed = buckets.where("rep <> hub").join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep")
     )
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    away = found.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("either")).alias("away"))
-    members = store(placed.join(mixed, "key").join(away, ["hub", "rep"]).select("key", "rep", "component", "size", "away").distinct(), "members")
-    x, y = members.alias("x"), members.alias("y")
-    rest = x.join(y, F.expr(
-        f"x.key = y.key AND x.component < y.component AND abs(x.away - y.away) <= 1.000001 - {LEAST} / 100.0 "
-        f"AND 100 * least(x.size, y.size) >= {LEAST} * greatest(x.size, y.size)"
-    )).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = store(rest.join(found.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    more = _verified(rest, texts, n).where(linked).select("a", "b")
-    more = store(more, "links")
-    joined = components(links.union(more)) if not more.isEmpty() else first
+    members = store(placed.join(mixed, "key").select("key", "rep", "component"), "members")
+    tokens = _tokens(members.select("rep").distinct(), texts, n)
+    near = store(members.join(_able(tokens), "rep"), "members")
+    # second stars, about the member of a bucket with the fewest shingles of its own
+    middle = near.groupBy("key").agg(F.min(F.struct("lone", "rep", "component")).alias("m"))
+    pairs = near.join(middle, "key").where(F.col("component") != F.col("m.component")).select(
+        F.least("rep", "m.rep").alias("a"), F.greatest("rep", "m.rep").alias("b")
+    ).distinct()
+    again = store(_verified(pairs.join(found.select("a", "b"), ["a", "b"], "left_anti"), texts, n), "verified")
+    links, joined = _united(links, _linked(again), first)
+    links, joined = _united(links, store(_across(near, joined, tokens), "links"), joined)
     member = classes.select("d1", "d2", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("component")
     )
