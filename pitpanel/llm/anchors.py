@@ -52,7 +52,7 @@ def _least(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return value[:n], at[:n]
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: bytes | memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(key, at, first, last)``: seed key and position, first and last window start, per anchor.
 
     The key orders suffixes by their first three bytes, then by the seed's fingerprint.

@@ -19,7 +19,8 @@ ways look at all windows of all contexts. Context and window identity is a pair
 64-bit hashes.
 
 Texts are dealt once into a bucketed table in the shared folder, from which each pass
-reads without another shuffle. A text's list of runs is bounded by its length.
+reads without another shuffle; other tables are dropped as soon as nothing reads them. A
+text's list of runs is bounded by its length.
 
 NULL texts count as empty. Texts shorter than ``LENGTH`` lose nothing. Equal rows are
 texts of their own, each a repeat of the other. NULL ids are allowed. An empty table
@@ -29,21 +30,21 @@ gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 import gc
-import hashlib
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitpanel.llm.anchors import LENGTH, anchors
-from pitpanel.llm.common import batches, table
-from pitpanel.session import scratch_root, store
+from pitpanel.llm.common import batches, batches_of, table
+from pitpanel.session import scratch_root
 
 BATCHES, SEED_CONTEXTS, CHUNK_BYTES = 4, 4096, 8 << 20
-ENTRY = "key long, k long, tid long, at int, first int, last int"
-RUN = "k long, tid long, first int, end int"
+RUN = "tid long, first int, end int"
 
 
 def _release(spark: SparkSession) -> None:
@@ -52,17 +53,36 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Shelf:
+    """Tables of one run in the shared folder, dropped once nothing reads them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root = spark, f"{scratch_root(spark).rstrip('/')}/suffix-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def put(self, df: DataFrame) -> tuple[DataFrame, str]:
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def drop(self, *paths: str) -> None:
+        for path in paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        _release(self.spark)
+
+
 def _dealt(docs: DataFrame, id_col: str, text_col: str, count: int) -> DataFrame:
-    """``(id, k, tid, raw, batch)`` written once, bucketed by ``k``."""
+    """``(id, tid, raw, batch)`` written once, bucketed by ``tid``, a number per row."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"texts_{uuid.uuid4().hex}"
     rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(id_col, F.lit("text")).alias("k"),
+        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("tid"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"),
-    ).repartition(n, "k")
-    rows = rows.withColumn("tid", F.monotonically_increasing_id()).withColumn("batch", F.pmod(F.xxhash64("k"), F.lit(count)).cast("int"))
-    rows.write.partitionBy("batch").bucketBy(n, "k").option("path", f"{scratch_root(spark).rstrip('/')}/{name}").option(
+    ).repartition(n, "tid").withColumn("batch", F.pmod(F.xxhash64("tid"), F.lit(count)).cast("int"))
+    rows.write.partitionBy("batch").bucketBy(n, "tid").option("path", f"{scratch_root(spark).rstrip('/')}/{name}").option(
         "compression", "zstd"
     ).saveAsTable(name)
     return spark.table(name)
@@ -71,27 +91,27 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, count: int) -> DataFrame
 class SuffixIndex:
     """Levels of sorted suffixes; ``repeated`` holds the seeds seen more than once."""
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.levels: list[tuple[int, DataFrame]] = []
+    def __init__(self, shelf: Shelf) -> None:
+        self.shelf = shelf
+        self.levels: list[tuple[int, DataFrame, str]] = []
         self.found: list[DataFrame] = []
 
-    def _sorted(self, entries: DataFrame) -> DataFrame:
-        return store(entries.repartition("key").sortWithinPartitions("key"), "level")
+    def _sorted(self, entries: DataFrame) -> tuple[DataFrame, str]:
+        return self.shelf.put(entries.repartition("key").sortWithinPartitions("key"))
 
     def add(self, entries: DataFrame) -> None:
         """Suffix array of a batch, merge-scan against the levels, geometric merges."""
-        new = self._sorted(entries)
+        new, path = self._sorted(entries)
         scan = new.select("key", F.lit(1).alias("new"))
-        for _, level in self.levels:
+        for _, level, _ in self.levels:
             scan = scan.union(level.select("key", F.lit(0)))
         again = scan.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 AND new = 1")
-        self.found.append(store(again.select("key"), "seeds"))
-        self.levels.append((0, new))
+        self.found.append(self.shelf.put(again.select("key"))[0])
+        self.levels.append((0, new, path))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, b), (_, a) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, self._sorted(a.union(b))))
-        _release(self.spark)
+            (rank, b, b_path), (_, a, a_path) = self.levels.pop(), self.levels.pop()
+            self.levels.append((rank + 1, *self._sorted(a.union(b))))
+            self.shelf.drop(a_path, b_path)
 
     def repeated(self) -> DataFrame:
         """Entries of all levels whose seed occurs more than once."""
@@ -99,57 +119,64 @@ class SuffixIndex:
         for more in self.found[1:]:
             seeds = seeds.union(more)
         entries = self.levels[0][1]
-        for _, level in self.levels[1:]:
+        for _, level, _ in self.levels[1:]:
             entries = entries.union(level)
         return entries.join(seeds.distinct(), "key", "left_semi")
 
 
 def _entries(texts: DataFrame) -> DataFrame:
+    """``(key, tid, at, back, ahead)``: anchors, with the first and last window start as distances."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts: list[list] = [[] for _ in range(6)]
-        for k, tid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            key, at, first, last = anchors(raw)
-            for column, values in zip(parts, (key, np.full(len(key), k), np.full(len(key), tid), at, first, last), strict=True):
+        parts: list[list] = [[] for _ in range(5)]
+        for tid, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            key, at, first, last = anchors(raw.as_buffer())
+            for column, values in zip(parts, (key, np.full(len(key), tid), at, at - first, at - last), strict=True):
                 column.append(values)
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 3
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(c), t) for c, t in zip(parts, kinds, strict=True)], ["key", "k", "tid", "at", "first", "last"]
+            [pa.array(np.concatenate(c), t) for c, t in zip(parts, kinds, strict=True)], ["key", "tid", "at", "back", "ahead"]
         )
 
-    return batches(texts.select("k", "tid", "raw"), run, ENTRY)
+    return batches(texts.select("tid", "raw"), run, "key long, tid long, at int, back short, ahead short")
 
 
 def _per_text(texts: DataFrame, lists: DataFrame, fn, schema: str, how: str = "inner", columns: tuple[str, ...] = ()) -> DataFrame:
     """``fn`` over texts with their lists; the bucketed texts stay where they are."""
-    joined = texts.select(*columns, "k", "tid", "raw").join(lists.hint("shuffle_hash"), "k", how).select(*columns, "k", "tid", "raw", "list")
+    joined = texts.select(*columns, "tid", "raw").join(lists.hint("shuffle_hash"), "tid", how).select(*columns, "tid", "raw", "list")
     return batches(joined, fn, schema)
 
 
 def _lists(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.groupBy("k").agg(F.collect_list(F.struct("tid", *columns)).alias("list"))
+    return rows.groupBy("tid").agg(F.collect_list(F.struct(*columns)).alias("list"))
 
 
-def _own(tid: int, entries: list[dict] | None) -> list[dict]:
-    return [e for e in entries or () if e["tid"] == tid]
+def _columns(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and flat fields of a column of lists; a NULL list is empty."""
+    flat = lists.flatten()
+    size = np.array([0 if n is None else n for n in pc.list_value_length(lists).to_pylist()], np.int64)
+    return np.concatenate(([0], np.cumsum(size))), [c.to_numpy(zero_copy_only=False) for c in flat.flatten()]
 
 
 def _contexts(texts: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Repeated entries with the digest ``c`` of their context."""
+    """``(key, c, tid, first, last)``: repeated entries with the digest ``c`` of their context."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(7)]
-        for k, tid, raw, entries in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            for e in _own(tid, entries):
-                context = raw[e["first"] : e["last"] + LENGTH]
-                digest = hashlib.blake2b(context, digest_size=8, salt=(e["at"] - e["first"]).to_bytes(4, "big")).digest()
-                for column, v in zip(out, (e["key"], int.from_bytes(digest, "big", signed=True), k, tid, e["at"], e["first"], e["last"]), strict=True):
-                    column.append(v)
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 3
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["key", "c", "k", "tid", "at", "first", "last"]
-        )
+        cut, (key, at, back, ahead) = _columns(batch.column(2))
+        first, last, out = at - back, at - ahead, np.empty(len(at), np.int64)
+        ends = (last + LENGTH).tolist()
+        begins, salts = first.tolist(), back.tolist()
+        for i, raw in enumerate(batch.column(1)):
+            text = memoryview(raw.as_buffer())
+            for j in range(cut[i], cut[i + 1]):
+                # the anchor's place in the context is part of its identity
+                out[j] = xxhash.xxh3_64_intdigest(text[begins[j] : ends[j]], salts[j]) - (1 << 63)
+        tid = np.repeat(batch.column(0).to_numpy(), np.diff(cut))
+        return pa.RecordBatch.from_arrays([
+            pa.array(key, pa.int64()), pa.array(out), pa.array(tid, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())
+        ], ["key", "c", "tid", "first", "last"])
 
-    return _per_text(texts, _lists(repeated, "key", "at", "first", "last"), run, "key long, c long, k long, tid long, at int, first int, last int")
+    return _per_text(texts, _lists(repeated, "key", "at", "back", "ahead"), run, "key long, c long, tid long, first int, last int")
 
 
 _BASES = [np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)]
@@ -200,74 +227,71 @@ def _side_by_side(contexts: DataFrame) -> DataFrame:
     dealt = contexts.repartition("key").sortWithinPartitions("key")
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        owner, offset, a, b = _window_table([r[5] for r in rows])
+        owner, offset, a, b = _window_table([r[4] for r in rows])
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
         twice = np.zeros(len(order), bool)
         twice[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        out: list[list] = [[], [], [], []]
-        once = np.array([r[4] == 1 for r in rows])
+        out: list[list] = [[], [], []]
+        once = np.array([r[3] == 1 for r in rows])
         hit = np.flatnonzero(twice & once[owner])
         edges = np.searchsorted(owner[hit], np.arange(len(rows) + 1))
         for i in np.flatnonzero(np.diff(edges)).tolist():
-            first, end = _runs(rows[i][3] + offset[hit[edges[i] : edges[i + 1]]])
-            for f, e in zip(first.tolist(), end.tolist(), strict=True):
-                for column, v in zip(out, (rows[i][1], rows[i][2], f, e), strict=True):
-                    column.append(v)
+            first, end = _runs(rows[i][2] + offset[hit[edges[i] : edges[i + 1]]])
+            out[0] += [rows[i][1]] * len(first)
+            out[1] += first.tolist()
+            out[2] += end.tolist()
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["k", "tid", "first", "end"]
+            [pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int32(), pa.int32()], strict=True)], ["tid", "first", "end"]
         )
 
     def run(it):
         held: list[tuple] = []
         weight = 0
         for batch in it:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if weight > CHUNK_BYTES and row[0] != held[-1][0]:
                     yield solve(held)
                     held, weight = [], 0
                 held.append(row)
-                weight += len(row[5])
+                weight += len(row[4])
         if held:
             yield solve(held)
 
-    return dealt.select("key", "k", "tid", "first", "n", "context").mapInArrow(run, RUN)
+    return batches_of(dealt.select("key", "tid", "first", "n", "context"), run, RUN)
 
 
-def _by_content(contexts: DataFrame) -> DataFrame:
+def _by_content(contexts: DataFrame, shelf: Shelf) -> DataFrame:
     """The same for seeds with very many contexts: windows are dealt out one by one."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
-        owner, offset, a, b = _window_table([r[4] for r in rows])
-        pick = lambda i: np.array([r[i] for r in rows])[owner]
+        owner, offset, a, b = _window_table(batch.column(3).to_pylist())
+        tid, first, n = (batch.column(i).to_numpy()[owner] for i in range(3))
         return pa.RecordBatch.from_arrays([
-            pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(pick(0), pa.int64()), pa.array(pick(1), pa.int64()),
-            pa.array(pick(2) + offset, pa.int32()), pa.array(pick(3), pa.int64()),
-        ], ["a", "b", "k", "tid", "at", "n"])
+            pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(tid), pa.array(first + offset, pa.int32()), pa.array(n)
+        ], ["a", "b", "tid", "at", "n"])
 
-    windows = store(batches(contexts.select("k", "tid", "first", "n", "context"), run, "a long, b long, k long, tid long, at int, n long"), "windows")
+    windows, _ = shelf.put(batches(contexts.select("tid", "first", "n", "context"), run, "a long, b long, tid long, at int, n long"))
     again = windows.groupBy("a", "b").count().where("count > 1").select("a", "b")
-    return windows.where("n = 1").join(again, ["a", "b"], "left_semi").select("k", "tid", F.col("at").alias("first"), (F.col("at") + LENGTH).alias("end"))
+    return windows.where("n = 1").join(again, ["a", "b"], "left_semi").select("tid", F.col("at").alias("first"), (F.col("at") + LENGTH).alias("end"))
 
 
 def _with_context(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """Classes with the bytes of their context."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(7)]
-        for k, tid, raw, entries in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            for e in _own(tid, entries):
-                for column, v in zip(out, (e["key"], k, tid, e["first"], e["n"], e["many"], raw[e["first"] : e["last"] + LENGTH]), strict=True):
-                    column.append(v)
-        kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["key", "k", "tid", "first", "n", "many", "context"]
-        )
+        cut, (key, first, last, n, many) = _columns(batch.column(2))
+        begins, ends, contexts = first.tolist(), (last + LENGTH).tolist(), []
+        for i, raw in enumerate(batch.column(1).to_pylist()):
+            contexts += [raw[begins[j] : ends[j]] for j in range(cut[i], cut[i + 1])]
+        tid = np.repeat(batch.column(0).to_numpy(), np.diff(cut))
+        return pa.RecordBatch.from_arrays([
+            pa.array(key), pa.array(tid), pa.array(first, pa.int32()), pa.array(n), pa.array(many), pa.array(contexts, pa.binary())
+        ], ["key", "tid", "first", "n", "many", "context"])
 
     return _per_text(texts, _lists(classes, "key", "first", "last", "n", "many"), run,
-                     "key long, k long, tid long, first int, n long, many long, context binary")
+                     "key long, tid long, first int, n long, many long, context binary")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -284,30 +308,36 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     seed_contexts: int = SEED_CONTEXTS) -> DataFrame:
     """``(id, n_bytes, spans, kept)`` per row: size, maximal removed runs, remaining bytes."""
     spark = docs.sparkSession
+    shelf = Shelf(spark)
     texts = _dealt(docs, id_col, text_col, count)
     _release(spark)
-    index = SuffixIndex(spark)
+    index = SuffixIndex(shelf)
     for b in range(count):
         index.add(_entries(texts.where(F.col("batch") == b)))
-    contexts = store(_contexts(texts, index.repeated()), "contexts")
-    _release(spark)
-    classes = store(contexts.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "tid", "first", "last")).alias("r")), "classes")
+    contexts, contexts_path = shelf.put(_contexts(texts, index.repeated()))
+    shelf.drop(*[path for *_, path in index.levels])
+    classes, classes_path = shelf.put(contexts.groupBy("key", "c").agg(
+        F.count("*").alias("n"), F.min(F.struct("tid", "first", "last")).alias("r")
+    ))
     # seeds of which some context was seen once, among others
     open_seeds = classes.groupBy("key").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("least = 1 AND many > 1").drop("least")
-    sought = store(_with_context(texts, classes.join(open_seeds, "key").select("key", "n", "many", "r.*")), "contexts")
-    parts = [
-        _side_by_side(sought.where(F.col("many") <= seed_contexts)), _by_content(sought.where(F.col("many") > seed_contexts)),
-        contexts.join(classes.where("n > 1").select("key", "c"), ["key", "c"], "left_semi").select(
-            "k", "tid", "first", (F.col("last") + LENGTH).alias("end")
-        ),
-    ]
-    runs = store(parts[0].union(parts[1]).union(parts[2]), "runs")
+    sought, sought_path = shelf.put(_with_context(texts, classes.join(open_seeds, "key").select("key", "n", "many", "r.*")))
     _release(spark)
+    whole, _ = shelf.put(contexts.join(classes.where("n > 1").select("key", "c"), ["key", "c"], "left_semi").select(
+        "tid", "first", (F.col("last") + LENGTH).alias("end")
+    ))
+    shelf.drop(contexts_path, classes_path)
+    shared, _ = shelf.put(_side_by_side(sought.where(F.col("many") <= seed_contexts)))
+    dealt, _ = shelf.put(_by_content(sought.where(F.col("many") > seed_contexts), shelf))
+    shelf.drop(sought_path)
+    runs = whole.union(shared).union(dealt)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         size, spans, kept = [], [], []
-        for tid, raw, entries in zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True):
-            gone = merged([(e["first"], e["end"]) for e in _own(tid, entries)])
+        cut, fields = _columns(batch.column(3))
+        first, end = (f.tolist() for f in fields)
+        for i, raw in enumerate(batch.column(2).to_pylist()):
+            gone = merged(list(zip(first[cut[i] : cut[i + 1]], end[cut[i] : cut[i + 1]], strict=True)))
             rest, done = [], 0
             for a, b in gone:
                 rest.append(raw[done:a])
