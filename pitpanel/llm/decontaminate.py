@@ -199,7 +199,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, mode: str = "document",
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the words of ``spans``; the marks around them stay."""
-    at = [m.span() for m in WORD.finditer(text)]
+    at = [m.span() for m in WORD.finditer(text.encode("utf-8").lower().decode("utf-8"))]
     out, done = [], 0
     for first, end in spans:
         out.append(text[done : at[first][0]])

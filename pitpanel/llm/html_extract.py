@@ -35,7 +35,7 @@ from pitpanel.llm.common import batches, fresh, table
 from pitpanel.llm.html_tree import Page, features
 from pitpanel.session import store
 
-SAMPLE_PAGES, VARIANTS, TREES, DEPTH = 160, 5, 24, 4
+SAMPLE_PAGES, VARIANTS, TREES, DEPTH = 160, 8, 24, 4
 
 
 @dataclass

@@ -109,16 +109,15 @@ class Page:
             self._parts, self._link = [], 0
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # tag, node, inside a link
+        stack: list[tuple[str, int, bool, bool]] = [("#root", 0, False, False)]  # tag, node, inside a link, unseen
         unseen = 0
         at = 0
 
         def pop_to(k: int) -> None:
             nonlocal unseen
             while len(stack) > k:
-                tag, node, _ = stack.pop()
-                if tag in UNSEEN or tag == "#hidden":
-                    unseen -= 1
+                tag, node, _, dark = stack.pop()
+                unseen -= dark
                 below = stack[-1][1]
                 if node != below:
                     self._flush(node)
@@ -175,15 +174,11 @@ class Page:
                 elif not unseen and not hides and name not in UNSEEN and (groups - {9}):
                     self._flush(node)  # a telling inline element starts a block of its own
                     node = self._add(name, node, groups, label)
-            if hides and name not in UNSEEN:
-                unseen += 1
-                name = "#hidden"
-            elif name in UNSEEN:
-                unseen += 1
-            if m.group(3).endswith("/") and name in ("svg", "math"):
-                unseen -= 1
+            dark = hides or name in UNSEEN
+            if dark and m.group(3).endswith("/") and name in ("svg", "math"):
                 continue
-            stack.append((name, node, link))
+            unseen += dark
+            stack.append((name, node, link, dark))
             if name in RAW and name not in ("svg", "math"):
                 if lowered is None:
                     lowered = source.lower() if len(source.lower()) == len(source) else source

@@ -111,7 +111,9 @@ class Ledger:
             return pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(found, kind)], ["blob", "rules", "findings"])
 
         fresh = batches(todo, run, self.schema, setup=lambda: [(r, compiled(r)) for r in rules])
-        fresh.write.mode("append").parquet(self.path)
+        # a repeated row is the same holder twice; the ledger keeps one entry
+        once = fresh.groupBy("blob", "rules").agg(F.first("findings").alias("findings"))
+        once.write.mode("append").parquet(self.path)
         return self.read().where(F.col("rules") == version)
 
 
@@ -125,7 +127,7 @@ def secrets(docs: DataFrame, *, ledger: Ledger | None = None, rules: tuple[Rule,
     """``(path, blob, findings)`` for every row of ``docs``."""
     versions = versions_of(docs, id_col, text_col)
     ledger = ledger or Ledger(docs.sparkSession)
-    found = ledger.scan(versions, rules).groupBy("blob").agg(F.first("findings").alias("findings"))
+    found = ledger.scan(versions, rules).select("blob", "findings")
     empty = F.expr(f"cast(array() as array<struct<{FINDING.replace(' string', ':string').replace(' int', ':int')}>>)")
     return versions.select("path", "blob").join(found, "blob", "left").select(
         "path", "blob", F.coalesce("findings", empty).alias("findings")
