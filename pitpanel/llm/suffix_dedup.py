@@ -43,7 +43,7 @@ from pitpanel.llm.anchors import LENGTH, anchors
 from pitpanel.llm.common import batches, batches_of, table
 from pitpanel.session import scratch_root
 
-BATCHES, SEED_CONTEXTS, CHUNK_BYTES = 4, 4096, 8 << 20
+BATCHES, SEED_CONTEXTS, CHUNK_BYTES = 4, 4096, 2 << 20
 RUN = "tid long, first int, end int"
 
 
