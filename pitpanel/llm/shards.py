@@ -27,7 +27,7 @@ from pitpanel.llm.common import table
 from pitpanel.session import store
 
 SEED = "shards-1"
-BLOCK = 1024
+BLOCK, SALTS = 1024, 64
 
 
 def _before(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,11 +56,15 @@ def interleaved(docs: DataFrame, *, shards: int, id_col: str = "doc_id", text_co
         (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("draw"),
     ).withColumn("source", F.coalesce("source", F.lit("n"))), "shards")
-    total = rows.groupBy("source").agg(F.count("*").alias("rows"))
+    # dealt by source alone, a hot source would meet in one task: its total is copied to SALTS parts
+    total = rows.groupBy("source").agg(F.count("*").alias("rows")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    )
     n = rows.count()
     cells = max(1, -(-n // cell_rows))
     # a bucket of a source is a slice of the hash range as wide as that source's share asks
-    dealt = rows.join(total, "source").withColumn("unit", _unit(F.col("draw"))).withColumn(
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("draw", "doc_id"), F.lit(SALTS)))
+    dealt = salted.join(total, ["source", "salt"]).drop("salt").withColumn("unit", _unit(F.col("draw"))).withColumn(
         "bucket", F.floor(F.col("unit") / F.lit(float(1 << 48)) * F.ceil(F.col("rows") / cell_rows))
     )
     counts = dealt.groupBy("source", "bucket").agg(F.count("*").alias("n"))
