@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -32,6 +33,13 @@ def medians(train: DataFrame, names: list[str]) -> dict[str, float]:
     return {n: (0.0 if row[n] is None else float(row[n])) for n in names}
 
 
+def training_rows(features: DataFrame, fold) -> DataFrame:
+    """Rows of one fold's training window ``[train_start, train_end)``."""
+    return features.where(
+        (F.col("date") >= F.lit(fold.train_start)) & (F.col("date") < F.lit(fold.train_end))
+    )
+
+
 def fit_ranker(
     train: DataFrame, cfg: RankerConfig, names: list[str] | None = None
 ) -> tuple[dict[str, float], PipelineModel]:
@@ -81,25 +89,26 @@ def rank_assets(
     cfg: RankerConfig,
     names: list[str] | None = None,
     minimum: int = 1,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Snapshot rows of every fold with a model signal.
 
-    The driver loops over the fold list (a config-sized count); each fit and
-    each score is a distributed job on that fold's date range. Folds whose
-    snapshot has fewer than ``minimum`` rows are skipped.
+    The driver submits the folds (a calendar-sized list), ``parallelism`` at a time,
+    since the small jobs of one boosting round leave a cluster idle; each fit is a set
+    of distributed jobs on that fold's dates. Folds whose snapshot has fewer than
+    ``minimum`` rows are skipped.
     """
     sizes = {
         r.fold: r["count"] for r in snapshot.groupBy("fold").count().collect()
     }
-    parts = []
-    for f in folds.orderBy("fold").collect():
-        if sizes.get(f.fold, 0) < minimum:
-            continue
-        train = features.where(
-            (F.col("date") >= F.lit(f.train_start)) & (F.col("date") < F.lit(f.train_end))
-        )
-        bundle = fit_ranker(train, cfg, names)
-        parts.append(score(bundle, snapshot.where(F.col("fold") == f.fold)))
+    wanted = [f for f in folds.orderBy("fold").collect() if sizes.get(f.fold, 0) >= minimum]
+
+    def one(f) -> DataFrame:
+        bundle = fit_ranker(training_rows(features, f), cfg, names)
+        return score(bundle, snapshot.where(F.col("fold") == f.fold))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = list(pool.map(one, wanted))
     if not parts:
         raise ValueError("no fold has enough snapshot rows to rank")
     out = parts[0]

@@ -673,9 +673,7 @@ def rank_ic_summary(p):
 
 @query
 def ranker_scores(p):
-    """Boosted-tree signals of the latest folds, fitted per fold on training rows."""
-    cfg = ExperimentConfig(
-        walk=folds.WalkForward(24, 3, 1, 2), ranker=ranker.RankerConfig(trees=10, depth=3)
-    )
+    """Boosted-tree signals of all folds, fitted per fold on its training rows."""
+    cfg = ExperimentConfig(walk=WALK, periods=52)
     run = walk(p, cfg, financials=p.financials(), macro=p.macro())
     return run.snapshot

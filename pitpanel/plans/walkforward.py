@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pitpanel import contracts
 from pitpanel.operators import allocate, backtest, features, folds, inference, metrics, moments
 from pitpanel.operators import quality, ranker, selection, subset
-from pitpanel.session import cut_lineage, dim
+from pitpanel.session import cut_lineage, dim, store
 
 #: Strategy, its candidate selector, and whether trading costs are charged.
 STRATEGIES = [
@@ -347,7 +347,8 @@ def run_experiment(
     mode: str = "research",
     dates: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Gates, then every table of the experiment by name."""
+    """Gates, then every table of the experiment by name. Prices are stored once for all branches."""
+    prices = store(prices, "prices")
     report = quality.validate_panel(prices)
     audit = quality.leakage_audit(prices, master, side_tables)
     quality.run_gate(report, audit, mode)

@@ -331,3 +331,40 @@ def test_merge_prefers_the_primary_vendor_per_ticker(spark):
     assert rows == {("AAA", "p"), ("BBB", "f")} and out.prices.count() == 5
     with pytest.raises(RuntimeError, match="target is 3"):
         merge.merge_sources(a, b, listing, "2022-01-04", target=3)
+
+
+def test_ema_across_gaps_and_long_histories(spark):
+    rng = np.random.default_rng(0)
+    rows, frames = [], {}
+    for ticker, n, holes in (("A", 6000, slice(3000, 5200)), ("B", 80, slice(10, 11)), ("C", 300, slice(0, 7))):
+        x = 100 + np.cumsum(rng.normal(size=n))
+        x[holes] = np.nan
+        frames[ticker] = pd.Series(x)
+        rows += [(ticker, i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "ticker string, date int, p double")
+    got = with_emas(df, "p", {"e12": 12, "e26": 26}).orderBy("ticker", "date").toPandas()
+    for ticker, part in got.groupby("ticker"):
+        for name, span in (("e12", 12), ("e26", 26)):
+            want = frames[ticker].ewm(span=span, adjust=False).mean()
+            np.testing.assert_allclose(part[name].astype(float), want, rtol=1e-9)
+
+
+def test_asof_breaks_ties_by_value_not_text(spark):
+    left = spark.createDataFrame([("t", 5)], "k string, at int")
+    right = spark.createDataFrame([("t", 3, 9, "nine"), ("t", 3, 10, "ten")], "k string, known int, version int, v string")
+    assert asof.asof_join(left, right, "k", "at", "known", ["v"], "version").first().v == "ten"
+    with pytest.raises(ValueError):
+        asof.asof_join(left.withColumn("v", F.lit("x")), right, "k", "at", "known", ["v"], "version")
+
+
+def test_every_source_is_checked_for_outliers(spark):
+    rows = [("A", D(2022, 1, d), s, p) for s, ps in (("x", (10.0, 10.1, 20.0)), ("y", (10.0, 10.0, 10.0))) for d, p in enumerate(ps, 1)]
+    df = spark.createDataFrame(rows, "ticker string, date date, source string, adjusted_close double")
+    assert [(r.source, r.date.day) for r in quality.return_outliers(df).collect()] == [("x", 3)]
+
+
+def test_ranks_keep_rows_without_a_value(spark):
+    df = spark.createDataFrame([(1, i, None if i % 2 else float(i % 6)) for i in range(40)], "g int, i int, v double")
+    got = {r.i: r.r for r in with_average_rank(df, ["g"], "v", "r").collect()}
+    want = pd.Series([None if i % 2 else float(i % 6) for i in range(40)]).rank()
+    assert got == {i: None if np.isnan(w) else w for i, w in want.items()}
