@@ -193,8 +193,8 @@ cte("policy", "macro", """
     WHERE contains(upper(series_id), 'POLICY_RATE')""")
 _D_ADJ = "CASE WHEN open = close THEN close ELSE close / 2 END"
 cte("primary_feed", "bars_f", f"""
-    SELECT date, ticker, open, high, low, close, {_D_ADJ} AS adjusted_close, volume,
-           volume * close AS trading_value, 'feed_d' AS source, date + 1 AS available_at
+    SELECT date, ticker, open, CASE WHEN volume % 97 = 0 THEN low / 2 ELSE high END AS high, low, close,
+           {_D_ADJ} AS adjusted_close, volume, volume * close AS trading_value, 'feed_d' AS source, date + 1 AS available_at
     FROM bars_f WHERE ticker IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal >= 0)""")
 
 
@@ -663,17 +663,20 @@ oracle("dataset_summary", "tape", """
            max(date) AS "end", string_agg(DISTINCT data_class, '|' ORDER BY data_class) AS data_classes
     FROM tape""")
 oracle("quarantine_rows", "tape", f"SELECT * FROM tape WHERE {_BAD}")
-oracle("leakage_checks", "tape", """
+oracle("leakage_checks", "tape financials", """
     SELECT "check", passed, bool_and(data_class = 'fixture') OVER () AS fixture_only FROM (
       SELECT 'current_universe_not_backfilled' AS "check", TRUE AS passed, 'real' AS data_class
       UNION ALL SELECT 'real_prices_only', NOT bool_or(data_class = 'fixture'), 'real' FROM tape
-      UNION ALL SELECT 'auxiliary_tables_fixture_free', TRUE, 'real'
+      UNION ALL SELECT 'auxiliary_tables_fixture_free', NOT bool_or(s_acctbal < 0), 'real'
+                FROM financials JOIN supplier ON CAST(s_suppkey AS VARCHAR) = ticker
       UNION ALL SELECT 'corporate_action_timestamps', TRUE, 'real'
       UNION ALL SELECT 'available_at_not_after_decision_observation',
                        bool_and(available_at <= date), 'real' FROM tape)""")
-oracle("side_table_status", "", """
-    SELECT * FROM (VALUES ('index_membership', 'real_or_empty'), ('corporate_actions', 'real_or_empty'),
-      ('financial_statements', 'real_or_empty'), ('macro', 'real_or_empty'),
+oracle("side_table_status", "financials macro", """
+    SELECT 'financial_statements' AS "table", CASE WHEN bool_or(s_acctbal < 0) THEN 'fixture' ELSE 'real_or_empty' END AS status
+    FROM financials JOIN supplier ON CAST(s_suppkey AS VARCHAR) = ticker
+    UNION ALL SELECT 'macro', CASE WHEN bool_or(data_class = 'fixture') THEN 'fixture' ELSE 'real_or_empty' END FROM macro
+    UNION ALL SELECT * FROM (VALUES ('index_membership', 'real_or_empty'), ('corporate_actions', 'real_or_empty'),
       ('foreign_flow', 'missing')) t("table", status)""")
 _num = ", ".join(f"CAST(floor({c} * 10000 + 0.5) AS BIGINT)" for c in ("open", "high", "low", "close"))
 _lane = "sum(('0x' || substr(h, {0}, 15))::BIGINT)::VARCHAR AS lane{1}"
@@ -715,7 +718,13 @@ oracle("norm_macro", "macro", """
     FROM macro""")
 oracle("listing_filter", "", """
     SELECT upper(trim(s_name)) AS symbol, min(s_suppkey) AS position, arg_min(s_name, s_suppkey) AS name
-    FROM supplier WHERE regexp_matches(upper(trim(s_name)), '^SUPPLIER#[0-9]{9}$') GROUP BY 1""")
+    FROM supplier WHERE regexp_matches(upper(trim(s_name)), '^SUPPLIER#[0-9]{8}[0-4]$') GROUP BY 1""")
+oracle("listing_first", "", """
+    SELECT upper(s_name) AS symbol, s_suppkey AS position, s_name AS name
+    FROM supplier WHERE s_suppkey % 10 < 5 ORDER BY s_suppkey LIMIT 7""")
+oracle("listing_requested", "", """
+    SELECT upper(s_name) AS symbol, s_suppkey AS position, s_name AS name
+    FROM supplier WHERE s_suppkey IN (1, 3)""")
 oracle("merge_quarantine", "served", f"SELECT * FROM served WHERE {_BAD}")
 oracle("merged_master", "merged", """
     SELECT m.ticker, s_name AS company_name, 'TAPE' AS exchange, first AS listing_date,

@@ -26,6 +26,7 @@ WALK = folds.WalkForward(24, 3, 1)
 #: Weekly bars; the formula signal is asked for, since SQL cannot fit a ranker.
 CONFIG = ExperimentConfig(walk=WALK, ranker=None, periods=52)
 REACHES = "2001-10-15"
+LISTED = "^SUPPLIER#[0-9]{8}[0-4]$"
 
 
 def query(fn):
@@ -207,7 +208,9 @@ def _side_tables(p):
     return {
         "index_membership": p.index_membership(),
         "corporate_actions": p.corporate_actions(),
-        "financial_statements": p.financials(),
+        "financial_statements": p.financials().join(
+            p.good_standing().withColumn("_good", F.lit(True)), "ticker", "left"
+        ).withColumn("data_class", F.when(F.col("_good"), F.col("data_class")).otherwise("fixture")).drop("_good"),
         "macro": p.macro(),
     }
 
@@ -295,8 +298,20 @@ def norm_macro(p):
 
 @query
 def listing_filter(p):
-    named = p.listing().withColumn("symbol", F.col("name"))
-    return feeds.filter_listing(named, pattern="^SUPPLIER#[0-9]{9}$")
+    return feeds.filter_listing(p.repeated_listing(), pattern=LISTED)
+
+
+@query
+def listing_first(p):
+    """The head of the listing; the limit is the feature."""
+    return feeds.filter_listing(p.repeated_listing(), pattern=LISTED, first=7)
+
+
+@query
+def listing_requested(p):
+    """Requested symbols in the requested order, unknown ones left out."""
+    asked = ["supplier#000000003 ", "SUPPLIER#000000001", "nobody", "SUPPLIER#000000003", "SUPPLIER#000000009"]
+    return feeds.filter_listing(p.repeated_listing(), pattern=LISTED, requested=asked)
 
 
 def _merged(p) -> merge.Merged:

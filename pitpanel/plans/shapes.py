@@ -55,6 +55,8 @@ SHAPES = {
     "norm_feed_d": f"date:d ticker {_BAR} source available_at:d parser_version data_class",
     "norm_macro": "date:d available_at:d series_id value:8 source",
     "listing_filter": "symbol position:i name",
+    "listing_first": "symbol position:i name",
+    "listing_requested": "symbol position:i name",
     "merge_sources": f"date:d ticker {_BAR} source available_at:d",
     "merge_quarantine": f"date:d ticker {_BAR} source available_at:d",
     "merged_master": "ticker company_name exchange listing_date:d effective_from:d available_at:d source",

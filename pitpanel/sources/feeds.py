@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel import contracts
+from pitpanel.session import dim
 
 # Vendor field names and what they mean.
 ALIASES = {
@@ -213,7 +214,7 @@ def filter_listing(
         order = df.sparkSession.createDataFrame(
             [(s, i) for i, s in enumerate(wanted)], f"{symbol} string, _at int"
         )
-        return once.join(F.broadcast(order), symbol).orderBy("_at").drop("_at")
+        return once.join(dim(order, len(wanted), 64), symbol).orderBy("_at").drop("_at")
     if first is not None:
         return once.orderBy(position).limit(first)
     return once

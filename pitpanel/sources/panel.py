@@ -385,10 +385,14 @@ class TradePanel:
         return pages.select("series_id", F.to_json(F.struct("observations")).alias("payload"))
 
     def primary_feed(self) -> DataFrame:
-        """Final fills of tickers in good standing, through the feed D normaliser."""
+        """Final fills of tickers in good standing, through the feed D normaliser.
+
+        Bars of some volumes come with a high below their low, as vendors' bad bars do.
+        """
         final = F.col("final")
         raw = self.payload_d(final).join(self.good_standing(), "ticker", "left_semi")
-        return feeds.normalize_feed_d(raw, "table://lineitem/final")
+        bars = feeds.normalize_feed_d(raw, "table://lineitem/final")
+        return bars.withColumn("high", F.when(F.col("volume") % 97 == 0, F.col("low") / 2).otherwise(F.col("high")))
 
     def fallback_feed(self) -> DataFrame:
         """Open fills of every ticker, through the feed C normaliser."""
@@ -400,3 +404,9 @@ class TradePanel:
             F.col("s_suppkey").cast("string").alias("symbol"),
             F.col("s_name").alias("name"),
         )
+
+    def repeated_listing(self) -> DataFrame:
+        """Every supplier's name twice, the second time later in the listing."""
+        once = self.listing().withColumn("symbol", F.concat(F.lit(" "), F.col("name")))
+        return once.unionByName(once.withColumn("position", F.col("position") + 3))
+

@@ -70,5 +70,5 @@ def test_experiment_end_to_end(panel):
 
 def test_research_refuses_fixture_rows(panel):
     fixture = panel.prices().withColumn("data_class", F.lit("fixture"))
-    with pytest.raises(ValueError):
+    with pytest.raises(RuntimeError):
         run_experiment(fixture, panel.master(), {})
