@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,34 @@ def test_disguised_words_are_restored(toxic_model):
     assert model.score(reader.text("calm words number 7 stay here")) < 0.3
 
 
+def test_disguises_of_every_shape_beside_clean_texts(toxic_model):
+    _, model = toxic_model
+    reader = tx.Reader(model.chars, model.weights)
+    for word in ("grumpf", "snarkle", "blotch"):
+        one_mark = [word[:k] + mark + word[k:] for k in range(1, len(word)) for mark in ".-_,~"]
+        doubled = [word[:k] + word[k] + word[k:] for k in range(len(word))]
+        spaced = [" ".join(word) + mark for mark in ".,!"] + [" ".join(f"a{word}i"), f'"{" ".join(word)}"']
+        for text in (*one_mark, *doubled, *spaced, word + "!", f"({word})"):
+            assert model.score(reader.text(f"you {text} stay")) >= tx.THRESHOLD, text
+    for text in ("snark1e", "snarkl3", "gr(umpf", "6rumpf", "8lotch", "b|otch", "blo7ch", "blo+ch"):
+        assert model.score(reader.text(f"you {text} stay")) >= tx.THRESHOLD, text
+    clean = ("calm words, number 7!", "well-known (letters) add 1,000.50 + 455 * 3", "c a l m w o r d s.", "a, b, c", "stay-here", "********", "- - - -")
+    for text in clean:
+        assert model.score(reader.text(text)) < 0.3, text
+
+
+def test_signs_at_the_end_of_a_token_are_read():
+    rows = np.zeros((tx.LETTERS,) * 3)
+    for word in ("idiot", "stay", "calm") * 50:
+        path = [0, 0, *(tx.CharModel.of(c) for c in word), 0]
+        for gram in zip(path, path[1:], path[2:], strict=False):
+            rows[gram] += 1
+    chars = tx.CharModel(rows.ravel())
+    for text in ("idio7", "idio+", "idio+.", "id-iot", "iddiot", "idiot!", "(idiot)", "id10+!", "1d1ot"):
+        assert "idiot" in tx.words_of(text, chars), text
+    assert "stay" in tx.words_of("stay!", chars) and tx.words_of("!", chars) <= {"i"}
+
+
 def test_held_out_labels_do_not_matter(spark, toxic_model):
     df, model = toxic_model
     held = tx.fold_of(F.col("doc_id")) == 1
