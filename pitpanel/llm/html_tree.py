@@ -10,7 +10,9 @@ import numpy as np
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|style|data-y)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute: its whole name and, after an equals sign, its value.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+TELLING = {"class", "id", "role", "itemprop"}
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe object textarea title svg math canvas xmp".split())
@@ -64,7 +66,7 @@ def _attributes(raw: str) -> tuple[frozenset, bool, str | None]:
                 hides = True
             elif name == "style":
                 hides |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-            else:
+            elif name in TELLING:
                 for t in TOKEN.findall(value):
                     groups.update(k for k, p in enumerate(GROUP_RE) if p.match(t.lower()))
         got = _attr_cache[raw] = (frozenset(groups), hides, label)
@@ -162,7 +164,7 @@ class Page:
                 pop_to(k)
             if name in CLOSES and (k := find(*CLOSES[name])):
                 pop_to(k)
-            groups, hides, label = _attributes(m.group(3)) if "=" in m.group(3) or "hidden" in m.group(3) else (frozenset(), False, None)
+            groups, hides, label = _attributes(m.group(3)) if "=" in m.group(3) or "hidden" in m.group(3).lower() else (frozenset(), False, None)
             if name in TAG_GROUP:
                 groups = groups | {TAG_GROUP[name]}
             node, link = stack[-1][1], stack[-1][2] or name == "a"

@@ -26,6 +26,14 @@ def test_blocks_and_broken_markup():
     assert blocks("<div " * 3) == ["<div <div <div"]
 
 
+def test_only_the_attribute_named_hidden_hides():
+    for attribute in ('href="/hidden-gems"', 'title="Hidden"', 'data-title="the hidden city"', 'aria-hidden="false"', "title='a hidden=1 b'", "data-hidden", 'alt="style=display:none"'):
+        assert blocks(f"<p>see <a {attribute}>the link</a> here") == ["see the link here"], attribute
+        assert blocks(f"<article {attribute}><p>text</article>") == ["text"], attribute
+    for attribute in ("hidden", "HIDDEN", 'hidden=""', "hidden='until-found'", 'title="x" hidden', "class=a hidden", 'style="display: none"'):
+        assert blocks(f"<p>a</p><div {attribute}><p>no</div><p>b") == ["a", "b"], attribute
+
+
 def test_no_block_is_kept_below_a_removed_node():
     page = Page("<div class=a><p>one</p><div class=b><p>two</p></div></div><p>three</p>")
     rng = np.random.default_rng(0)
