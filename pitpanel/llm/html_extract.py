@@ -5,8 +5,9 @@ and sentence density), attribute words, depth and siblings. Boosted trees give e
 node the odds of holding main text; the page's labels are the most probable ones in
 which nothing is kept below a removed node, by a sum over the tree from its leaves.
 
-The trees are fitted by Spark on at most ``sample_pages`` pages (the smallest digests of
-their urls). Pages that mark their article carry their own labels. Each of them is also
+The trees are fitted by Spark on at most ``sample_pages`` distinct pages (the smallest
+digests of their text) of those in the whole table that mark their article, which
+carry their own labels. Each of them is also
 rebuilt ``variants`` times from its own blocks in other layouts, with menus, headers,
 sidebars, notices, adverts, forms and comments around and inside the article, so that
 the model does not lean on one site's tags. Where no page marks an article, the trees
@@ -180,11 +181,24 @@ def _rebuilt(page: Page, rng: random.Random) -> str | None:
     return f"<html><body data-y=0>{out}</body></html>"
 
 
-def training_rows(pages: DataFrame, *, html_col: str, url_col: str, sample_pages: int, variants: int) -> DataFrame:
+def labelled(pages: DataFrame, *, html_col: str, sample_pages: int) -> DataFrame:
+    """``(key, html)`` of at most ``sample_pages`` distinct pages that carry a label, found over the whole table."""
+    named = pages.where(F.col(html_col).isNotNull()).select(F.sha2(html_col, 256).alias("key"), F.col(html_col).alias("html"))
+
+    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [labels_of(Page(h)) is not None for h in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(found, pa.bool_()))], ["key"])
+
+    # only pages with one of these words can be marked; they are read to be sure
+    maybe = named.where(F.col("html").rlike("(?i)<article|data-y"))
+    # bounded by the limit, so it may be broadcast
+    keys = batches(maybe, marked, "key string").distinct().orderBy("key").limit(sample_pages)
+    return named.join(F.broadcast(keys), "key").groupBy("key").agg(F.first("html").alias("html"))
+
+
+def training_rows(pages: DataFrame, *, html_col: str, sample_pages: int, variants: int) -> DataFrame:
     """``(features, label)`` of the nodes of sampled pages and of their rebuilt forms."""
-    chosen = pages.where(F.col(html_col).isNotNull()).select(
-        F.xxhash64(F.coalesce(url_col, F.lit("")), html_col).alias("order"), F.col(html_col).alias("html")
-    ).orderBy("order").limit(sample_pages).repartition(8, "order")
+    chosen = labelled(pages, html_col=html_col, sample_pages=sample_pages).repartition(8, "key")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         read, y = [], []
@@ -208,9 +222,9 @@ def training_rows(pages: DataFrame, *, html_col: str, url_col: str, sample_pages
     return batches(chosen, run, "x array<double>, label double")
 
 
-def fit(pages: DataFrame, *, html_col: str = "html", url_col: str = "url", sample_pages: int = SAMPLE_PAGES,
+def fit(pages: DataFrame, *, html_col: str = "html", sample_pages: int = SAMPLE_PAGES,
         variants: int = VARIANTS, trees: int = TREES, depth: int = DEPTH) -> Trees | None:
-    rows = store(training_rows(pages, html_col=html_col, url_col=url_col, sample_pages=sample_pages, variants=variants), "nodes")
+    rows = store(training_rows(pages, html_col=html_col, sample_pages=sample_pages, variants=variants), "nodes")
     if rows.select("label").distinct().count() < 2:
         return None
     rows = rows.select(array_to_vector("x").alias("features"), "label")

@@ -90,6 +90,15 @@ def test_rebuilt_layouts_not_seen_in_training(spark, model):
     assert right / total > 0.93
 
 
+def test_the_sample_holds_distinct_labelled_pages(spark):
+    marked = [f"<nav>menu {i}</nav><ARTICLE><p>text {i}</p></article>" for i in range(5)]
+    rows = [f"<p>page {i} without a mark, article in words</p>" for i in range(400)] + [marked[0]] * 200 + marked + ["", None, "<!-- <article> -->"]
+    df = spark.createDataFrame([(f"u{i}", h) for i, h in enumerate(rows)], "url string, html string")
+    got = [r.html for r in hx.labelled(df, html_col="html", sample_pages=5).collect()]
+    assert sorted(got) == sorted(marked)
+    assert {r.label for r in hx.training_rows(df, html_col="html", sample_pages=5, variants=1).collect()} == {0.0, 1.0}
+
+
 def test_odd_rows(spark, model):
     rows = [(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "<p>" + "word " * 200_000, None), (3, "u", "<nav><a>x</a></nav>", "t"), (None, None, "plain", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, Text string")
