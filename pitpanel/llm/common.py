@@ -12,8 +12,10 @@ from pitpanel.session import cut_lineage, store
 
 #: Rows and bytes that one Arrow batch may hold; bounds the Python side whatever a row weighs.
 BATCH_ROWS, BATCH_BYTES = 512, 16 * 1024 * 1024
+#: Signs of text that are worked on at a time.
+PIECE = 1 << 22
 
-__all__ = ["batches", "batches_of", "components", "cut_lineage", "fresh", "store", "table", "text_words"]
+__all__ = ["batches", "batches_of", "components", "cut_lineage", "fresh", "pieces", "store", "table", "text_words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,18 @@ def batches_of(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
+def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Consecutive rows of about ``PIECE`` signs, each text whole, with the first row's number."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t or "") > PIECE:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(t or "")
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names made from ``names`` that ``df`` does not have, whatever the letter case."""
     taken = {c.lower() for c in df.columns}

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pitpanel.llm.decontaminate import op6_benchmark_decontamination
 from pitpanel.llm.embedding_dedup import op8_embedding_near_dedup
 from pitpanel.llm.html_extract import op10_html_main_text
+from pitpanel.llm.language_masks import op13_language_masks
 from pitpanel.llm.lines import op1_line_dedup
 from pitpanel.llm.minhash import op2_minhash_near_dedup
 from pitpanel.llm.mixing import BUDGET, SWEEPS, TEMPER, op3_target_mixture
+from pitpanel.llm.ranked_search import K, op11_ranked_search
 from pitpanel.llm.secrets import op9_secret_ledger
 from pitpanel.llm.shards import op5_stratified_shards
 from pitpanel.llm.suffix_dedup import op7_suffix_array_dedup
+from pitpanel.llm.token_alignment import op12_token_alignment
 from pitpanel.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
         op8_embedding_near_dedup,
         op9_secret_ledger,
         op10_html_main_text,
+        op11_ranked_search,
+        op12_token_alignment,
+        op13_language_masks,
     )
 }
 
@@ -58,6 +64,29 @@ def _targets() -> str:
 
 
 ORACLE_SQL = {
+    "op11_ranked_search": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+whole AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+p AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+weighed AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, whole GROUP BY term, docs),
+q AS (
+  SELECT item_id, text, term, count(*) AS times
+  FROM (SELECT item_id, text,
+               unnest(regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+scored AS (
+  SELECT item_id, text, rid, doc_id,
+         sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+  FROM q JOIN weighed USING (term) JOIN p USING (term), whole GROUP BY ALL),
+ranked AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST, rid)::INT AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {K}
+""",
     "op6_benchmark_decontamination": rf"""
 WITH b AS (
   SELECT cast(item_id AS VARCHAR) AS item,
