@@ -406,11 +406,14 @@ cte("shrink", "rows_l means_l", f"""
     JOIN means_l m ON m.strategy = s.strategy AND m.fold = s.fold AND m.idx = s.i""")
 
 
-def _backtest(tag: str, chosen: str, costed: str) -> None:
+def _equal_weights(tag: str, chosen: str) -> None:
     cte(f"weights{tag}", f"{chosen} folds weeks", f"""
     SELECT strategy, fold, ticker, 1.0 / count(*) OVER (PARTITION BY strategy, fold) AS weight
     FROM {chosen} c WHERE EXISTS (SELECT 1 FROM weeks w JOIN folds f
       ON w.date > f.test_start AND w.date <= f.test_end WHERE f.fold = c.fold)""")
+
+
+def _backtest(tag: str, costed: str) -> None:
     cte(f"held{tag}", f"weights{tag} folds rets", f"""
     SELECT w.strategy, w.fold, w.ticker, w.weight, r.date, coalesce(r.ret1, 0) AS ret1
     FROM weights{tag} w JOIN folds f ON f.fold = w.fold
@@ -453,9 +456,93 @@ for _k in (K, K - 1):
     SELECT p.* FROM pools p JOIN best{_k} b ON b.strategy = p.strategy AND b.fold = p.fold
     WHERE ((b.mask >> p.idx) & 1) = 1""")
     cte(f"chosen_ad{_k}", f"chosen{_k}", f"SELECT * FROM chosen{_k} WHERE strategy = 'adaptive'")
-_backtest("", f"chosen{K}", "strategy = 'adaptive_costed'")
+_equal_weights("", f"chosen{K}")
+_backtest("", "strategy = 'adaptive_costed'")
 for _k in (K, K - 1):
-    _backtest(f"_ad{_k}", f"chosen_ad{_k}", "FALSE")
+    _equal_weights(f"_ad{_k}", f"chosen_ad{_k}")
+    _backtest(f"_ad{_k}", "FALSE")
+
+# Optimised weights of subsets of three. The assets strictly between their bounds and off their old
+# weights number none to three; each case has a closed form.
+LOW, HIGH, RISK, TRADE = 0.0, 0.6, 1.0, 0.001
+cte("asked", f"weights chosen{K} held mom", f"""
+    SELECT w.strategy, w.fold, row_number() OVER (PARTITION BY w.strategy ORDER BY w.fold) AS step,
+           list(w.ticker ORDER BY c.idx) AS names, list(coalesce(g.growth, 1) ORDER BY c.idx) AS growth,
+           any_value(m.mu) AS mu, any_value(m.cov) AS cov
+    FROM weights w JOIN chosen{K} c USING (strategy, fold, ticker)
+    LEFT JOIN (SELECT strategy, fold, ticker, product(1 + ret1) AS growth FROM held GROUP BY ALL) g
+      USING (strategy, fold, ticker)
+    JOIN (SELECT strategy, fold, list(mu ORDER BY i) FILTER (WHERE i = j) AS mu, list(cov ORDER BY i, j) AS cov
+          FROM (SELECT m.* FROM mom m JOIN chosen{K} a ON a.strategy = m.strategy AND a.fold = m.fold AND a.idx = m.i
+                JOIN chosen{K} b ON b.strategy = m.strategy AND b.fold = m.fold AND b.idx = m.j) GROUP BY 1, 2) m
+      ON m.strategy = w.strategy AND m.fold = w.fold
+    GROUP BY w.strategy, w.fold""")
+cte("states", "", """
+    SELECT [x, y, z] AS s, list_filter([1, 2, 3], lambda i: [x, y, z][i] > 2) AS f
+    FROM range(5) a(x), range(5) b(y), range(5) c(z)""")
+
+
+def _c(i: str, j: str) -> str:
+    return f"(cov[3 * ({i} - 1) + {j}] + CASE WHEN {i} = {j} THEN 1e-10 ELSE 0 END)"
+
+
+def _b(i: str) -> str:
+    """Slope of asset ``i`` with every free asset at 0."""
+    others = " + ".join(f"CASE WHEN list_contains(f, {j}) THEN 0 ELSE {_c(i, str(j))} * v[{j}] END" for j in (1, 2, 3))
+    return f"(mu[{i}] - {TRADE} * CASE WHEN s[{i}] = 3 THEN -1 ELSE 1 END - {2 * RISK} * ({others}))"
+
+
+def _pair(a: str, b: str) -> str:
+    """Weight of ``a`` when ``a`` and ``b`` share what is left."""
+    return (f"(({2 * RISK} * rest * ({_c(b, b)} - {_c(a, b)}) + {_b(a)} - {_b(b)}) / "
+            f"({2 * RISK} * ({_c(a, a)} - 2 * {_c(a, b)} + {_c(b, b)})))")
+
+
+# with the third weight 1 - x - y: two equations for x and y
+_m11 = f"({_c('1', '1')} - 2 * {_c('1', '3')} + {_c('3', '3')})"
+_m22 = f"({_c('2', '2')} - 2 * {_c('2', '3')} + {_c('3', '3')})"
+_m12 = f"({_c('1', '2')} - {_c('1', '3')} - {_c('2', '3')} + {_c('3', '3')})"
+_r1 = f"({_c('3', '3')} - {_c('1', '3')} + ({_b('1')} - {_b('3')}) / {2 * RISK})"
+_r2 = f"({_c('3', '3')} - {_c('2', '3')} + ({_b('2')} - {_b('3')}) / {2 * RISK})"
+_det = f"({_m11} * {_m22} - {_m12} * {_m12})"
+_x, _y = f"(({_r1} * {_m22} - {_r2} * {_m12}) / {_det})", f"(({_r2} * {_m11} - {_r1} * {_m12}) / {_det})"
+_goal = " + ".join(
+    [f"{RISK} * w[{i}] * w[{j}] * {_c(str(i), str(j))}" for i in (1, 2, 3) for j in (1, 2, 3)]
+    + [f"{TRADE} * abs(w[{i}] - p[{i}]) - mu[{i}] * w[{i}]" for i in (1, 2, 3)])
+_feasible = " AND ".join(f"w[{i}] BETWEEN {LOW} - 1e-9 AND {HIGH} + 1e-9" for i in (1, 2, 3))
+cte("walk", "asked states", f"""
+    SELECT strategy, 0 AS step, 0 AS fold, []::VARCHAR[] AS names, []::DOUBLE[] AS w, []::VARCHAR[] AS old_names,
+           []::DOUBLE[] AS old, []::DOUBLE[] AS after FROM (SELECT DISTINCT strategy FROM asked)
+    UNION ALL
+    SELECT strategy, step, fold, names, w, old_names, old,
+           CASE WHEN t > 0 THEN list_transform(list_transform(g, lambda x: x / t), lambda x: CASE WHEN x > 1e-12 THEN x ELSE 0 END) ELSE w END
+    FROM (SELECT *, list_sum(g) AS t FROM (
+      SELECT *, [w[1] * growth[1], w[2] * growth[2], w[3] * growth[3]] AS g FROM (
+        SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY {_goal}, s) AS best FROM (
+          SELECT *, CASE len(f)
+                    WHEN 0 THEN v
+                    WHEN 1 THEN list_transform([1, 2, 3], lambda i: CASE WHEN i = f[1] THEN rest ELSE v[i] END)
+                    WHEN 2 THEN list_transform([1, 2, 3], lambda i: CASE WHEN i = f[1] THEN half WHEN i = f[2] THEN rest - half ELSE v[i] END)
+                    ELSE [x, y, 1 - x - y] END AS w
+          FROM (SELECT *, CASE WHEN len(f) = 2 THEN {_pair('f[1]', 'f[2]')} END AS half,
+                       CASE WHEN len(f) = 3 THEN {_x} END AS x, CASE WHEN len(f) = 3 THEN {_y} END AS y
+                FROM (SELECT *, 1 - list_sum(v) AS rest FROM (
+                  SELECT *, list_transform([1, 2, 3], lambda i:
+                              CASE s[i] WHEN 0 THEN {LOW} WHEN 1 THEN {HIGH} WHEN 2 THEN p[i] ELSE 0 END) AS v
+                  FROM (SELECT a.strategy, a.step, a.fold, a.names, a.growth, a.mu, a.cov, k.names AS old_names, k.after AS old,
+                               list_transform(a.names, lambda n: coalesce(k.after[list_position(k.names, n)], 0)) AS p
+                        FROM walk k JOIN asked a ON a.strategy = k.strategy AND a.step = k.step + 1), states)))
+        ) WHERE abs(list_sum(w) - 1) <= 1e-9 AND {_feasible}) WHERE best = 1))""")
+cte("allocated", "walk", """
+    SELECT strategy, fold, ticker, coalesce(w, 0) AS weight, coalesce(old, 0) AS pre_trade_weight
+    FROM (SELECT strategy, fold, unnest(names) AS ticker, unnest(w) AS w FROM walk WHERE step > 0)
+    FULL JOIN (SELECT * FROM (SELECT strategy, fold, unnest(old_names) AS ticker, unnest(old) AS old FROM walk WHERE step > 0) WHERE old > 0)
+      USING (strategy, fold, ticker)""")
+cte("weights_o", "allocated", "SELECT strategy, fold, ticker, weight FROM allocated WHERE weight <> 0")
+_backtest("_o", "strategy = 'adaptive_costed'")
+cte("weights_peer", "weights", """
+    SELECT 'equal_weight_selected' AS strategy, fold, ticker, weight FROM weights WHERE strategy = 'adaptive_costed'""")
+_backtest("_peer", "FALSE")
 _grid = " UNION ALL ".join(
     f"""SELECT g.fold, {k} AS cardinality, b.bps AS transaction_cost_bps, g.gross_return, t.turnover,
            g.gross_return - t.turnover * b.bps / 10000 AS net_return
@@ -463,7 +550,8 @@ _grid = " UNION ALL ".join(
     JOIN turns_ad{k} t ON t.strategy = g.strategy AND t.fold = g.fold
     CROSS JOIN (VALUES (0.0), ({COST}), (25.0)) b(bps)""" for k in (K, K - 1))
 cte("grid", " ".join(f"port_ad{k} turns_ad{k}" for k in (K, K - 1)), _grid)
-cte("ablation", f"weights chosen{K} best{K} turns port", f"""
+def _ablation(tag: str) -> None:
+    cte(f"ablation{tag}", f"weights chosen{K} best{K} turns{tag} port{tag}", f"""
     SELECT b.fold, b.strategy AS configuration, split_part(b.strategy, '_', 1) AS selector,
            'exact' AS solver, c.names AS selected_tickers, b.energy AS objective,
            0.0 AS optimality_gap, 1.0 AS feasibility_rate, t.turnover, t.transaction_cost,
@@ -471,9 +559,13 @@ cte("ablation", f"weights chosen{K} best{K} turns port", f"""
     FROM best{K} b
     JOIN (SELECT strategy, fold, string_agg(ticker, '|' ORDER BY idx) AS names
           FROM chosen{K} SEMI JOIN weights USING (strategy, fold) GROUP BY 1, 2) c USING (strategy, fold)
-    LEFT JOIN turns t USING (strategy, fold)
-    LEFT JOIN (SELECT strategy, fold, product(1 + ret) - 1 AS net_return FROM port GROUP BY 1, 2) g
+    LEFT JOIN turns{tag} t USING (strategy, fold)
+    LEFT JOIN (SELECT strategy, fold, product(1 + ret) - 1 AS net_return FROM port{tag} GROUP BY 1, 2) g
       USING (strategy, fold)""")
+
+
+_ablation("")
+_ablation("_o")
 cte("regimes", "market", """
     SELECT *, CASE WHEN trailing_return > 0.05 THEN 'bull' WHEN trailing_return < -0.05 THEN 'bear'
                    ELSE 'sideway' END
@@ -612,7 +704,7 @@ for _name, _table in {
     "topm_liquidity": "top_liquidity", "topm_signal": "top_signal", "topm_ewma": "top_ewma",
     "ewma_cov": "mom_l", "shrunk_cov": "shrink", "selection_matrix": "q_l",
     "subset_energies": f"energies_l{K}", "best_subset": f"best{K}",
-    "subset_random_search": "search_l0", "subset_gap": "runs_l", "turnover_equal": "turns",
+    "allocate_weights": "allocated", "subset_random_search": "search_l0", "subset_gap": "runs_l", "turnover_equal": "turns",
     "trades_equal": "trades", "drift_equal": "drifted", "backtest_equal": "port",
     "ablation_equal": "ablation", "cardinality_cost_grid": "grid", "regimes": "regimes",
     "paired_bootstrap": "boot", "holm": "holm", "sector_bootstrap": "holm_s", "rank_ic": "ic",
@@ -784,12 +876,14 @@ oracle("instances_json", "q pools decisions", f"""
                  string_agg(ticker, '|' ORDER BY idx) AS tickers FROM pools GROUP BY 1, 2) p
       USING (strategy, fold)
     JOIN decisions d USING (fold)""")
-oracle("ablation_summary_equal", "ablation", """
+for _name, _tag in (("ablation_summary_equal", ""), ("ablation_summary", "_o")):
+    oracle(_name, f"ablation{_tag}", f"""
     SELECT configuration, selector, solver, count(DISTINCT fold) AS folds,
            avg(objective) AS objective_mean, avg(feasibility_rate) AS feasibility_rate,
            avg(optimality_gap) AS optimality_gap, avg(turnover) AS turnover_mean,
            sum(transaction_cost) AS transaction_cost
-    FROM ablation GROUP BY 1, 2, 3""")
+    FROM ablation{_tag} GROUP BY 1, 2, 3""")
+oracle("backtest_optimised", "port_o port_peer", "SELECT * FROM port_o UNION ALL SELECT * FROM port_peer")
 oracle("sensitivity_summary", "grid", """
     SELECT cardinality, transaction_cost_bps, avg(net_return) AS net_return_mean,
            avg(gross_return) AS gross_return_mean, avg(turnover) AS turnover_mean, count(*) AS cases

@@ -261,23 +261,93 @@ def test_subset_size_is_guarded(spark):
         subset.best_subset(subset.instances(matrix(spark, np.eye(17)), 2)).collect()
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_weights_beat_a_grid(seed):
-    rng = np.random.default_rng(seed)
+def problem_tables(spark, problems):
+    """``chosen``, ``moments`` and ``growth`` of (strategy, fold, tickers, mu, cov, growth) problems."""
+    chosen, cells, grown = [], [], []
+    for s, f, names, mu, cov, g in problems:
+        chosen += [(s, f, 2 * i, t) for i, t in enumerate(names)]  # indices of a pool have gaps
+        cells += [(s, f, 2 * i, 2 * j, float(mu[i]), float(cov[i][j])) for i in range(len(names)) for j in range(len(names))]
+        cells += [(s, f, 1, 2 * i, 0.1, 0.2) for i in range(len(names))]  # not chosen
+        grown += [(s, f, t, None if x is None else float(x)) for t, x in zip(names, g)]
+    key = "strategy string, fold int"
+    return (
+        spark.createDataFrame(chosen, f"{key}, idx int, ticker string"),
+        spark.createDataFrame(cells, f"{key}, i int, j int, mu double, cov double"),
+        spark.createDataFrame(grown, f"{key}, ticker string, growth double"),
+    )
+
+
+@pytest.mark.parametrize("size,rule", [
+    (3, allocate.WeightRule(0.0, 0.6, 1.0, 0.01)), (4, allocate.WeightRule(0.05, 0.5, 2.5, 0.002)),
+    (2, allocate.WeightRule(0.0, 1.0, 0.5, 0.0)), (1, allocate.WeightRule(0.0, 1.0)),
+])
+def test_weights_are_the_minimum_fold_after_fold(spark, size, rule):
+    rng = np.random.default_rng(size)
+    problems = []
+    for s in "xy":
+        for f in (0, 2, 3, 7):
+            a = rng.normal(size=(size, size)) * 0.2
+            names = sorted(rng.choice(list("ABCDEF"), size, replace=False).tolist())
+            problems.append((s, f, names, rng.normal(0, 0.05, size), a @ a.T, [*rng.uniform(0.5, 1.5, size - 1), None]))
+    got = allocate.allocate_weights(*problem_tables(spark, problems), rule).collect()
+    held = {}
+    for s, f, names, mu, cov, growth in sorted(problems, key=lambda p: (p[0], p[1])):
+        rows = {r.ticker: r for r in got if (r.strategy, r.fold) == (s, f)}
+        before = held.get(s, {})
+        assert rows.keys() == set(names) | before.keys()
+        for t, r in rows.items():
+            assert np.isclose(r.pre_trade_weight, before.get(t, 0.0), atol=1e-12) and (t in names or r.weight == 0)
+        w, prev = np.array([rows[t].weight for t in names]), np.array([before.get(t, 0.0) for t in names])
+        assert np.isclose(w.sum(), 1) and (w >= rule.lower).all() and (w <= rule.upper).all()
+
+        def cost(v):
+            return rule.risk_aversion * v @ (cov + 1e-10 * np.eye(size)) @ v - mu @ v + rule.turnover_penalty * np.abs(v - prev).sum()
+
+        # separable kinks: no exchange between two assets may gain anything
+        for i in range(size):
+            for j in range(size):
+                for e in (1e-2, 1e-4, 1e-6):
+                    v = w.copy()
+                    v[i], v[j] = v[i] + e, v[j] - e
+                    if i != j and v[i] <= rule.upper and v[j] >= rule.lower:
+                        assert cost(v) >= cost(w) - 1e-12
+        grown = w * np.array([1.0 if g is None else g for g in growth])
+        held[s] = {t: x for t, x in zip(names, grown / grown.sum()) if x > 1e-12}
+
+
+def test_weights_beat_a_grid(spark):
+    rng = np.random.default_rng(0)
     a = rng.normal(size=(3, 3)) * 0.2
-    mu, cov, prev = rng.normal(0, 0.05, 3), a @ a.T, np.array([0.5, 0.2, 0.0])
-    rule = allocate.WeightRule(0.0, 0.6, 1.0, 0.01)
-    w = allocate.solve_weights(mu, cov, prev, rule)
-    assert np.isclose(w.sum(), 1) and (w >= -1e-12).all() and (w <= 0.6 + 1e-12).all()
+    mu, cov, rule = rng.normal(0, 0.05, 3), a @ a.T, allocate.WeightRule(0.0, 0.6, 1.0, 0.01)
+    got = allocate.allocate_weights(*problem_tables(spark, [("s", 0, ["A", "B", "C"], mu, cov, [1, 1, 1])]), rule)
+    w = np.array([r.weight for r in got.orderBy("ticker").collect()])
 
     def cost(v):
-        return v @ cov @ v - mu @ v + 0.01 * np.abs(v - prev).sum()
+        return v @ cov @ v - mu @ v + 0.01 * np.abs(v).sum()
 
     steps = np.linspace(0, 0.6, 61)
     grid = (np.array([x, y, 1 - x - y]) for x in steps for y in steps if -1e-9 <= 1 - x - y <= 0.6)
     assert cost(w) <= min(map(cost, grid)) + 1e-9
-    with pytest.raises(ValueError, match="infeasible"):
-        allocate.solve_weights(mu, cov, prev, allocate.WeightRule(0.0, 0.2))
+
+
+def test_weights_that_cannot_be_are_refused(spark):
+    eye = np.eye(6).tolist()
+    three = problem_tables(spark, [("s", 0, ["A", "B", "C"], [0, 0, 0], eye, [1, 1, 1])])
+    with pytest.raises(Exception, match="infeasible weight bounds for a subset of 3"):
+        allocate.allocate_weights(*three, allocate.WeightRule(0.0, 0.2)).collect()
+    six = problem_tables(spark, [("s", 0, list("ABCDEF"), [0] * 6, eye, [1] * 6)])
+    with pytest.raises(Exception, match="limited to subsets of 5"):
+        allocate.allocate_weights(*six, allocate.WeightRule()).collect()
+    with pytest.raises(ValueError, match="risk aversion"):
+        allocate.allocate_weights(*three, allocate.WeightRule(risk_aversion=0.0))
+
+
+def test_a_worthless_portfolio_keeps_its_targets(spark):
+    cells = [("s", f, ["A", "B"], [0.0, 0.0], np.eye(2).tolist(), [0.0, 0.0]) for f in (0, 1)]
+    cells.append(("s", 2, ["A", "C"], [float("nan"), 0.0], np.eye(2).tolist(), [1.0, 1.0]))
+    got = allocate.allocate_weights(*problem_tables(spark, cells), allocate.WeightRule(turnover_penalty=0.0)).collect()
+    want = [(0, "A", 0.5, 0.0), (0, "B", 0.5, 0.0), (1, "A", 0.5, 0.5), (1, "B", 0.5, 0.5), (2, "A", 0.5, 0.5), (2, "B", 0.0, 0.5), (2, "C", 0.5, 0.0)]
+    assert sorted((r.fold, r.ticker, round(r.weight, 9), round(r.pre_trade_weight, 9)) for r in got) == want
 
 
 def test_turnover_counts_sales_and_purchases(spark):
