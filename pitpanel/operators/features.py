@@ -13,11 +13,12 @@ from pitpanel.functions.rolling import (
 )
 from pitpanel.functions.scalars import ratio
 from pitpanel.operators.asof import asof_join, asof_on_dates
-from pitpanel.session import dim
+from pitpanel.session import dim, store
 
 P = "adjusted_close"
 HORIZONS = (5, 20, 60, 120)
 EMA_SPANS = [12, 20, 26]
+PIT_COLUMNS = ("roe_pit", "revenue_growth_yoy_pit", "policy_rate_pit")
 
 
 @dataclass
@@ -197,17 +198,30 @@ def market_features(
 def build_features(
     prices: DataFrame, dates: int | None = None, market: DataFrame | None = None
 ) -> DataFrame:
-    """Features, label, label rank and empty publication-time columns."""
+    """Features, label and label rank; publication-time columns are kept, or empty if absent.
+
+    Attach slow tables to the prices, before this: their as-of joins then sort slim rows, and the
+    optimiser need not carry every feature's expression through them.
+    """
     df = add_target_rank(market_features(prices, dates, market), dates=dates)
     unknown = F.lit(None).cast("double")
-    return df.withColumns(
-        {
-            "feature_available_at": F.col("date"),
-            "roe_pit": unknown,
-            "revenue_growth_yoy_pit": unknown,
-            "policy_rate_pit": unknown,
-        }
-    )
+    slow = {c: unknown for c in PIT_COLUMNS if c not in prices.columns}
+    return df.withColumns({"feature_available_at": F.col("date"), **slow})
+
+
+def all_features(
+    prices: DataFrame,
+    financials: DataFrame | None = None,
+    macro: DataFrame | None = None,
+    dates: int | None = None,
+    market: DataFrame | None = None,
+) -> DataFrame:
+    """Market features and publication-time features; prices with the latter are stored once for all branches."""
+    if financials is not None or macro is not None:
+        if market is None:
+            market = market_returns(with_ret1(prices))
+        prices = store(attach_point_in_time(prices, financials, macro, dates), "prices")
+    return build_features(prices, dates, market)
 
 
 def fundamental_ratios(financials: DataFrame) -> DataFrame:

@@ -1,19 +1,35 @@
-"""Ranking assets per fold with a boosted-tree regressor of Spark ML."""
+"""Ranking assets per fold with boosted-tree regressors of Spark ML, all folds together.
+
+Medians for imputation and row counts of all folds come from one grouped aggregate. Each
+fold's training rows go to Spark ML in as few partitions as they need, since a boosting round
+is many jobs over the same rows. A fitted model is small (trees x nodes); the models of all
+folds become one table of arrays, so that the snapshots of all folds are scored in one pass.
+"""
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.contracts import FEATURES
 from pitpanel.functions.ranks import with_average_rank
-from pitpanel.session import cut_lineage, store
+from pitpanel.operators.folds import fold_dates
+from pitpanel.session import dim, store
+
+#: Training rows of one partition.
+TASK_ROWS = 100_000
+#: Rank error of a median is at most one part in so many of the rows.
+MEDIAN_ACCURACY = 10_000
+MODEL = (
+    "fold int, fill array<double>, depth int, tree_weights array<double>, split_features array<int>, "
+    "thresholds array<double>, leaves array<double>"
+)
 
 
 @dataclass(frozen=True)
@@ -24,15 +40,6 @@ class RankerConfig:
     seed: int = 42
 
 
-def medians(train: DataFrame, names: list[str]) -> dict[str, float]:
-    """Exact per-feature medians of the training rows; a feature without values is 0.
-
-    Tasks merge counts per distinct value; one driver row comes back.
-    """
-    row = train.agg(*[F.percentile(n, F.lit(0.5)).alias(n) for n in names]).first()
-    return {n: (0.0 if row[n] is None else float(row[n])) for n in names}
-
-
 def training_rows(features: DataFrame, fold) -> DataFrame:
     """Rows of one fold's training window ``[train_start, train_end)``."""
     return features.where(
@@ -40,32 +47,81 @@ def training_rows(features: DataFrame, fold) -> DataFrame:
     )
 
 
-def fit_ranker(
-    train: DataFrame, cfg: RankerConfig, names: list[str] | None = None
-) -> tuple[dict[str, float], PipelineModel]:
-    """Impute, scale and boost on the label rank; only training rows are used."""
-    names = names or FEATURES
-    usable = train.where(F.col("target_rank").isNotNull())
-    fill = medians(usable, names)
-    stages = [
-        VectorAssembler(inputCols=names, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_x", withMean=True),
-        GBTRegressor(
-            featuresCol="_x",
-            labelCol="target_rank",
-            predictionCol="signal",
-            maxIter=cfg.trees,
-            maxDepth=cfg.depth,
-            stepSize=cfg.step,
-            seed=cfg.seed,
-        ),
-    ]
-    return fill, Pipeline(stages=stages).fit(usable.fillna(fill).select(*names, "target_rank"))
-
-
-def score(bundle: tuple[dict[str, float], PipelineModel], rows: DataFrame) -> DataFrame:
-    fill, model = bundle
-    return model.transform(rows.fillna(fill)).drop("_raw", "_x")
+def fold_medians(features: DataFrame, folds: DataFrame, names: list[str], bound: int | None = None) -> DataFrame:
+    """(fold, train_rows, one median per feature) over labelled training rows; a feature without values is 0.
+
+    Medians are approximate (``MEDIAN_ACCURACY``), so a fold's state is bounded.
+    """
+    days = fold_dates(folds).where("role = 'train'").select("fold", "date")
+    rows = features.where(F.col("target_rank").isNotNull()).select("date", *names)
+    middle = [F.coalesce(F.percentile_approx(n, 0.5, MEDIAN_ACCURACY), F.lit(0.0)).cast("double").alias(n) for n in names]
+    return rows.join(dim(days, bound, 16), "date").groupBy("fold").agg(F.count(F.lit(1)).alias("train_rows"), *middle)
+
+
+def fit_ranker(train: DataFrame, fill: dict[str, float], cfg: RankerConfig, names: list[str], rows: int) -> GBTRegressionModel:
+    """Impute and boost on the label rank; only training rows are used. Trees need no scaling."""
+    usable = train.where(F.col("target_rank").isNotNull()).select(*names, "target_rank").fillna(fill)
+    packed = VectorAssembler(inputCols=names, outputCol="_x").transform(usable).select("_x", "target_rank")
+    boosted = GBTRegressor(
+        featuresCol="_x", labelCol="target_rank", maxIter=cfg.trees, maxDepth=cfg.depth, stepSize=cfg.step, seed=cfg.seed
+    )
+    return boosted.fit(packed.coalesce(max(1, -(-rows // TASK_ROWS))))
+
+
+def tree_arrays(model: GBTRegressionModel, depth: int) -> tuple[list[float], list[int], list[float], list[float]]:
+    """Weights of the trees, and per tree the split features, thresholds and leaves of a full tree of ``depth``.
+
+    A leaf above the last level stands for all leaves below it, with splits that do not matter.
+    """
+    inner, ends = 2**depth - 1, 2**depth
+    features, thresholds, leaves = [], [], []
+
+    def grow(node: int, lines: list[str]) -> None:
+        line = lines.pop(0).strip()
+        split = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line)
+        if split:
+            features[-inner + node], thresholds[-inner + node] = int(split[1]), float(split[2])
+            grow(2 * node + 1, lines)
+            other = lines.pop(0).strip()
+            if not other.startswith("Else"):
+                raise ValueError(f"cannot read a tree at: {other}")
+            grow(2 * node + 2, lines)
+            return
+        value = re.fullmatch(r"Predict: (\S+)", line)
+        if not value:
+            raise ValueError(f"cannot read a tree at: {line}")
+        below = [node]
+        while below[0] < inner:
+            below = [c for n in below for c in (2 * n + 1, 2 * n + 2)]
+        for n in below:
+            leaves[-ends + n - inner] = float(value[1])
+
+    for text in re.split(r"\n\s*Tree \d+ \(weight \S+\):\n", model.toDebugString)[1:]:
+        features += [0] * inner
+        thresholds += [0.0] * inner
+        leaves += [0.0] * ends
+        grow(0, [line for line in text.splitlines() if line.strip()])
+    return [float(w) for w in model.treeWeights], features, thresholds, leaves
+
+
+def score(models: DataFrame, rows: DataFrame, names: list[str], depth: int, bound: int | None = None) -> DataFrame:
+    """``rows`` of all folds with a ``signal``, from one table of models keyed by fold."""
+    inner, ends = 2**depth - 1, 2**depth
+    inputs = F.array(*[F.coalesce(F.nanvl(F.col(n).cast("double"), F.lit(None)), F.get("fill", F.lit(i))) for i, n in enumerate(names)])
+
+    def leaf(tree: Column) -> Column:
+        node = F.lit(0)
+        for _ in range(depth):
+            at = tree * inner + node
+            left = F.get("_in", F.get("split_features", at)) <= F.get("thresholds", at)
+            node = 2 * node + F.when(left, 1).otherwise(2)
+        return F.get("leaves", tree * ends + node - inner)
+
+    signal = F.aggregate(
+        F.sequence(F.lit(0), F.size("tree_weights") - 1), F.lit(0.0), lambda s, t: s + F.get("tree_weights", t) * leaf(t)
+    )
+    joined = rows.join(dim(models, bound, 8192), "fold").withColumn("_in", inputs).withColumn("signal", signal)
+    return joined.select(*rows.columns, "signal")
 
 
 def rank_ic(scored: DataFrame, folds: int | None = None) -> DataFrame:
@@ -89,29 +145,29 @@ def rank_assets(
     cfg: RankerConfig,
     names: list[str] | None = None,
     minimum: int = 1,
-    parallelism: int = 8,
+    parallelism: int = 16,
+    bound: int | None = None,
 ) -> DataFrame:
     """Snapshot rows of every fold with a model signal.
 
-    The driver submits the folds (a calendar-sized list), ``parallelism`` at a time,
-    since the small jobs of one boosting round leave a cluster idle; each fit is a set
-    of distributed jobs on that fold's dates. Folds whose snapshot has fewer than
-    ``minimum`` rows are skipped.
+    ``features`` should be stored: every fold reads its dates of it. The driver submits the
+    folds (a calendar-sized list), ``parallelism`` at a time, since the small jobs of one
+    boosting round leave a cluster idle. Folds whose snapshot has fewer than ``minimum`` rows,
+    or that have no labelled training rows, are skipped.
     """
-    sizes = {
-        r.fold: r["count"] for r in snapshot.groupBy("fold").count().collect()
-    }
-    wanted = [f for f in folds.orderBy("fold").collect() if sizes.get(f.fold, 0) >= minimum]
+    names = names or FEATURES
+    sizes = snapshot.groupBy("fold").count().where(F.col("count") >= minimum).select("fold")
+    known = fold_medians(features, folds.join(sizes, "fold", "left_semi"), names, bound)
+    wanted = folds.join(known, "fold").orderBy("fold").collect()  # a row per fold
 
-    def one(f) -> DataFrame:
-        bundle = fit_ranker(training_rows(features, f), cfg, names)
-        return score(bundle, snapshot.where(F.col("fold") == f.fold))
+    def one(f) -> tuple:
+        fill = {n: f[n] for n in names}
+        model = fit_ranker(training_rows(features, f), fill, cfg, names, f["train_rows"])
+        return (f["fold"], [fill[n] for n in names], cfg.depth, *tree_arrays(model, cfg.depth))
 
     with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(one, wanted))
-    if not parts:
+        models = list(pool.map(one, wanted))
+    if not models:
         raise ValueError("no fold has enough snapshot rows to rank")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return cut_lineage(out)
+    table = features.sparkSession.createDataFrame(models, MODEL)
+    return store(score(table, snapshot, names, cfg.depth, bound or len(models)), "signals")

@@ -162,8 +162,7 @@ def feat_target_rank(p):
 @query
 def feat_all(p):
     """Every market feature, the label, its rank and the publication-time features."""
-    built = features.build_features(p.stored_prices(), p.weeks())
-    return features.attach_point_in_time(built, p.financials(), p.macro(), p.weeks())
+    return features.all_features(p.stored_prices(), p.financials(), p.macro(), p.weeks())
 
 
 @query

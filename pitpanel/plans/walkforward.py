@@ -100,8 +100,7 @@ class WalkForwardRun:
 
     @cached_property
     def features(self) -> DataFrame:
-        built = features.build_features(self.prices, self.dates, self.market)
-        return features.attach_point_in_time(built, self.financials, self.macro, self.dates)
+        return features.all_features(self.prices, self.financials, self.macro, self.dates, self.market)
 
     @cached_property
     def snapshot(self) -> DataFrame:
@@ -112,10 +111,10 @@ class WalkForwardRun:
                 rows.withColumn("signal", selection.linear_signal()),
                 ["signal", "liquidity_20d", "volatility_20d"],
             )
-        stored = cut_lineage(self.features)
+        stored = store(self.features, "features")
         snap = self.at_decisions(stored)
         return ranker.rank_assets(
-            stored, snap, self.folds, self.cfg.ranker, minimum=self.cfg.reduction.candidate_size
+            stored, snap, self.folds, self.cfg.ranker, minimum=self.cfg.reduction.candidate_size, bound=self.cfg.walk.fold_bound
         ).select(
             "fold", "decision_time", "ticker", "signal", "target_rank", "liquidity_20d",
             "volatility_20d",

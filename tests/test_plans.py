@@ -1,6 +1,7 @@
 """Plans of registered queries, and the experiment from end to end."""
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from pitpanel.operators import ranker, selection
@@ -68,15 +69,39 @@ def test_experiment_end_to_end(panel):
     assert tables["portfolio_returns"].where("ret IS NULL").count() == 0
 
 
-def test_ranker_scores_a_fold(panel):
-    fold = make_folds(panel.calendar(), WalkForward(24, 3, 1, max_folds=1))
+def test_rankers_score_as_their_models(spark, panel):
+    """Every fold's signal is that of its own Spark model, trained on its own rows, with its own medians."""
+    made = make_folds(panel.calendar(), WalkForward(24, 3, 1, max_folds=2))
     rows = panel.prices().select(
-        "ticker", "date", F.col("close").alias("a"), F.col("volume").cast("double").alias("b"),
-        (F.col("close") / 1e5).alias("target_rank"),
-    )
-    snap = rows.join(rows.agg(F.max("date").alias("date")), "date").withColumn("fold", F.lit(0))
-    got = ranker.rank_assets(rows, snap, fold, ranker.RankerConfig(trees=2), ["a", "b"])
-    assert got.count() == snap.count() and got.where("signal IS NULL").count() == 0
+        "ticker", "date", F.when(F.col("volume") % 3 > 0, F.col("close")).alias("a"),
+        F.when(F.col("volume") % 5 == 0, float("nan")).otherwise(F.col("volume").cast("double")).alias("b"),
+        F.lit(None).cast("double").alias("c"), F.when(F.col("volume") % 7 > 0, F.col("close") % 1000 / 1000).alias("target_rank"),
+    ).cache()
+    last = rows.agg(F.max("date")).first()[0]
+    snap = rows.where(F.col("date") == F.lit(last)).crossJoin(made.select("fold"))
+    cfg, names = ranker.RankerConfig(trees=4), ["a", "b", "c"]
+    got = {(r.fold, r.ticker): r.signal for r in ranker.rank_assets(rows, snap, made, cfg, names).collect()}
+    assert len(got) == snap.count()
+    medians = {r.fold: r for r in ranker.fold_medians(rows, made, names).collect()}
+    for f in made.collect():
+        train = ranker.training_rows(rows, f)
+        known = train.where("target_rank IS NOT NULL")
+        m = medians[f.fold]
+        assert m.train_rows == known.count() and m.c == 0.0
+        low, high = known.agg(F.percentile("a", F.lit([0.49, 0.51]))).first()[0]
+        assert low <= m.a <= high
+        model = ranker.fit_ranker(train, {n: m[n] for n in names}, cfg, names, m.train_rows)
+        filled = snap.where(F.col("fold") == f.fold).fillna({n: m[n] for n in names})
+        for r in model.transform(VectorAssembler(inputCols=names, outputCol="_x").transform(filled)).collect():
+            assert abs(got[r.fold, r.ticker] - r.prediction) < 1e-12
+    assert len({round(v, 9) for v in got.values()}) > 2
+
+
+def test_ranker_without_rows_is_refused(panel):
+    made = make_folds(panel.calendar(), WalkForward(24, 3, 1, max_folds=1))
+    rows = panel.prices().select("ticker", "date", F.col("close").alias("a"), F.lit(None).cast("double").alias("target_rank"))
+    with pytest.raises(ValueError, match="no fold"):
+        ranker.rank_assets(rows, rows.limit(3).withColumn("fold", F.lit(0)), made, ranker.RankerConfig(trees=1), ["a"])
 
 
 def test_research_refuses_fixture_rows(panel):
