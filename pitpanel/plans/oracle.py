@@ -550,6 +550,23 @@ _grid = " UNION ALL ".join(
     JOIN turns_ad{k} t ON t.strategy = g.strategy AND t.fold = g.fold
     CROSS JOIN (VALUES (0.0), ({COST}), (25.0)) b(bps)""" for k in (K, K - 1))
 cte("grid", " ".join(f"port_ad{k} turns_ad{k}" for k in (K, K - 1)), _grid)
+cte("fold_status", "folds decisions feat snap pools mom weeks", f"""
+    SELECT *, CASE WHEN decision_time IS NULL THEN 'no_decision_date'
+                   WHEN tickers < {M} THEN 'too_few_tickers'
+                   WHEN NOT ranked THEN 'no_training_rows'
+                   WHEN candidates = 0 THEN 'no_candidates'
+                   WHEN NOT solved THEN 'too_few_complete_rows'
+                   WHEN test_dates = 0 THEN 'no_test_dates' ELSE 'completed' END AS stage
+    FROM (SELECT s.strategy, d.fold, d.test_start, d.decision_time,
+                 (SELECT count(*) FROM feat f WHERE f.date = d.decision_time
+                    AND {" AND ".join(f"f.{c} IS NOT NULL" for c in _MARKET_FEATURES)}) AS tickers,
+                 EXISTS (SELECT 1 FROM snap n WHERE n.fold = d.fold) AS ranked,
+                 (SELECT count(*) FROM pools p WHERE p.strategy = s.strategy AND p.fold = d.fold) AS candidates,
+                 EXISTS (SELECT 1 FROM mom m WHERE m.strategy = s.strategy AND m.fold = d.fold) AS solved,
+                 (SELECT count(*) FROM weeks w WHERE w.date > d.test_start AND w.date <= d.test_end) AS test_dates
+          FROM decisions d CROSS JOIN (VALUES {", ".join(f"('{n}')" for n in STRATEGIES)}) s(strategy))""")
+
+
 def _ablation(tag: str) -> None:
     cte(f"ablation{tag}", f"weights chosen{K} best{K} turns{tag} port{tag}", f"""
     SELECT b.fold, b.strategy AS configuration, split_part(b.strategy, '_', 1) AS selector,
@@ -883,6 +900,11 @@ for _name, _tag in (("ablation_summary_equal", ""), ("ablation_summary", "_o")):
            avg(optimality_gap) AS optimality_gap, avg(turnover) AS turnover_mean,
            sum(transaction_cost) AS transaction_cost
     FROM ablation{_tag} GROUP BY 1, 2, 3""")
+oracle("fold_status", "fold_status", "fold_status")
+oracle("run_summary", "fold_status", """
+    SELECT strategy, count(*) AS folds_requested, count(*) FILTER (WHERE stage = 'completed') AS folds_completed,
+           coalesce(string_agg(DISTINCT stage, '|' ORDER BY stage) FILTER (WHERE stage <> 'completed'), '') AS stopped
+    FROM fold_status GROUP BY 1""")
 oracle("backtest_optimised", "port_o port_peer", "SELECT * FROM port_o UNION ALL SELECT * FROM port_peer")
 oracle("sensitivity_summary", "grid", """
     SELECT cardinality, transaction_cost_bps, avg(net_return) AS net_return_mean,

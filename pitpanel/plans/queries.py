@@ -576,6 +576,18 @@ def allocate_weights(p):
     return walk(p).weights_optimised
 
 
+@query
+def fold_status(p):
+    """How far every requested fold of every strategy came."""
+    return walk(p).fold_status
+
+
+@query
+def run_summary(p):
+    """Folds requested and completed."""
+    return walk(p).run_summary()
+
+
 @query
 def ablation_summary(p):
     run = walk(p)

@@ -104,6 +104,8 @@ SHAPES = {
     "allocate_weights": "strategy fold:i ticker weight:6 pre_trade_weight:6",
     "ablation_summary": "configuration selector solver folds:i objective_mean:7 feasibility_rate:7 "
     "optimality_gap:7 turnover_mean:6 transaction_cost:6",
+    "fold_status": "strategy fold:i test_start:d decision_time:d tickers:i candidates:i test_dates:i stage",
+    "run_summary": "strategy folds_requested:i folds_completed:i stopped",
     "backtest_optimised": "strategy fold:i date:d gross:6 ret:6",
     "performance_metrics": f"strategy {_METRICS}",
     "market_metrics": f"sector {_METRICS}",

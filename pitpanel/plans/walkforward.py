@@ -136,9 +136,8 @@ class WalkForwardRun:
             ).select("fold", "ticker")
             snap = snap.join(listed, ["fold", "ticker"], "left_semi")
         snap = cut_lineage(snap)
-        enough = (
-            snap.groupBy("fold").count().where(F.col("count") >= self.cfg.reduction.candidate_size)
-        )
+        self.snapshot_sizes = snap.groupBy("fold").agg(F.count(F.lit(1)).alias("tickers"))
+        enough = self.snapshot_sizes.where(F.col("tickers") >= self.cfg.reduction.candidate_size)
         return snap.join(dim(enough.select("fold"), self.cfg.walk.fold_bound, 16), "fold", "left_semi")
 
     # -- candidates ---------------------------------------------------------
@@ -223,12 +222,16 @@ class WalkForwardRun:
         charged = [n for n, _, costed in STRATEGIES if costed]
         return F.when(F.col("strategy").isin(charged), self.cfg.cost_bps).otherwise(0.0)
 
+    @cached_property
+    def test_dates(self) -> DataFrame:
+        """(fold, test_dates) of folds whose test window has panel dates."""
+        days = folds.fold_dates(self.folds).where("role = 'test'")
+        return self.calendar.join(days, "date").groupBy("fold").agg(F.count(F.lit(1)).alias("test_dates"))
+
     @cached_property
     def test_chosen(self) -> DataFrame:
         """Chosen tickers of folds whose test window has panel dates."""
-        days = folds.fold_dates(self.folds).where("role = 'test'")
-        tested = self.calendar.join(days, "date").select("fold").distinct()
-        return cut_lineage(self.chosen.join(tested, "fold", "left_semi"))
+        return cut_lineage(self.chosen.join(self.test_dates, "fold", "left_semi"))
 
     @cached_property
     def weights_equal(self) -> DataFrame:
@@ -268,6 +271,49 @@ class WalkForwardRun:
         base = self.backtest_of(peer, 0.0).returns
         return cut_lineage(self.optimised.returns.unionByName(base))
 
+    # -- what became of every fold ------------------------------------------------
+
+    @cached_property
+    def fold_status(self) -> DataFrame:
+        """One row per requested (strategy, fold): how far it came, and why it stopped there.
+
+        Everything is a left join from the list of folds, so no fold can vanish. The tables joined
+        hold a row per fold or problem.
+        """
+        m = self.cfg.reduction.candidate_size
+        names = F.explode(F.array(*[F.lit(n) for n, _, _ in STRATEGIES])).alias("strategy")
+        ranked = self.snapshot.select("fold").distinct().withColumn("_ranked", F.lit(True))
+        pools = self.pools.groupBy("strategy", "fold").agg(F.count(F.lit(1)).alias("candidates"))
+        solved = self.moments.select("strategy", "fold").distinct().withColumn("_solved", F.lit(True))
+        out = (
+            self.folds.select("fold", "test_start", names)
+            .join(self.decisions.select("fold", "decision_time"), "fold", "left")
+            .join(self.snapshot_sizes, "fold", "left")
+            .join(ranked, "fold", "left")
+            .join(self.test_dates, "fold", "left")
+            .join(pools, ["strategy", "fold"], "left")
+            .join(solved, ["strategy", "fold"], "left")
+        )
+        stage = (
+            F.when(F.col("decision_time").isNull(), "no_decision_date")
+            .when(F.coalesce("tickers", F.lit(0)) < m, "too_few_tickers")
+            .when(F.col("_ranked").isNull(), "no_training_rows")
+            .when(F.col("candidates").isNull(), "no_candidates")
+            .when(F.col("_solved").isNull(), "too_few_complete_rows")
+            .when(F.col("test_dates").isNull(), "no_test_dates")
+            .otherwise("completed")
+        )
+        counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("tickers", "candidates", "test_dates")]
+        return out.select("strategy", "fold", "test_start", "decision_time", *counts, stage.alias("stage"))
+
+    def run_summary(self) -> DataFrame:
+        """(strategy, folds_requested, folds_completed, stopped): counts of the run's folds."""
+        done = F.col("stage") == "completed"
+        stopped = F.array_join(F.array_sort(F.collect_set(F.when(~done, F.col("stage")))), "|")
+        return self.fold_status.groupBy("strategy").agg(
+            F.count(F.lit(1)).alias("folds_requested"), F.count_if(done).alias("folds_completed"), stopped.alias("stopped")
+        )
+
     # -- evaluation -------------------------------------------------------------
 
     def ablation(self, bt: backtest.Backtest) -> DataFrame:
@@ -363,6 +409,8 @@ def run_experiment(
     regimes = run.regimes()
     out = {
         "fold_manifest": run.folds,
+        "fold_status": run.fold_status,
+        "run_summary": run.run_summary(),
         "rankings": run.snapshot,
         "selected_universe": run.selected,
         "moments": run.moments,

@@ -1,5 +1,7 @@
 """Plans of registered queries, and the experiment from end to end."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from pitpanel.operators import ranker, selection
 from pitpanel.operators.folds import WalkForward, decision_dates, make_folds, recent_dates
 from pitpanel.plans import queries as q
-from pitpanel.plans.walkforward import ExperimentConfig, run_experiment
+from pitpanel.plans.walkforward import STRATEGIES, ExperimentConfig, WalkForwardRun, run_experiment
 from pitpanel.sources.panel import TradePanel
 
 SF = "/root/testdata/sf0.001"
@@ -69,6 +71,32 @@ def test_experiment_end_to_end(panel):
     assert tables["portfolio_returns"].where("ret IS NULL").count() == 0
 
 
+def test_no_fold_vanishes(panel):
+    """Folds without tickers, complete rows or test dates are told apart from completed ones."""
+    walk = WalkForward(24, 3, 1, max_folds=4)
+    made = {f.fold: f for f in make_folds(panel.calendar(), walk).collect()}
+    prices = panel.prices()
+    test = (F.col("date") > F.lit(made[3].test_start)) & (F.col("date") <= F.lit(made[3].test_end))
+    last = decision_dates(make_folds(panel.calendar(), walk), panel.calendar()).where("fold = 1").first().decision_time
+    few = (F.col("date") == F.lit(last)) & (F.col("ticker") > "3")
+    # the last date of the panel stays, so that the list of folds does
+    cut = prices.where(~few & (~test | (F.col("date") == F.lit(prices.agg(F.max("date")).first()[0]))))
+    cfg = ExperimentConfig(walk=walk, ranker=None, periods=52)
+    run = WalkForwardRun(cut.cache(), cfg, calendar=cut.select("date").distinct())
+    got = {(r.strategy, r.fold): r for r in run.fold_status.collect()}
+    assert got.keys() == {(n, f) for n, _, _ in STRATEGIES for f in range(4)}
+    for (_, fold), r in got.items():
+        want = {0: "completed", 1: "too_few_tickers", 2: "completed", 3: "completed" if r.test_dates else "no_test_dates"}[fold]
+        assert r.stage == want, (fold, r)
+        assert (r.candidates == 0) == (fold == 1)
+    done = {(r.strategy, r.fold) for r in run.test_chosen.select("strategy", "fold").distinct().collect()}
+    assert done == {k for k, r in got.items() if r.stage == "completed"}
+    for r in run.run_summary().collect():
+        assert (r.folds_requested, r.folds_completed) == (4, sum(k[0] == r.strategy for k in done)) and "too_few_tickers" in r.stopped
+    short = WalkForwardRun(cut, replace(cfg, history=1), calendar=cut.select("date").distinct())
+    assert {r.stage for r in short.fold_status.where("fold <> 1").collect()} == {"too_few_complete_rows"}
+
+
 def test_rankers_score_as_their_models(spark, panel):
     """Every fold's signal is that of its own Spark model, trained on its own rows, with its own medians."""
     made = make_folds(panel.calendar(), WalkForward(24, 3, 1, max_folds=2))
