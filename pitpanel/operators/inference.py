@@ -1,4 +1,8 @@
-"""Block bootstrap and multiple-test adjustment as joins and aggregates."""
+"""Block bootstrap and multiple-test adjustment as joins and aggregates.
+
+A resample of whole blocks needs only sums over blocks, and the sum of any block is a
+difference of two running sums; values themselves are never repeated.
+"""
 
 from __future__ import annotations
 
@@ -28,32 +32,58 @@ def positioned(series: DataFrame, key: str, order: list[str] | None = None) -> D
     return series.withColumn("pos", F.row_number().over(w) - 1)
 
 
+def block_sums(series: DataFrame, key: str, block: int) -> DataFrame:
+    """(key, pos, n, and sums over the block that starts at ``pos``), from running sums.
+
+    ``s`` and ``q`` are the sums of ``x`` and of its square over ``block`` values, ``ts`` and ``tq`` those over
+    the ``n`` mod ``block`` values of a replicate's last block (``block`` of them if that is 0). Differences of
+    running sums: a stretch of zeros gives 0 exactly.
+    """
+    along = Window.partitionBy(key).orderBy("pos")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    run = series.select(
+        key, "pos", F.sum("x").over(upto).alias("c"), F.sum(F.col("x") * F.col("x")).over(upto).alias("d"),
+        F.count(F.lit(1)).over(Window.partitionBy(key)).alias("n"),
+    )
+    tail = ((F.col("n") - 1) % block + 1).cast("int")
+    zero = F.lit(0.0)
+    whole = run.withColumns({
+        "c0": F.coalesce(F.lag("c").over(along), zero), "d0": F.coalesce(F.lag("d").over(along), zero),
+        "c1": F.lead("c", block - 1).over(along), "d1": F.lead("d", block - 1).over(along), "tail": tail,
+    })
+    ends = run.select(F.col(key).alias("_key"), (F.col("pos") - tail + 1).alias("_at"), F.col("c").alias("c2"), F.col("d").alias("d2"))
+    joined = whole.join(ends, (F.col(key) == F.col("_key")) & (F.col("pos") == F.col("_at")))
+    return joined.select(
+        key, "pos", "n", (F.col("c1") - F.col("c0")).alias("s"), (F.col("d1") - F.col("d0")).alias("q"),
+        (F.col("c2") - F.col("c0")).alias("ts"), (F.col("d2") - F.col("d0")).alias("tq"),
+    )
+
+
 def block_resamples(
     series: DataFrame, key: str, seed: int, samples: int, block: int
 ) -> DataFrame:
-    """(key, replicate, x): circularless block resamples of ``series`` (key, pos, x).
+    """(key, replicate, n, total, squares): sums of circularless block resamples of ``series`` (key, pos, x).
 
     Each replicate draws ceil(n / block) block starts; its first n values are
-    kept. Starts come from an md5 of (seed, key, replicate, block number). Values
-    are found by an equality join on position. Series shorter than two blocks
-    give no resample.
+    kept. Starts come from an md5 of (seed, key, replicate, block number). A start is
+    joined with the sums of its block, so a replicate costs a row per block, not per value.
+    Series shorter than two blocks give no resample.
     """
     lengths = series.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * block)
     blocks = F.ceil(F.col("n") / block).cast("int")
     starts = (
         lengths.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
         .withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn(
-            "start",
-            md5_draw(F.col("n") - block + 1, F.lit(str(seed)), key, "replicate", "b"),
+        .select(
+            key, "replicate", (F.col("b") == blocks - 1).alias("last"),
+            md5_draw(F.col("n") - block + 1, F.lit(str(seed)), key, "replicate", "b").alias("pos"),
         )
     )
-    wanted = (
-        starts.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-        .where(F.col("b") * block + F.col("o") < F.col("n"))
-        .select(key, "replicate", (F.col("start") + F.col("o")).alias("pos"))
+    taken = starts.join(block_sums(series, key, block), [key, "pos"])
+    return taken.groupBy(key, "replicate").agg(
+        F.first("n").alias("n"), F.sum(F.when(F.col("last"), F.col("ts")).otherwise(F.col("s"))).alias("total"),
+        F.sum(F.when(F.col("last"), F.col("tq")).otherwise(F.col("q"))).alias("squares"),
     )
-    return wanted.join(series.select(key, "pos", "x"), [key, "pos"]).select(key, "replicate", "x")
 
 
 def paired_block_bootstrap(
@@ -61,11 +91,7 @@ def paired_block_bootstrap(
 ) -> DataFrame:
     """(test, mean_difference, ci_low, ci_high, p_value); too short gives NULLs."""
     base = series.groupBy("test").agg(F.avg("x").alias("mean_difference"))
-    means = (
-        block_resamples(series, "test", seed, samples, block)
-        .groupBy("test", "replicate")
-        .agg(F.avg("x").alias("m"))
-    )
+    means = block_resamples(series, "test", seed, samples, block).withColumn("m", F.col("total") / F.col("n"))
     below = F.avg((F.col("m") <= 0).cast("double"))
     above = F.avg((F.col("m") >= 0).cast("double"))
     stats = means.groupBy("test").agg(
@@ -92,10 +118,10 @@ def sharpe_interval(
         "strategy",
         ["fold", "date"],
     )
-    per = (
-        block_resamples(series, "strategy", seed, samples, block)
-        .groupBy("strategy", "replicate")
-        .agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+    n, total = F.col("n"), F.col("total")
+    spread = (F.col("squares") - total * total / n) / (n - 1)
+    per = block_resamples(series, "strategy", seed, samples, block).withColumns(
+        {"m": total / n, "s": F.sqrt(F.greatest(spread, F.lit(0.0)))}
     )
     vol = F.col("s") * float(periods) ** 0.5
     sharpe = per.withColumn("v", ratio(F.col("m") * periods - risk_free, vol))

@@ -83,6 +83,20 @@ def dataset_summary(prices: DataFrame) -> DataFrame:
     )
 
 
+def validation_verdict(prices: DataFrame) -> DataFrame:
+    """One row: status, summary and the failed checks, worst first; nothing passes through the driver."""
+    worst = F.sort_array(F.collect_list(F.struct("severity", "check", "count")))
+    said = validation_issues(prices).agg(
+        F.struct(
+            F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).alias("failed"),
+            F.array_join(F.transform(worst, lambda i: F.concat_ws(":", i["severity"], i["check"], i["count"].cast("string"))), "|").alias("issues"),
+        )
+    )
+    report = dataset_summary(prices).withColumn("_said", said.scalar())
+    status = F.when(F.col("_said.failed"), "fail").otherwise("pass").alias("status")
+    return report.select(status, "records", "tickers", "start", "end", "data_classes", F.col("_said.issues").alias("issues"))
+
+
 def validate_panel(prices: DataFrame) -> dict:
     """The quality report: status, summary and issues. Runs two small jobs."""
     issues = [r.asDict() for r in validation_issues(prices).collect()]
@@ -199,6 +213,41 @@ def leakage_audit(
     }
 
 
+def audit_verdict(
+    prices: DataFrame, master: DataFrame, tables: dict[str, DataFrame | None]
+) -> DataFrame:
+    """One row: the audit's status, its blockers and its limitations."""
+    failed = F.array_sort(F.collect_set(F.when(~F.col("passed"), F.col("check"))))
+    checks = leakage_checks(prices, master, tables).agg(
+        F.coalesce(F.bool_or("fixture_only"), F.lit(False)).alias("fixture_only"), failed.alias("_failed")
+    )
+    missing = F.array_sort(F.collect_set(F.when(F.col("status") == "missing", F.concat("table", F.lit("_not_configured")))))
+    limits = side_table_status(tables, prices.sparkSession).agg(F.array_join(missing, "|"))
+    blockers = F.when(F.col("fixture_only"), "").otherwise(F.array_join("_failed", "|"))
+    status = (
+        F.when(F.col("fixture_only"), "pass_for_fixture_demo")
+        .when(F.col("blockers") != "", "blocked")
+        .when(F.col("limitations") != "", "pass_with_limitations")
+        .otherwise("pass")
+    )
+    one = checks.withColumn("blockers", blockers).withColumn("limitations", limits.scalar())
+    return one.select(status.alias("status"), "blockers", "limitations", "fixture_only")
+
+
+def gate_verdict(quality: DataFrame, audit: DataFrame, modes: list[str]) -> DataFrame:
+    """(mode, allowed, reason) from the two one-row verdicts."""
+    reports = quality.select(F.col("status").alias("_quality"), "data_classes", audit.select("status").scalar().alias("_audit"))
+    rows = reports.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    fixture = F.array_contains(F.split("data_classes", r"\|"), "fixture")
+    reason = (
+        F.when(F.col("_quality") != "pass", "data_quality_failed")
+        .when(F.col("_audit") == "blocked", "leakage_audit_blocked")
+        .when((F.col("mode") == "research") & fixture, "research_refuses_fixtures")
+        .otherwise("")
+    )
+    return rows.select("mode", (reason == "").alias("allowed"), reason.alias("reason"))
+
+
 def run_gate(quality: dict, audit: dict, mode: str) -> None:
     """Refuse a run on failed quality, a blocked audit or fixtures in research mode."""
     if quality["status"] != "pass":
@@ -217,7 +266,8 @@ def fingerprint(df: DataFrame, columns: list[str], scale: int = 10000) -> DataFr
 
     Sums are partial aggregates of fixed size, so no task holds a group's hashes;
     equal multisets of rows give equal lanes on any partitioning. Doubles enter
-    as integers of ``1/scale``.
+    as integers of ``1/scale``. A value is written after its length, a NULL as a dash, so
+    that no two different rows read alike.
     """
     kinds = dict(df.dtypes)
     parts = []
@@ -225,8 +275,9 @@ def fingerprint(df: DataFrame, columns: list[str], scale: int = 10000) -> DataFr
         c = F.col(name)
         if kinds[name] in ("double", "float"):
             c = F.floor(c * scale + 0.5).cast("bigint")
-        parts.append(F.coalesce(c.cast("string"), F.lit("")))
-    digest = F.sha2(F.concat_ws(",", *parts), 256)
+        text = c.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    digest = F.sha2(F.concat(*parts), 256)
     lanes = {
         f"lane{i}": F.sum(
             F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")

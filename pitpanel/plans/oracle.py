@@ -744,7 +744,7 @@ oracle("feat_all", "feat ranked fin_ratios policy", """
     FROM feat f JOIN ranked k ON k.ticker = f.ticker AND k.date = f.date
     ASOF LEFT JOIN fin_ratios r ON r.ticker = f.ticker AND f.date >= r.available_at
     ASOF LEFT JOIN policy p ON f.date >= p.available_at""")
-oracle("validate_issues", "tape outliers", f"""
+cte("issues", "tape outliers", f"""
     SELECT * FROM (
       SELECT 'error' AS severity, 'unique_date_ticker' AS "check", sum(n) AS count
       FROM (SELECT count(*) AS n FROM tape GROUP BY date, ticker HAVING count(*) > 1)
@@ -755,6 +755,7 @@ oracle("validate_issues", "tape outliers", f"""
                 WHERE available_at < date
       UNION ALL SELECT 'warning', 'return_outlier_flag', count(*) FROM outliers)
     WHERE count > 0""")
+oracle("validate_issues", "issues", "issues")
 oracle("coverage_year", "tape", """
     SELECT ticker, year(date) AS year, source, data_class, count(*) AS records,
            min(date) AS start, max(date) AS "end",
@@ -772,7 +773,7 @@ oracle("dataset_summary", "tape", """
            max(date) AS "end", string_agg(DISTINCT data_class, '|' ORDER BY data_class) AS data_classes
     FROM tape""")
 oracle("quarantine_rows", "tape", f"SELECT * FROM tape WHERE {_BAD}")
-oracle("leakage_checks", "tape financials", """
+cte("checks", "tape financials", """
     SELECT "check", passed, bool_and(data_class = 'fixture') OVER () AS fixture_only FROM (
       SELECT 'current_universe_not_backfilled' AS "check", TRUE AS passed, 'real' AS data_class
       UNION ALL SELECT 'real_prices_only', NOT bool_or(data_class = 'fixture'), 'real' FROM tape
@@ -781,18 +782,44 @@ oracle("leakage_checks", "tape financials", """
       UNION ALL SELECT 'corporate_action_timestamps', TRUE, 'real'
       UNION ALL SELECT 'available_at_not_after_decision_observation',
                        bool_and(available_at <= date), 'real' FROM tape)""")
-oracle("side_table_status", "financials macro", """
+oracle("leakage_checks", "checks", "checks")
+cte("side_status", "financials macro", """
     SELECT 'financial_statements' AS "table", CASE WHEN bool_or(s_acctbal < 0) THEN 'fixture' ELSE 'real_or_empty' END AS status
     FROM financials JOIN supplier ON CAST(s_suppkey AS VARCHAR) = ticker
     UNION ALL SELECT 'macro', CASE WHEN bool_or(data_class = 'fixture') THEN 'fixture' ELSE 'real_or_empty' END FROM macro
     UNION ALL SELECT * FROM (VALUES ('index_membership', 'real_or_empty'), ('corporate_actions', 'real_or_empty'),
       ('foreign_flow', 'missing')) t("table", status)""")
-_num = ", ".join(f"CAST(floor({c} * 10000 + 0.5) AS BIGINT)" for c in ("open", "high", "low", "close"))
+oracle("side_table_status", "side_status", "side_status")
+cte("quality_verdict", "tape issues", """
+    SELECT CASE WHEN EXISTS (SELECT 1 FROM issues WHERE severity = 'error') THEN 'fail' ELSE 'pass' END AS status,
+           count(*) AS records, count(DISTINCT ticker) AS tickers, min(date) AS start, max(date) AS "end",
+           string_agg(DISTINCT data_class, '|' ORDER BY data_class) AS data_classes,
+           coalesce((SELECT string_agg(severity || ':' || "check" || ':' || CAST(count AS BIGINT), '|' ORDER BY severity, "check") FROM issues), '')
+             AS issues FROM tape""")
+oracle("validation_verdict", "quality_verdict", "quality_verdict")
+cte("audit", "checks side_status", """
+    SELECT *, CASE WHEN fixture_only THEN 'pass_for_fixture_demo' WHEN blockers <> '' THEN 'blocked'
+                   WHEN limitations <> '' THEN 'pass_with_limitations' ELSE 'pass' END AS status
+    FROM (SELECT bool_or(fixture_only) AS fixture_only,
+                 CASE WHEN bool_or(fixture_only) THEN ''
+                      ELSE coalesce(string_agg("check", '|' ORDER BY "check") FILTER (WHERE NOT passed), '') END AS blockers,
+                 (SELECT coalesce(string_agg("table" || '_not_configured', '|' ORDER BY "table") FILTER (WHERE status = 'missing'), '')
+                  FROM side_status) AS limitations FROM checks)""")
+oracle("audit_verdict", "audit", "audit")
+oracle("run_gate", "quality_verdict audit", """
+    SELECT mode, reason = '' AS allowed, reason FROM (
+      SELECT mode, CASE WHEN q.status <> 'pass' THEN 'data_quality_failed' WHEN a.status = 'blocked' THEN 'leakage_audit_blocked'
+                        WHEN mode = 'research' AND contains(q.data_classes, 'fixture') THEN 'research_refuses_fixtures' ELSE '' END AS reason
+      FROM quality_verdict q, audit a, (VALUES ('demo'), ('research')) m(mode))""")
+_marked = " || ".join(
+    f"coalesce(length({t}) || ':' || {t}, '-')" for t in (
+        "strftime(date, '%Y-%m-%d')", "ticker",
+        *(f"CAST(CAST(floor({c} * 10000 + 0.5) AS BIGINT) AS VARCHAR)" for c in ("open", "high", "low", "close")),
+        "CAST(volume AS VARCHAR)"))
 _lane = "sum(('0x' || substr(h, {0}, 15))::BIGINT)::VARCHAR AS lane{1}"
 oracle("fingerprint", "panel", f"""
     SELECT count(*) AS records, {", ".join(_lane.format(1 + 15 * i, i) for i in range(4))}
-    FROM (SELECT sha256(concat_ws(',', strftime(date, '%Y-%m-%d'), ticker, {_num}, volume)) AS h
-          FROM panel)""")
+    FROM (SELECT sha256({_marked}) AS h FROM panel)""")
 oracle("universe_monthly", "bars master", """
     SELECT a.d AS decision_time, m.ticker, TRUE AS eligible,
            'listed_and_available_point_in_time' AS reason, m.data_class
@@ -906,10 +933,11 @@ oracle("run_summary", "fold_status", """
            coalesce(string_agg(DISTINCT stage, '|' ORDER BY stage) FILTER (WHERE stage <> 'completed'), '') AS stopped
     FROM fold_status GROUP BY 1""")
 oracle("backtest_optimised", "port_o port_peer", "SELECT * FROM port_o UNION ALL SELECT * FROM port_peer")
-oracle("sensitivity_summary", "grid", """
-    SELECT cardinality, transaction_cost_bps, avg(net_return) AS net_return_mean,
+for _name, _by in (("sensitivity_summary", "cardinality, transaction_cost_bps"), ("sensitivity_by_cost", "transaction_cost_bps")):
+    oracle(_name, "grid", f"""
+    SELECT {_by}, avg(net_return) AS net_return_mean,
            avg(gross_return) AS gross_return_mean, avg(turnover) AS turnover_mean, count(*) AS cases
-    FROM grid GROUP BY 1, 2""")
+    FROM grid GROUP BY {_by}""")
 oracle("performance_metrics", "port", _metrics("port", "strategy"))
 oracle("market_metrics", "sector_daily", _metrics("sector_daily", "sector"))
 oracle("wealth_curve", "port", f"SELECT * FROM {_wealth('port', 'strategy')}")

@@ -224,6 +224,25 @@ def side_table_status(p):
     return quality.side_table_status(_side_tables(p), p.spark)
 
 
+@query
+def validation_verdict(p):
+    """The quality report of the raw tape in one row."""
+    return quality.validation_verdict(p.tape())
+
+
+@query
+def audit_verdict(p):
+    """The leakage audit in one row."""
+    return quality.audit_verdict(p.tape(), p.master(), _side_tables(p))
+
+
+@query
+def run_gate(p):
+    """Whether a run may start in each mode, and why not."""
+    audit = quality.audit_verdict(p.tape(), p.master(), _side_tables(p))
+    return quality.gate_verdict(quality.validation_verdict(p.tape()), audit, ["demo", "research"])
+
+
 @query
 def fingerprint(p):
     columns = ["date", "ticker", "open", "high", "low", "close", "volume"]
@@ -602,6 +621,12 @@ def backtest_optimised(p):
 # -- evaluation -------------------------------------------------------------------------------------
 
 
+@query
+def sensitivity_by_cost(p):
+    """The grid's other grouping: over all cardinalities of a cost level."""
+    return metrics.sensitivity_summary(walk(p).sensitivity(), ["transaction_cost_bps"])
+
+
 @query
 def performance_metrics(p):
     run = walk(p)

@@ -101,6 +101,10 @@ SHAPES = {
     "cardinality_cost_grid": "fold:i cardinality:i transaction_cost_bps:2 gross_return:8 turnover:8 net_return:8",
     "sensitivity_summary": "cardinality:i transaction_cost_bps:2 net_return_mean:8 gross_return_mean:8 "
     "turnover_mean:8 cases:i",
+    "sensitivity_by_cost": "transaction_cost_bps:2 net_return_mean:8 gross_return_mean:8 turnover_mean:8 cases:i",
+    "validation_verdict": "status records:i tickers:i start:d end:d data_classes issues",
+    "audit_verdict": "status blockers limitations fixture_only",
+    "run_gate": "mode allowed reason",
     "allocate_weights": "strategy fold:i ticker weight:6 pre_trade_weight:6",
     "ablation_summary": "configuration selector solver folds:i objective_mean:7 feasibility_rate:7 "
     "optimality_gap:7 turnover_mean:6 transaction_cost:6",

@@ -1,6 +1,7 @@
 """Literal-row and brute-force tests of the operators."""
 
 import datetime as dt
+import hashlib
 import itertools
 
 import numpy as np
@@ -191,6 +192,55 @@ def test_fingerprint_ignores_order_and_sees_copies(spark):
     assert a != quality.fingerprint(df.unionByName(df.limit(1)), cols).first()
 
 
+def test_fingerprint_tells_null_and_separators_apart(spark):
+    def lanes(*rows):
+        return quality.fingerprint(spark.createDataFrame(list(rows), "a string, b string"), ["a", "b"]).first()
+
+    seen = [lanes(r) for r in ((None, "x"), ("", "x"), ("x", None), ("a,b", "c"), ("a", "b,c"), ("a,b|", "c"), ("1:a", "-"), (None, None))]
+    assert len(set(seen)) == len(seen)
+
+
+def test_verdicts_agree_with_the_reports(spark):
+    good = panel(spark, {"A": walk(30, 1), "B": walk(30, 2)})
+    bad = good.withColumn("low", F.when(F.col("ticker") == "A", F.col("high") + 1).otherwise(F.col("low")))
+    fixture = good.withColumn("data_class", F.lit("fixture"))
+    late = good.withColumns({"available_at": F.date_add("date", 1), "data_class": F.lit("real")})
+    for df in (good.withColumn("data_class", F.lit("real")), bad, fixture, late):
+        report = quality.validate_panel(df)
+        row = quality.validation_verdict(df).first()
+        assert row.status == report["status"] and row.records == report["records"]
+        assert sorted(i["check"] for i in report["issues"]) == sorted(x.split(":")[1] for x in row.issues.split("|") if x)
+        listed = spark.createDataFrame([], "ticker string, listing_date date, delisting_date date, available_at date")
+        audit = quality.leakage_audit(df, listed, {})
+        said = quality.audit_verdict(df, listed, {}).first()
+        assert said.status == audit["status"] and said.blockers == "|".join(sorted(audit["blockers"]))
+        assert said.limitations == "|".join(sorted(audit["limitations"]))
+        for gate in quality.gate_verdict(quality.validation_verdict(df), quality.audit_verdict(df, listed, {}), ["demo", "research"]).collect():
+            try:
+                quality.run_gate(report, audit, gate.mode)
+                assert gate.allowed and gate.reason == ""
+            except RuntimeError:
+                assert not gate.allowed and gate.reason
+
+
+@pytest.mark.parametrize("n", [20, 27, 40])
+def test_resamples_equal_drawn_values(spark, n):
+    """Sums over blocks are those of the values a replicate draws, zeros exactly."""
+    rng = np.random.default_rng(n)
+    x = np.where(np.arange(n) % 15 < 12, 0.0, rng.normal(size=n))
+    series = spark.createDataFrame([("t", i, float(v)) for i, v in enumerate(x)], "k string, pos int, x double")
+    for r in inference.block_resamples(series, "k", 5, 30, 10).collect():
+        drawn = []
+        for b in range(-(-n // 10)):
+            seed = hashlib.md5(f"5|t|{r.replicate}|{b}".encode()).hexdigest()[:8]
+            start = int(seed, 16) % (n - 10 + 1)
+            drawn += x[start : start + 10].tolist()
+        drawn = np.array(drawn[:n])
+        assert r.n == n and np.isclose(r.total, drawn.sum(), atol=1e-12) and np.isclose(r.squares, (drawn**2).sum(), atol=1e-12)
+        assert (r.total == 0) == (not drawn.any())
+    assert inference.block_resamples(series.where("pos < 19"), "k", 5, 3, 10).count() == 0
+
+
 def moment_rows(spark, columns):
     n = len(next(iter(columns.values())))
     rows = [
