@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import batches, batches_of, components, table
+from pitpanel.llm.common import batches, batches_of, components, fresh, table
 from pitpanel.session import store
 
 BINS, BANDS, ROWS = 252, 42, 6
@@ -314,15 +314,31 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text
 
 
 def deduplicated(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id."""
-    groups = store(near_duplicates(docs, n=n, id_col=id_col, text_col=text_col), "groups")
-    gone = groups.where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    repeated = groups.where("id IS NOT NULL").groupBy("id").count().where("count > 1")
-    if not repeated.isEmpty():  # several rows with one id are one document
-        whole, parts = out.where(F.col(id_col).isNull()), out.where(F.col(id_col).isNotNull())
-        out = whole.unionByName(parts.dropDuplicates([id_col]))
-    return out
+    """``docs`` with one document of each group: the one with the smallest id.
+
+    Equal rows are one document. Where an id has several texts each is a document of its own.
+    """
+    digest = F.xxhash64(text_col)
+    several = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(digest).alias("lo"), F.max(digest).alias("hi"))
+    if several.where("lo <> hi").isEmpty():
+        groups = store(near_duplicates(docs, n=n, id_col=id_col, text_col=text_col), "groups")
+        gone = groups.where("id <> component").select(F.col("id").alias("_gone")).distinct()
+        return _once(docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti"), id_col, groups)
+    (key,) = fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col, text_col)))
+    groups = store(near_duplicates(keyed, n=n, id_col=key, text_col=text_col), "groups")
+    names = keyed.select(F.col(key).alias("id"), F.col(id_col).alias("name")).distinct()
+    members = groups.where("id IS NOT NULL").select("id", "component").distinct().join(names, "id")
+    keepers = members.groupBy("component").agg(F.min_by("id", F.struct("name", "id")).alias("keeper"))
+    gone = members.join(keepers, "component").where("id <> keeper").select(F.col("id").alias("_gone")).distinct()
+    return _once(keyed.join(gone, F.col(key) == F.col("_gone"), "left_anti"), key, groups).drop(key)
+
+
+def _once(docs: DataFrame, key: str, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row for each key that is not NULL."""
+    if groups.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
+        return docs
+    return docs.where(F.col(key).isNull()).unionByName(docs.where(F.col(key).isNotNull()).dropDuplicates([key]))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

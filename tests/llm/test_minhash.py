@@ -80,6 +80,18 @@ def test_odd_rows(spark):
     assert near_duplicates(df.limit(0), n=2).collect() == []
 
 
+def test_texts_under_one_id_are_not_lost(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long), (1, other), (1, other), (0, long + " end"), (7, other + " end"), (7, "nothing like it at all here"), (None, long), (8, None), (8, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, Text_Key string")
+    kept = deduplicated(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    want = [(0, long + " end"), (1, other), (7, "nothing like it at all here"), (None, long), (8, None), (8, "")]
+    assert got == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("size", [1, 3, 40, 5000])
 def test_sketch_fills_and_estimates(size):
     import numpy as np
