@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitpanel.contracts import PIT_FEATURES
 from pitpanel.functions.ranks import with_average_rank
 from pitpanel.functions.rolling import (
     along, filled, last_rows, with_emas,
@@ -18,7 +19,6 @@ from pitpanel.session import dim, store
 P = "adjusted_close"
 HORIZONS = (5, 20, 60, 120)
 EMA_SPANS = [12, 20, 26]
-PIT_COLUMNS = ("roe_pit", "revenue_growth_yoy_pit", "policy_rate_pit")
 
 
 @dataclass
@@ -205,7 +205,7 @@ def build_features(
     """
     df = add_target_rank(market_features(prices, dates, market), dates=dates)
     unknown = F.lit(None).cast("double")
-    slow = {c: unknown for c in PIT_COLUMNS if c not in prices.columns}
+    slow = {c: unknown for c in PIT_FEATURES if c not in prices.columns}
     return df.withColumns({"feature_available_at": F.col("date"), **slow})
 
 

@@ -756,7 +756,8 @@ cte("issues", "tape outliers", f"""
       UNION ALL SELECT 'warning', 'return_outlier_flag', count(*) FROM outliers)
     WHERE count > 0""")
 oracle("validate_issues", "issues", "issues")
-oracle("coverage_year", "tape", """
+for _name in ("coverage_year", "artifact_parquet"):
+    oracle(_name, "tape", """
     SELECT ticker, year(date) AS year, source, data_class, count(*) AS records,
            min(date) AS start, max(date) AS "end",
            count(*) FILTER (WHERE close IS NULL) AS missing_close
@@ -796,6 +797,22 @@ cte("quality_verdict", "tape issues", """
            string_agg(DISTINCT data_class, '|' ORDER BY data_class) AS data_classes,
            coalesce((SELECT string_agg(severity || ':' || "check" || ':' || CAST(count AS BIGINT), '|' ORDER BY severity, "check") FROM issues), '')
              AS issues FROM tape""")
+oracle("artifact_csv", "folds", "folds")
+oracle("import_prices_good", "panel", """
+    SELECT date, ticker, open, high, low, close, close AS adjusted_close, volume, volume * close AS trading_value,
+           'tape' AS source, date AS available_at, 'real' AS data_class, TRUE AS has_checksum
+    FROM panel WHERE volume % 11 <> 0 AND volume % 13 <> 0 AND volume % 17 <> 0 AND volume % 19 <> 0 AND volume % 23 <> 0""")
+oracle("import_prices_rejected", "panel", """
+    SELECT CASE WHEN volume % 11 = 0 THEN '2001-13-45' ELSE strftime(date, '%Y-%m-%d') END AS date,
+           CASE WHEN volume % 13 <> 0 THEN ticker END AS ticker,
+           CASE WHEN volume % 19 = 0 OR volume % 23 = 0 THEN 'malformed_line'
+                ELSE concat_ws('|', CASE WHEN volume % 11 = 0 THEN 'bad_date:date' END,
+                               CASE WHEN volume % 13 = 0 THEN 'missing:ticker' END,
+                               CASE WHEN volume % 17 = 0 THEN 'bad_number:low' END) END AS reasons
+    FROM panel WHERE volume % 11 = 0 OR volume % 13 = 0 OR volume % 17 = 0 OR volume % 19 = 0 OR volume % 23 = 0""")
+oracle("import_financials", "financials", """
+    SELECT 'csv' AS landed_as, * REPLACE (CASE WHEN day(publication_date) % 3 <> 0 THEN available_at END AS available_at) FROM financials
+    UNION ALL SELECT 'parquet', * FROM financials""")
 oracle("validation_verdict", "quality_verdict", "quality_verdict")
 cte("audit", "checks side_status", """
     SELECT *, CASE WHEN fixture_only THEN 'pass_for_fixture_demo' WHEN blockers <> '' THEN 'blocked'

@@ -249,6 +249,74 @@ def fingerprint(p):
     return quality.fingerprint(p.prices(), columns)
 
 
+# -- imports and sinks -----------------------------------------------------------------
+
+
+def _landed(p) -> str:
+    """The panel as CSV lines in a landing folder; lines of some volumes have one fault each."""
+    v = F.col("volume")
+    day = F.when(v % 11 == 0, "2001-13-45").otherwise(F.date_format("date", "yyyy-MM-dd"))
+    fields = [
+        day, F.when(v % 13 == 0, "").otherwise(F.col("ticker")), F.col("open").cast("string"), F.col("high").cast("string"),
+        F.when(v % 17 == 0, "n/a").otherwise(F.col("low").cast("string")), F.col("close").cast("string"), v.cast("string"),
+    ]
+    line = F.concat_ws(",", *fields)
+    line = F.when(v % 19 == 0, F.concat(line, F.lit(",7"))).when(v % 23 == 0, F.concat_ws(",", *fields[:5])).otherwise(line)
+    path = ingest.fresh_workspace(p.spark, "landing")
+    # one column whose name is the header; no quoting, so that lines stay as they are
+    lines = p.prices().select(line.alias("date,ticker,open,high,low,close,volume"))
+    lines.write.option("header", True).option("sep", "\x01").option("quote", "\x00").csv(path)
+    return path
+
+
+@query
+def import_prices_good(p):
+    """Prices of landed CSV files whose lines can be read."""
+    return storage.import_prices_checked(p.spark, _landed(p), "tape", "landing")[0].withColumn(
+        "has_checksum", F.length("raw_checksum") == 64
+    )
+
+
+@query
+def import_prices_rejected(p):
+    """Lines of landed CSV files that cannot be read, with the reasons."""
+    rejected = storage.import_prices_checked(p.spark, _landed(p), "tape", "landing")[1]
+    return rejected.withColumn("reasons", F.array_join("reasons", "|"))
+
+
+@query
+def import_financials(p):
+    """Statements landed as CSV and as parquet, imported by suffix; an unreadable date is NULL."""
+    rows = p.financials()
+    late = F.when(F.day("publication_date") % 3 == 0, "soon").otherwise(F.date_format("available_at", "yyyy-MM-dd"))
+    text, typed = (f"{ingest.fresh_workspace(p.spark, 'statements')}.{kind}" for kind in ("csv", "parquet"))
+    storage.write_table(rows.withColumn("available_at", late), text, "csv")
+    storage.write_table(rows, typed)
+    parts = [
+        storage.import_side_table(p.spark, path, "financial_statements").withColumn("landed_as", F.lit(kind))
+        for kind, path in (("csv", text), ("parquet", typed))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def artifact_csv(p):
+    """The fold manifest written as CSV and read back with its types."""
+    made = folds.make_folds(p.calendar(), WALK)
+    path = ingest.fresh_workspace(p.spark, "manifest")
+    storage.write_table(made, path, "csv")
+    return storage.read_artifact(p.spark, path, made.schema, "csv")
+
+
+@query
+def artifact_parquet(p):
+    """Coverage written as parquet by year and read back."""
+    rows = quality.coverage_by_year(p.tape())
+    path = ingest.fresh_workspace(p.spark, "coverage")
+    storage.write_table(rows, path, partition_by=["year"])
+    return storage.read_artifact(p.spark, path, rows.schema)
+
+
 # -- universe and as-of -------------------------------------------------------------
 
 

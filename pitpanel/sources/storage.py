@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from pitpanel import contracts
 from pitpanel.operators.moments import PROBLEM
+from pitpanel.session import store
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,12 @@ def import_prices(
 ) -> DataFrame:
     """CSV prices to the contract, with defaults for the optional columns."""
     raw = contracts.require(read_table(spark, path), contracts.REQUIRED["prices"], "prices import")
+    return _priced(raw.withColumn("_path", F.col("_metadata.file_path")), path, source, source_url, date_format)
+
+
+def _priced(raw: DataFrame, path: str, source: str, source_url: str, date_format: str | None = None) -> DataFrame:
+    """Text rows with the ``_path`` of their file as contract prices."""
+    spark = raw.sparkSession
     files = (
         spark.read.format("binaryFile")
         .load(path)
@@ -56,7 +63,7 @@ def import_prices(
 
     close, volume = number("close"), number("volume")
     has = set(raw.columns)
-    out = raw.withColumn("_path", F.col("_metadata.file_path")).join(F.broadcast(files.select("_path", "raw_checksum")), "_path", "left")
+    out = raw.join(files, "_path", "left")  # a row per file; Spark knows its size
     out = out.withColumns(
         {
             "date": day("date"),
@@ -79,6 +86,55 @@ def import_prices(
     return contracts.conform(out, contracts.PRICES)
 
 
+def checked_rows(spark: SparkSession, path: str, name: str, date_format: str | None = None) -> DataFrame:
+    """Every row of landed CSV files as text, with ``_path``, ``_line`` and ``reasons``.
+
+    ``reasons`` is empty for a good row. A line with too many or too few fields is kept whole in
+    ``_line`` and is ``malformed_line``. Otherwise a required key or date that is empty, a date and a
+    number that cannot be read are named with their column. All files must have the first one's
+    header. One pass; nothing is dropped.
+    """
+    schema = contracts.PRICES if name == "prices" else contracts.SIDE_TABLES[name]
+    head = contracts.require(read_table(spark, path), contracts.REQUIRED[name], f"{name} import").columns
+    shape = ", ".join([*(f"`{c}` string" for c in head), "_line string"])
+    rows = (
+        spark.read.schema(shape).option("header", True).option("enforceSchema", False)
+        .option("columnNameOfCorruptRecord", "_line").csv(path)
+        .withColumn("_path", F.col("_metadata.file_path"))
+    )
+    types = {f.name: f.dataType for f in schema.fields}
+    faults = []
+    for c in head:
+        if c not in types:
+            continue
+        text = F.trim(F.coalesce(F.col(c), F.lit("")))
+        empty = text == ""
+        if types[c] == T.DateType():
+            read = F.try_to_timestamp(text, F.lit(date_format)) if date_format else F.try_to_timestamp(text)
+            faults.append(F.when(~empty & read.isNull(), f"bad_date:{c}"))
+        elif types[c] in (T.DoubleType(), T.LongType()):
+            faults.append(F.when(~empty & text.try_cast("double").isNull(), f"bad_number:{c}"))
+        if c in contracts.REQUIRED[name] and types[c] in (T.DateType(), T.StringType()) and c != "effective_to":
+            faults.append(F.when(empty, f"missing:{c}"))
+    found = F.filter(F.array(*faults), lambda r: r.isNotNull())
+    return rows.withColumn("reasons", F.when(F.col("_line").isNotNull(), F.array(F.lit("malformed_line"))).otherwise(found))
+
+
+def import_prices_checked(
+    spark: SparkSession, path: str, source: str, source_url: str, date_format: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected): contract prices, and the other lines with their file and reasons.
+
+    Rows are read once and stored, so both tables come from the same reading.
+    """
+    rows = store(checked_rows(spark, path, "prices", date_format), "landed")
+    good = rows.where(F.size("reasons") == 0).drop("_line", "reasons")
+    text = [c for c in rows.columns if c not in ("_line", "reasons", "_path")]
+    line = F.coalesce("_line", F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in text]))
+    rejected = rows.where(F.size("reasons") > 0).select(F.col("_path").alias("file"), "date", "ticker", "reasons", line.alias("line"))
+    return _priced(good, path, source, source_url, date_format), rejected
+
+
 def import_side_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A side table checked for its required columns; dates that do not parse are NULL.
 

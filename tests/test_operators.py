@@ -89,6 +89,27 @@ def test_csv_import_fills_defaults(spark, tmp_path):
     assert len(row.raw_checksum) == 64
 
 
+def test_import_keeps_every_line_good_or_rejected(spark, tmp_path):
+    head = "date,ticker,open,high,low,close,volume"
+    (tmp_path / "a.csv").write_text(
+        f"{head}\n2024-01-02,AAA,1,2,0.5,1.5,10\n2024-13-02,AAA,1,2,0.5,1.5,10\n2024-01-03,AAA,1,2,0.5,1.5\n2024-01-04,AAA,1,2,0.5,1.5,10,9\n"
+    )
+    (tmp_path / "b.csv").write_text(f"{head}\n2024-01-05,,x,2,,1.5,10\n,BBB,1,2,0.5,1.5,many\n2024-01-05,BBB,1,2,,1.5,\n")
+    good, rejected = storage.import_prices_checked(spark, str(tmp_path), "src", "url")
+    assert {(r.date, r.ticker, r.low, r.volume) for r in good.collect()} == {(D(2024, 1, 2), "AAA", 0.5, 10), (D(2024, 1, 5), "BBB", None, None)}
+    assert len({r.raw_checksum for r in good.collect()}) == 2
+    got = {(r.file.rsplit("/", 1)[1], r.line): r.reasons for r in rejected.collect()}
+    assert got == {
+        ("a.csv", "2024-13-02,AAA,1,2,0.5,1.5,10"): ["bad_date:date"], ("a.csv", "2024-01-03,AAA,1,2,0.5,1.5"): ["malformed_line"],
+        ("a.csv", "2024-01-04,AAA,1,2,0.5,1.5,10,9"): ["malformed_line"],
+        ("b.csv", "2024-01-05,,x,2,,1.5,10"): ["missing:ticker", "bad_number:open"],
+        ("b.csv", ",BBB,1,2,0.5,1.5,many"): ["missing:date", "bad_number:volume"],
+    }
+    (tmp_path / "c.csv").write_text("ticker,date,open,high,low,close,volume\nAAA,2024-01-02,1,2,0.5,1.5,10\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        storage.checked_rows(spark, str(tmp_path), "prices").collect()
+
+
 def test_listing_filter_keeps_order_and_pattern(spark):
     raw = spark.createDataFrame(
         [(0, " vnm ", "a"), (1, "FPT", "b"), (2, "E1VFVN30", "c"), (3, "VNM", "d")],
