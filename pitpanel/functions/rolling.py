@@ -36,9 +36,13 @@ def with_emas(
     spans: dict[str, int],
     key: str = "ticker",
     order: str = "date",
+    position: str | None = None,
+    decay: bool = False,
 ) -> DataFrame:
     """Exponential moving averages started at the first value (no bias correction).
 
+    Gaps are counted in rows, or in steps of the column ``position``. With ``decay`` a column
+    ``<name>_decay`` keeps the running decay, by which averages can be started anew (``ewma_scores``).
     Across a gap of g rows (g - 1 of them NULL) the old average weighs ``(1-a)^g``
     and both weights are renormalised; a NULL row carries the last average. With
     ``c`` the weight of the old average, ``y = c y' + (1 - c) x`` unrolls to a
@@ -51,12 +55,12 @@ def with_emas(
     fast = max(rate, key=rate.get)
     if EMA_BLOCK * min(rate.values()) < 39.0 * rate[fast]:
         for name, span in spans.items():
-            df = with_emas(df, value, {name: span}, key, order)
+            df = with_emas(df, value, {name: span}, key, order, position, decay)
         return df
     at, known = along(key, order), F.col(value).isNotNull()
     earlier = at.rowsBetween(Window.unboundedPreceding, -1)
     upto = at.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("_pos", F.row_number().over(at))
+    out = df.withColumn("_pos", F.col(position) if position else F.row_number().over(at))
     out = out.withColumn("_gap", F.col("_pos") - F.max(F.when(known, F.col("_pos"))).over(earlier))
     old = {n: F.exp(F.col("_gap") * F.lit(-rate[n])) for n in spans}
     new = {n: F.lit(2.0 / (s + 1.0)) for n, s in spans.items()}
@@ -81,5 +85,7 @@ def with_emas(
         back = F.col(f"_p_{n}") * F.exp(F.col(f"_q_{n}") - F.col(f"_d_{n}"))
         # no value yet: NULL
         result[n] = F.when(here.isNull(), back).otherwise(here + F.coalesce(back, F.lit(0.0)))
+    if decay:
+        result |= {f"{n}_decay": F.col(f"_d_{n}") for n in spans}
     helpers = ["_pos", "_gap", "_blk"] + [f"_{p}_{n}" for n in spans for p in "dbtspq"]
     return out.withColumns(result).drop(*helpers)

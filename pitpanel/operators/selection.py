@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitpanel.functions.ranks import with_zscores
+from pitpanel.functions.rolling import with_emas
 from pitpanel.operators.folds import WalkForward
-from pitpanel.session import cut_lineage, dim
+from pitpanel.session import cut_lineage, dim, store
 
 
 @dataclass(frozen=True)
@@ -171,27 +172,33 @@ def ewma_scores(
 ) -> DataFrame:
     """(fold, ticker, score): last value of the EMA of returns over the window.
 
-    ``window``: (fold, date, age). Across a gap of g dates the old weight decays
-    to ``(1-a)^g`` and the update is renormalised. One list per (fold, ticker),
-    as long as the window.
+    ``window``: (fold, date, age), for each fold a run of dates of the calendar. Across a gap of
+    g dates the old weight decays to ``(1-a)^g`` and the update is renormalised.
+
+    Every ticker's average is formed once, over its whole history. One that starts at row ``i``
+    of the history differs from it at row ``t`` by the weight that the rows before ``i`` still
+    have: ``E(t) - exp(decay(i) - decay(t)) (E(i) - x(i))``. So a fold needs the first and the last row
+    of its window only, whatever the window's length. Rows meet the folds' bounds by equality: each row
+    stands for the dates up to the next one as the last, and back to the one before as the first.
     """
-    alpha = 2.0 / (span + 1.0)
-    aged = (
-        returns.where(F.col("ret1").isNotNull())
-        .join(dim(window, bound, 32), "date")
-        .groupBy("fold", "ticker")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct((-F.col("age")).alias("pos"), F.col("ret1").alias("y")))
-            ).alias("_r")
-        )
+    calendar = window.select("date").distinct().withColumn("_at", F.row_number().over(Window.orderBy("date")))
+    reach = window.agg(F.max("age").cast("int")).scalar()
+    ends = window.join(calendar, "date").groupBy("fold").agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"))
+    known = returns.where(F.col("ret1").isNotNull()).select("ticker", "date", "ret1").join(calendar, "date")
+    rows = with_emas(known, "ret1", {"_e": span}, position="_at", decay=True)
+    along = Window.partitionBy("ticker").orderBy("date")
+    rows = store(rows.select(
+        "ticker", "ret1", "_at", "_e", F.col("_e_decay").alias("_d"), F.lag("_at").over(along).alias("_before"),
+        F.lead("_at").over(along).alias("_next"),
+    ), "averages")
+    until = F.least(F.coalesce(F.col("_next") - 1, F.col("_at") + reach), F.col("_at") + reach)
+    since = F.greatest(F.coalesce(F.col("_before") + 1, F.col("_at") - reach), F.col("_at") - reach)
+    last = rows.select("ticker", "_at", "_e", "_d", F.explode(F.sequence("_at", until)).alias("hi")).join(dim(ends, bound, 16), "hi")
+    first = rows.select(
+        "ticker", F.col("_at").alias("_i"), (F.col("_e") - F.col("ret1")).alias("_excess"), F.col("_d").alias("_di"),
+        F.explode(F.sequence(since, "_at")).alias("lo"),
+    ).join(dim(ends.select("fold", "lo", F.col("hi").alias("_hi")), bound, 16), "lo")
+    both = last.where(F.col("_at") >= F.col("lo")).select("fold", "ticker", "_e", "_d").join(
+        first.where(F.col("_i") <= F.col("_hi")).select("fold", "ticker", "_excess", "_di"), ["fold", "ticker"]
     )
-
-    def step(acc: Column, x: Column) -> Column:
-        w = F.pow(F.lit(1.0 - alpha), (x["pos"] - acc["pos"]).cast("double"))
-        y = (w * acc["y"] + alpha * x["y"]) / (w + alpha)
-        return F.struct(x["pos"].alias("pos"), y.alias("y"))
-
-    rest = F.slice("_r", 2, F.greatest(F.size("_r") - 1, F.lit(0)))
-    last = F.aggregate(rest, F.element_at("_r", 1), step)
-    return aged.select("fold", "ticker", last["y"].alias("score"))
+    return both.select("fold", "ticker", (F.col("_e") - F.exp(F.col("_di") - F.col("_d")) * F.col("_excess")).alias("score"))

@@ -153,10 +153,8 @@ class WalkForwardRun:
         )
 
     def ewma_scores(self) -> DataFrame:
-        bound = self.cfg.walk.fold_bound
-        rows = None if bound is None else bound * self.cfg.history
         scores = selection.ewma_scores(
-            self.returns, self.window(self.cfg.history), self.cfg.span, rows
+            self.returns, self.window(self.cfg.history), self.cfg.span, self.cfg.walk.fold_bound
         )
         return scores.join(self.snapshot.select("fold", "ticker"), ["fold", "ticker"], "left_semi")
 

@@ -13,7 +13,7 @@ from pitpanel import contracts
 from pitpanel.functions.ranks import with_average_rank
 from pitpanel.functions.rolling import with_emas
 from pitpanel.operators import allocate, asof, backtest, features, inference, merge, moments
-from pitpanel.operators import quality, subset
+from pitpanel.operators import quality, selection, subset
 from pitpanel.sources import feeds, storage
 
 D = dt.date
@@ -166,6 +166,38 @@ def test_features_never_look_ahead(spark):
     pd.testing.assert_frame_equal(a, b)
 
 
+@pytest.mark.parametrize("span", [2, 60])
+def test_window_averages_start_anew_in_every_fold(spark, span):
+    """Scores of overlapping, short and long windows, with gaps, equal a recursion over each window."""
+    rng = np.random.default_rng(span)
+    n, alpha = 900, 2.0 / (span + 1)
+    dates = days(n)
+    series = {
+        "A": [float(v) for v in rng.normal(size=n)], "B": [float(v) if rng.random() < 0.5 else None for v in rng.normal(size=n)],
+        "C": [None] * 700 + [float(v) for v in rng.normal(size=100)] + [None] * 100, "D": [1.0] + [None] * (n - 1),
+    }
+    windows = {0: range(0, 40), 1: range(20, 60), 2: range(650, 902 - 2), 3: range(720, 721), 4: range(850, 900)}
+    rows = [(t, d, v) for t, x in series.items() for d, v in zip(dates, x) if v is not None or t == "D"]
+    window = [(f, dates[i], r[-1] - i) for f, r in windows.items() for i in r]
+    got = selection.ewma_scores(
+        spark.createDataFrame(rows, "ticker string, date date, ret1 double"), spark.createDataFrame(window, "fold int, date date, age int"), span
+    )
+    want = {}
+    for f, r in windows.items():
+        for t, x in series.items():
+            y, last = None, None
+            for i in r:
+                if x[i] is not None:
+                    w = (1 - alpha) ** (i - last) if last is not None else 0.0
+                    y = x[i] if y is None else (w * y + alpha * x[i]) / (w + alpha)
+                    last = i
+            if y is not None:
+                want[f, t] = y
+    found = {(r.fold, r.ticker): r.score for r in got.collect()}
+    assert found.keys() == want.keys()
+    assert all(np.isclose(found[k], want[k], rtol=1e-9, atol=1e-12) for k in want)
+
+
 def test_average_rank_handles_a_mass_of_ties(spark):
     rng = np.random.default_rng(6)
     values = np.concatenate([np.zeros(400), rng.normal(size=600)])
