@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pitpanel.functions.scalars import md5_draw
 from pitpanel.operators.moments import PROBLEM
 
-MAX_ASSETS = 16
+#: Most subsets of one problem, and most assets that a mask of 64 bits numbers.
+MAX_SUBSETS, MAX_ASSETS = 100_000, 62
 
 
 def instances(matrix: DataFrame, cardinality: int) -> DataFrame:
@@ -22,11 +23,13 @@ def instances(matrix: DataFrame, cardinality: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("i", "j", "q"))).alias("cells"),
         (F.max("i") + 1).cast("int").alias("n"),
     )
+    k = F.least(F.lit(cardinality), F.col("n"))
+    subsets = F.aggregate(F.sequence(F.lit(1), k), F.lit(1.0), lambda c, i: c * (F.col("n") - k + i) / i)
     fits = F.when(
-        F.col("n") > MAX_ASSETS,
-        F.raise_error(F.lit(f"subset enumeration is limited to {MAX_ASSETS} assets")).cast("int"),
+        (subsets > MAX_SUBSETS) | (F.col("n") > MAX_ASSETS),
+        F.raise_error(F.lit(f"subset enumeration is limited to {MAX_SUBSETS} subsets of {MAX_ASSETS} assets")).cast("int"),
     ).otherwise(F.col("n"))
-    return packed.withColumn("n", fits).withColumn("k", F.least(F.lit(cardinality), F.col("n")))
+    return packed.withColumn("k", k).withColumn("n", fits)
 
 
 def _has(mask: Column, i: Column) -> Column:
@@ -44,11 +47,35 @@ def subset_energy(cells: Column, mask: Column) -> Column:
 
 
 def enumerate_subsets(inst: DataFrame) -> DataFrame:
-    """Every k-of-n subset as a bit mask with its energy."""
-    top = F.pow(F.lit(2.0), F.col("n").cast("double")).cast("bigint") - 1
-    masks = inst.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), top)))
-    sized = masks.where(F.bit_count("mask") == F.col("k"))
-    return sized.withColumn("energy", subset_energy(F.col("cells"), F.col("mask")))
+    """Every k-of-n subset as a bit mask with its energy.
+
+    Subsets grow by one member at a time, each larger than the last and small enough to leave
+    room for the rest, so exactly C(n, k) are made. A new member adds its own cell and those it
+    shares with the members before it; the cells are one dense array.
+    """
+    n, k = F.col("n"), F.col("k")
+    q = F.transform("cells", lambda c: c["q"])
+
+    def grown(found: Column, size: Column) -> Column:
+        def joined(s: Column, j: Column) -> Column:
+            shared = F.aggregate(
+                s["members"], F.get("_q", j * n + j), lambda t, i: t + F.get("_q", i * n + j) + F.get("_q", j * n + i)
+            )
+            return F.struct(
+                F.array_append(s["members"], j).alias("members"), (s["energy"] + shared).alias("energy")
+            )
+
+        def extended(s: Column) -> Column:
+            first = F.coalesce(F.try_element_at(s["members"], F.lit(-1)) + 1, F.lit(0))
+            return F.transform(F.sequence(first, n - k + size - 1), lambda j: joined(s, j))
+
+        return F.flatten(F.transform(found, extended))
+
+    start = F.array(F.struct(F.expr("cast(array() as array<int>)").alias("members"), F.lit(0.0).alias("energy")))
+    every = F.aggregate(F.sequence(F.lit(1), k), start, grown)
+    made = inst.withColumn("_q", q).withColumn("_s", F.explode(every))
+    mask = F.aggregate("_s.members", F.lit(0).cast("bigint"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)))
+    return made.withColumn("mask", mask).withColumn("energy", F.col("_s.energy")).drop("_s", "_q")
 
 
 def best_subset(inst: DataFrame, problem: list[str] | None = None) -> DataFrame:

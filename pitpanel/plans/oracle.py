@@ -311,9 +311,6 @@ cte("pools", "top_liquidity top_signal top_ewma top_adaptive", """
     UNION ALL SELECT 'signal', fold, idx, ticker FROM top_signal
     UNION ALL SELECT 'adaptive', fold, idx, ticker FROM top_adaptive
     UNION ALL SELECT 'adaptive_costed', fold, idx, ticker FROM top_adaptive""")
-cte("pools_liquid", "top_liquidity",
-    "SELECT 'liquidity' AS strategy, fold, idx, ticker FROM top_liquidity")
-
 
 def _moments(tag: str, pools: str) -> None:
     """CTEs rows/mom/q over one pool table, each suffixed by ``tag``."""
@@ -387,10 +384,9 @@ def _moments(tag: str, pools: str) -> None:
 
 
 _moments("", "pools")
-_moments("_l", "pools_liquid")
-cte("shrink", "rows_l means_l", f"""
+cte("shrink", "rows means", f"""
     WITH c AS (SELECT r.strategy, r.fold, r.idx, r.date, r.ret1 - m.plain AS x
-               FROM rows_l r JOIN means_l m USING (strategy, fold, idx)),
+               FROM rows r JOIN means m USING (strategy, fold, idx)),
     s AS (SELECT a.strategy, a.fold, a.idx AS i, b.idx AS j, avg(a.x * b.x) AS s
           FROM c a JOIN c b USING (strategy, fold, date) GROUP BY 1, 2, 3, 4),
     f AS (SELECT strategy, fold, sum(s * s) AS ss, sum(s) FILTER (WHERE i = j) AS tr,
@@ -403,7 +399,7 @@ cte("shrink", "rows_l means_l", f"""
            ((1 - least(b, d) / d) * s
             + CASE WHEN s.i = s.j THEN least(b, d) / d * g.m ELSE 0 END) * {HORIZON} AS cov
     FROM s JOIN g USING (strategy, fold)
-    JOIN means_l m ON m.strategy = s.strategy AND m.fold = s.fold AND m.idx = s.i""")
+    JOIN means m ON m.strategy = s.strategy AND m.fold = s.fold AND m.idx = s.i""")
 
 
 def _equal_weights(tag: str, chosen: str) -> None:
@@ -719,9 +715,9 @@ for _name, _table in {
     "fundamental_ratios": "fin_ratios", "merge_sources": "merged", "fold_manifest": "folds", "fold_manifest_last12": "folds_last12",
     "snapshots": "snap", "base_scores": "scores", "adaptive_selection": "adaptive",
     "topm_liquidity": "top_liquidity", "topm_signal": "top_signal", "topm_ewma": "top_ewma",
-    "ewma_cov": "mom_l", "shrunk_cov": "shrink", "selection_matrix": "q_l",
-    "subset_energies": f"energies_l{K}", "best_subset": f"best{K}",
-    "allocate_weights": "allocated", "subset_random_search": "search_l0", "subset_gap": "runs_l", "turnover_equal": "turns",
+    "ewma_cov": "mom", "shrunk_cov": "shrink", "selection_matrix": "q",
+    "subset_energies": f"energies{K}", "best_subset": f"best{K}",
+    "allocate_weights": "allocated", "subset_random_search": "search0", "subset_gap": "runs", "turnover_equal": "turns",
     "trades_equal": "trades", "drift_equal": "drifted", "backtest_equal": "port",
     "ablation_equal": "ablation", "cardinality_cost_grid": "grid", "regimes": "regimes",
     "paired_bootstrap": "boot", "holm": "holm", "sector_bootstrap": "holm_s", "rank_ic": "ic",
@@ -922,10 +918,9 @@ oracle("fold_counts", "folds panel", """
       OR (role = 'test' AND p.date > test_start AND p.date <= test_end)
     GROUP BY 1, 2""")
 oracle("selection_trace", "adaptive", "SELECT *, pick + 1 AS round FROM adaptive WHERE selected_candidate")
-oracle("corr_to_chosen", "near corrs snap", f"""
-    SELECT c.* FROM corrs c JOIN ({_top('liquidity_20d', 'snap', 3)}) t
-      ON t.fold = c.fold AND t.ticker = c.other""")
-oracle("ewma_mean", "mom_l", "SELECT * FROM mom_l WHERE i = j")
+oracle("corr_to_chosen", "corrs adaptive", """
+    SELECT c.* FROM corrs c JOIN adaptive a ON a.fold = c.fold AND a.ticker = c.other WHERE a.selected_candidate""")
+oracle("ewma_mean", "mom", "SELECT * FROM mom WHERE i = j")
 oracle("method_comparison", "runs", """
     SELECT method, avg(energy) AS energy_mean, avg(feasibility_rate) AS feasibility_rate,
            avg(optimality_gap) AS optimality_gap_mean, count(*) AS runs FROM runs GROUP BY 1""")

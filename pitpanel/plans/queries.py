@@ -527,9 +527,9 @@ def topm_ewma(p):
 
 @query
 def corr_to_chosen(p):
-    """Correlation of every ticker with each fold's three most liquid tickers."""
+    """Correlation of every ticker with each ticker that the greedy reduction chose in the fold."""
     run = walk(p)
-    chosen = selection.top_by(run.snapshot, "liquidity_20d", 3).select("fold", "ticker")
+    chosen = run.selected.where("selected_candidate").select("fold", "ticker")
     window = run.window(CONFIG.reduction.lookback)
     return selection.correlation_to(run.returns, chosen, window, None)
 
@@ -537,43 +537,32 @@ def corr_to_chosen(p):
 # -- moments and subsets -----------------------------------------------------------------------
 
 
-def _liquid(p) -> tuple[WalkForwardRun, DataFrame]:
-    run = walk(p)
-    return run, run.pools_of(["liquidity"])
-
-
 @query
 def ewma_mean(p):
-    run, pools = _liquid(p)
-    return mom.ewma_moments(run.rows_of(pools), CONFIG.span, CONFIG.horizon).where("i = j")
+    run = walk(p)
+    return mom.ewma_moments(run.rows_of(run.pools), CONFIG.span, CONFIG.horizon).where("i = j")
 
 
 @query
 def ewma_cov(p):
-    run, pools = _liquid(p)
-    return mom.ewma_moments(run.rows_of(pools), CONFIG.span, CONFIG.horizon)
+    run = walk(p)
+    return mom.ewma_moments(run.rows_of(run.pools), CONFIG.span, CONFIG.horizon)
 
 
 @query
 def shrunk_cov(p):
-    run, pools = _liquid(p)
-    return mom.shrunk_moments(run.rows_of(pools), CONFIG.horizon)
+    run = walk(p)
+    return mom.shrunk_moments(run.rows_of(run.pools), CONFIG.horizon)
 
 
 @query
 def selection_matrix(p):
-    run, pools = _liquid(p)
-    return run.moments_of(pools)
-
-
-def _liquid_instances(p) -> tuple[WalkForwardRun, DataFrame, DataFrame]:
-    run, pools = _liquid(p)
-    return run, pools, subset.instances(run.moments_of(pools), CONFIG.reduction.cardinality)
+    return walk(p).moments
 
 
 @query
 def subset_energies(p):
-    return subset.enumerate_subsets(_liquid_instances(p)[2])
+    return subset.enumerate_subsets(walk(p).instances)
 
 
 @query
@@ -583,12 +572,12 @@ def best_subset(p):
 
 @query
 def subset_random_search(p):
-    return subset.random_search(_liquid_instances(p)[2], CONFIG.seeds[0], CONFIG.shots)
+    return subset.random_search(walk(p).instances, CONFIG.seeds[0], CONFIG.shots)
 
 
 @query
 def subset_gap(p):
-    return subset.subset_runs(_liquid_instances(p)[2], list(CONFIG.seeds), CONFIG.shots)
+    return walk(p).subset_runs()
 
 
 @query

@@ -79,14 +79,14 @@ SHAPES = {
     "topm_signal": "fold:i idx:i ticker signal:8",
     "topm_ewma": "fold:i idx:i ticker score:9",
     "corr_to_chosen": "fold:i ticker other corr:7",
-    "ewma_mean": "fold:i i:i mu:7",
-    "ewma_cov": "fold:i i:i j:i cov:7",
-    "shrunk_cov": "fold:i i:i j:i mu:7 cov:7",
-    "selection_matrix": "fold:i i:i j:i q:7",
-    "subset_energies": "fold:i mask:i energy:7",
+    "ewma_mean": "strategy fold:i i:i mu:7",
+    "ewma_cov": "strategy fold:i i:i j:i cov:7",
+    "shrunk_cov": "strategy fold:i i:i j:i mu:7 cov:7",
+    "selection_matrix": "strategy fold:i i:i j:i q:7",
+    "subset_energies": "strategy fold:i mask:i energy:s",
     "best_subset": "strategy fold:i n:i k:i mask:i energy:7",
-    "subset_random_search": "fold:i mask:i energy:7 feasibility_rate:8 shots:i",
-    "subset_gap": "fold:i method run:i mask:i energy:7 feasibility_rate:8 optimality_gap:6",
+    "subset_random_search": "strategy fold:i mask:i energy:7 feasibility_rate:8 shots:i",
+    "subset_gap": "strategy fold:i method run:i mask:i energy:7 feasibility_rate:8 optimality_gap:6",
     "method_comparison": "method energy_mean:7 feasibility_rate:8 optimality_gap_mean:6 runs:i",
     "instances_json": "strategy fold:i decision_time:d cardinality:i tickers mu_sum:6 cov_sum:6 q_sum:6",
     "turnover_equal": "strategy fold:i turnover:8 transaction_cost:9",

@@ -359,9 +359,17 @@ def test_best_subset_is_the_brute_force_minimum(spark):
     assert 0 <= found.feasibility_rate <= 1 and found.shots == 256
 
 
+@pytest.mark.parametrize("n,k", [(1, 1), (4, 9), (6, 3), (20, 3)])
+def test_subsets_are_all_of_their_size(spark, n, k):
+    q = np.random.default_rng(n).normal(size=(n, n))
+    got = {r.mask: r.energy for r in subset.enumerate_subsets(subset.instances(matrix(spark, q), k)).collect()}
+    want = {sum(1 << i for i in s): q[np.ix_(s, s)].sum() for s in itertools.combinations(range(n), min(n, k))}
+    assert got.keys() == want.keys() and all(np.isclose(got[m], want[m]) for m in want)
+
+
 def test_subset_size_is_guarded(spark):
-    with pytest.raises(Exception, match="limited to 16"):
-        subset.best_subset(subset.instances(matrix(spark, np.eye(17)), 2)).collect()
+    with pytest.raises(Exception, match="limited to 100000 subsets"):
+        subset.best_subset(subset.instances(matrix(spark, np.eye(40)), 6)).collect()
 
 
 def problem_tables(spark, problems):
