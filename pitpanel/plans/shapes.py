@@ -102,7 +102,7 @@ SHAPES = {
     "sensitivity_summary": "cardinality:i transaction_cost_bps:2 net_return_mean:8 gross_return_mean:8 "
     "turnover_mean:8 cases:i",
     "sensitivity_by_cost": "transaction_cost_bps:2 net_return_mean:8 gross_return_mean:8 turnover_mean:8 cases:i",
-    "import_prices_good": "date:d ticker open:8 high:8 low:8 close:8 adjusted_close:8 volume:i trading_value:5 source available_at:d data_class has_checksum",
+    "import_prices_good": "date:d ticker open:8 high:8 low:8 close:8 adjusted_close:8 volume:i trading_value:7 source available_at:d data_class has_checksum",
     "import_prices_rejected": "date ticker reasons",
     "import_financials": "landed_as ticker fiscal_period_end:d publication_date:d available_at:d revenue:4 net_income:4 source data_class",
     "artifact_csv": "fold:i train_start:d train_end:d validation_end:d test_start:d test_end:d",
