@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitpanel.session import dim
@@ -112,16 +112,66 @@ def recent_dates(decisions: DataFrame, calendar: DataFrame, n: int) -> DataFrame
     return asked.join(numbered, "_at").select("fold", "date", "age")
 
 
+def fold_segments(folds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The calendar cut at all bounds of folds: ``(date, segment)`` and ``(fold, role, first, segment)``.
+
+    Segments are disjoint and numbered in order; every fold and role is a run of them,
+    listed one row a segment beside the run's first number.
+    """
+
+    def span(role: str, lo: Column, hi: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), lo.alias("lo"), hi.alias("hi"))
+
+    spans = folds.select(
+        "fold",
+        F.explode(F.array(
+            span("train", F.col("train_start"), F.col("train_end")),
+            span("validation", F.col("train_end"), F.col("validation_end")),
+            span("test", F.date_add("test_start", 1), F.date_add("test_end", 1)),
+        )).alias("s"),
+    ).select("fold", "s.*").where("lo < hi")
+    order = Window.orderBy("date")  # a few bounds a fold
+    cuts = spans.select(F.explode(F.array("lo", "hi")).alias("date")).distinct().select(
+        "date", F.row_number().over(order).alias("segment"), F.lead("date").over(order).alias("next")
+    )
+    days = cuts.where("next IS NOT NULL").select(
+        "segment", F.explode(F.expr("sequence(date, date_sub(next, 1))")).alias("date")
+    )
+    at = cuts.select("date", "segment")
+    runs = spans.join(at.select(F.col("date").alias("lo"), F.col("segment").alias("first")), "lo").join(
+        at.select(F.col("date").alias("hi"), F.col("segment").alias("stop")), "hi"
+    )
+    return days.select("date", "segment"), runs.select(
+        "fold", "role", "first", F.explode(F.expr("sequence(first, stop - 1)")).alias("segment")
+    )
+
+
 def fold_counts(rows: DataFrame, folds: DataFrame, wf: WalkForward) -> DataFrame:
-    """Rows, dates and tickers per fold and role."""
-    return (
-        assign_folds(rows, folds, wf)
-        .groupBy("fold", "role")
-        .agg(
-            F.count(F.lit(1)).alias("records"),
-            F.count_distinct("date").alias("dates"),
-            F.count_distinct("ticker").alias("tickers"),
-        )
+    """Rows, dates and tickers per fold and role.
+
+    Each row is counted once, in its segment of the calendar, however many folds overlap
+    there. A ticker counts in a run of segments where it was last seen before the run, so
+    distinct tickers are sums over (segment, segment last seen in) as well.
+    """
+    days, runs = fold_segments(folds)
+    placed = rows.join(dim(days, wf.days_bound, 32), "date")
+    dated = placed.groupBy("segment", "date").agg(F.count(F.lit(1)).alias("n")).groupBy("segment").agg(
+        F.sum("n").alias("records"), F.count(F.lit(1)).alias("dates")
+    )
+    in_order = Window.partitionBy("ticker").orderBy("segment")
+    first_seen = (
+        placed.where("ticker IS NOT NULL").select("ticker", "segment").distinct()
+        .withColumn("last", F.coalesce(F.lag("segment").over(in_order), F.lit(0)))
+        .groupBy("segment", "last").agg(F.count(F.lit(1)).alias("n"))
+    )
+    totals = runs.join(dated, "segment").groupBy("fold", "role").agg(
+        F.sum("records").alias("records"), F.sum("dates").alias("dates")
+    )
+    tickers = runs.join(first_seen, "segment").groupBy("fold", "role").agg(
+        F.sum(F.when(F.col("last") < F.col("first"), F.col("n")).otherwise(0)).alias("tickers")
+    )
+    return totals.join(tickers, ["fold", "role"], "left").select(
+        "fold", "role", "records", "dates", F.coalesce("tickers", F.lit(0)).alias("tickers")
     )
 
 

@@ -71,11 +71,53 @@ def performance_metrics(
     )
 
 
+def expanding_median(rows: DataFrame, value: str, name: str, levels: int = 5, bits: int = 5) -> DataFrame:
+    """``rows`` with the median of all non-null values up to each date; one row per date.
+
+    Order statistics by bisection: values are ranked once, and every date asks for the one
+    or two ranks in its middle. On each level all ranks and questions of a node lie in date
+    order; running counts per child of the node tell a question where its rank lies. That is
+    ``levels`` passes over three rows a date, and ``2 ** (levels * bits)`` dates, more than
+    the date type has, can be told apart.
+    """
+    width = 1 << bits
+    seen = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    row = F.struct(*rows.columns)
+    ranked = rows.select(
+        "date",
+        F.col(value).alias("_v"),
+        row.alias("_row"),
+        F.count(F.col(value)).over(seen).alias("_n"),
+        (F.row_number().over(Window.orderBy(F.col(value).asc_nulls_last(), "date")) - 1).alias("_rank"),
+    )
+    # a row with its value asks nothing; its two questions hold how many values must lie at or below the answer
+    asked = [F.struct(F.expr(f"CASE WHEN _n > 0 THEN (_n + {k}) div 2 END").alias("left"), F.lit(None).alias("v"), F.lit(None).alias("row")) for k in (1, 2)]
+    own = F.struct(F.lit(None).cast("long").alias("left"), F.col("_v").alias("v"), F.col("_row").alias("row"))
+    state = ranked.select("date", "_rank", F.explode(F.array(own, *asked)).alias("_q")).select(
+        "date", "_rank", "_q.*", F.lit(0).cast("long").alias("_node")
+    )
+    held = F.col("v").isNotNull()
+    for level in range(levels):
+        digit = F.shiftright("_rank", bits * (levels - 1 - level)).bitwiseAND(width - 1)
+        upto = Window.partitionBy("_node").orderBy("date").rangeBetween(Window.unboundedPreceding, 0)
+        counts = F.array(*[F.count(F.when(held & (digit <= j), 1)).over(upto) for j in range(width)])
+        # lower children, all of whose ranks come before the one asked for
+        below = F.filter("_counts", lambda c: c < F.col("left"))
+        state = state.withColumn("_counts", counts).withColumn("_below", below).select(
+            "date", "_rank", "v", "row",
+            (F.col("left") - F.coalesce(F.array_max("_below"), F.lit(0))).alias("left"),
+            (F.col("_node") * width + F.when(F.col("left").isNull(), digit).otherwise(F.size("_below"))).alias("_node"),
+        )
+    found = state.withColumn("_found", F.max("v").over(Window.partitionBy("_node")))
+    answer = F.avg(F.when(F.col("left").isNotNull(), F.col("_found"))).alias(name)
+    return found.groupBy("date").agg(F.max("row").alias("_row"), answer).select("_row.*", name)
+
+
 def market_regimes(market: DataFrame, n: int = 60, band: float = 0.05) -> DataFrame:
     """(date, regime) from trailing market information only.
 
     ``market``: (date, market_ret), one row per date; the unkeyed windows see the
-    calendar, never the panel. The expanding median is quadratic in dates.
+    calendar, never the panel.
     """
     m = F.col("market_ret")
     frame = Window.orderBy("date").rowsBetween(-(n - 1), 0)
@@ -88,8 +130,8 @@ def market_regimes(market: DataFrame, n: int = 60, band: float = 0.05) -> DataFr
     )
     v = F.col("trailing_vol")
     known = F.count(v).over(all_before) >= n
-    middle = trailing.withColumn(
-        "vol_median", F.when(known, F.percentile(v, F.lit(0.5)).over(all_before))
+    middle = expanding_median(trailing, "trailing_vol", "vol_median").withColumn(
+        "vol_median", F.when(known, F.col("vol_median"))
     )
     trend = (
         F.when(F.col("trailing_return") > band, "bull")

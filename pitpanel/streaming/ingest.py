@@ -1,4 +1,10 @@
-"""Incremental ingest of landed price files with Structured Streaming."""
+"""Incremental ingest of landed price files with Structured Streaming.
+
+The panel lies in parts (ticker bucket, year). A micro-batch rewrites only the parts it
+touches, under ``data/batch=N``, and then lists in ``manifest/batch=N`` which batch holds
+the current version of every part. Readers go by the newest complete list: they never see
+half a batch, and a read needs no sort and no shuffle.
+"""
 
 from __future__ import annotations
 
@@ -8,23 +14,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitpanel import contracts
-from pitpanel.session import scratch_root
+from pitpanel.session import scratch_root, store
 from pitpanel.sources.feeds import keep_first
 
 
-def ingest_once(spark: SparkSession, landing: str, table: str, checkpoint: str) -> None:
-    """Append every landed file not yet taken to ``table``, then stop.
+#: Ticker buckets of the stored panel; a table keeps the count it was started with.
+BUCKETS = 16
+PART = ["bucket", "year"]
+
+
+def _manifest(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
+    """``(bucket, year, holder)`` of the newest complete batch, or of the newest below ``before``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/manifest")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    # a list is complete once its writer's success mark stands
+    names = [s.getPath() for s in files.listStatus(path)]
+    done = [int(n.getName().split("=")[1]) for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
+    done = [b for b in done if before is None or b < before]
+    if not done:
+        return None
+    return spark.read.schema("bucket int, year int, holder long").parquet(f"{table}/manifest/batch={max(done)}")
+
+
+def _parts(spark: SparkSession, table: str, listed: DataFrame) -> DataFrame:
+    """Rows of the listed parts; the list has a row a part, so buckets times years."""
+    held = [f"{table}/data/batch={r.holder}/bucket={r.bucket}/year={r.year}" for r in listed.collect()]
+    if not held:
+        return spark.createDataFrame([], contracts.PRICES)
+    return spark.read.schema(contracts.PRICES).parquet(*held)
 
-    The checkpoint makes a restart skip files already taken; a batch that is
-    retried after a failure rewrites its own folder and so never doubles rows.
+
+def merge_batch(batch: DataFrame, table: str, batch_id: int, buckets: int = BUCKETS) -> None:
+    """Upsert ``batch`` by (date, ticker); within a batch the smallest checksum wins.
+
+    A retry of the same batch starts from the list before it and writes the same parts.
     """
+    spark = batch.sparkSession
+    part = {"bucket": F.pmod(F.xxhash64("ticker"), F.lit(buckets)).cast("int"), "year": F.coalesce(F.year("date"), F.lit(0))}
+    new = store(batch.withColumns(part), "batch")
+    touched = new.select(*PART).distinct()
+    listed = _manifest(spark, table, before=batch_id)
+    rows = new.withColumn("_age", F.lit(0))
+    parts = touched.withColumn("holder", F.lit(batch_id).cast("long"))
+    if listed is not None:
+        old = _parts(spark, table, listed.join(touched, PART, "left_semi"))
+        rows = rows.unionByName(old.withColumns(part).withColumn("_age", F.lit(1)))
+        parts = parts.unionByName(listed.join(touched, PART, "left_anti"))
+    merged = keep_first(rows, ["date", "ticker", *PART], [F.col("_age"), F.col("raw_checksum")]).drop("_age")
+    merged.write.mode("overwrite").partitionBy(*PART).parquet(f"{table}/data/batch={batch_id}")
+    parts.coalesce(1).write.mode("overwrite").parquet(f"{table}/manifest/batch={batch_id}")
 
-    def land(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
+def ingest_once(spark: SparkSession, landing: str, table: str, checkpoint: str) -> None:
+    """Merge every landed file not yet taken into ``table``, then stop.
+
+    The checkpoint makes a restart skip files already taken.
+    """
     stream = spark.readStream.schema(contracts.PRICES).parquet(landing)
     query = (
-        stream.writeStream.foreachBatch(land)
+        stream.writeStream.foreachBatch(lambda batch, batch_id: merge_batch(batch, table, batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -36,9 +86,8 @@ def ingest_once(spark: SparkSession, landing: str, table: str, checkpoint: str)
 
 def ingested(spark: SparkSession, table: str) -> DataFrame:
     """The panel so far: for a key landed twice the latest batch wins."""
-    rows = spark.read.option("basePath", table).parquet(table)
-    newest = [-F.col("batch"), F.col("raw_checksum")]
-    return keep_first(rows, ["date", "ticker"], newest).drop("batch")
+    listed = _manifest(spark, table)
+    return spark.createDataFrame([], contracts.PRICES) if listed is None else _parts(spark, table, listed)
 
 
 def fresh_workspace(spark: SparkSession, name: str) -> str:

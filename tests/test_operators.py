@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pitpanel import contracts
 from pitpanel.functions.ranks import with_average_rank
 from pitpanel.functions.rolling import with_emas
-from pitpanel.operators import allocate, asof, backtest, features, inference, merge, moments
+from pitpanel.operators import allocate, asof, backtest, features, folds, inference, merge, metrics, moments
 from pitpanel.operators import quality, selection, subset
 from pitpanel.sources import feeds, storage
 
@@ -549,3 +549,69 @@ def test_ranks_keep_rows_without_a_value(spark):
     got = {r.i: r.r for r in with_average_rank(df, ["g"], "v", "r").collect()}
     want = pd.Series([None if i % 2 else float(i % 6) for i in range(40)]).rank()
     assert got == {i: None if np.isnan(w) else w for i, w in want.items()}
+
+
+def test_expanding_median_by_bisection(spark):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    day = dt.date(2020, 1, 1)
+    values = [None if rng.random() < 0.2 else rng.choice([1.0, 2.5, rng.random(), -rng.random()]) for _ in range(300)]
+    rows = [(day + dt.timedelta(i), v, f"x{i}") for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "date date, v double, other string")
+    got = {r.date: (r.m, r.v, r.other) for r in metrics.expanding_median(df, "v", "m").collect()}
+    for i, (d, v, other) in enumerate(rows):
+        seen = [x for x in values[: i + 1] if x is not None]
+        assert got[d] == (statistics.median(seen) if seen else None, v, other)
+    assert metrics.expanding_median(df.limit(0), "v", "m").collect() == []
+
+
+def test_fold_counts_from_segments(spark):
+    import random
+
+    rng = random.Random(5)
+    wf = folds.WalkForward(6, 2, 1)
+    day = dt.date(2019, 1, 1)
+    rows = list({(f"t{rng.randint(0, 5)}", day + dt.timedelta(rng.randint(0, 700))) for _ in range(150)})
+    rows += [rows[0]] * 3 + [(None, rows[1][1]), ("t1", None)]
+    df = spark.createDataFrame(rows, "ticker string, date date")
+    made = folds.make_folds(df, wf)
+    want = {
+        (r.fold, r.role): (r.records, r.dates, r.tickers)
+        for r in folds.assign_folds(df, made, wf).groupBy("fold", "role").agg(
+            F.count(F.lit(1)).alias("records"), F.count_distinct("date").alias("dates"), F.count_distinct("ticker").alias("tickers")
+        ).collect()
+    }
+    got = {(r.fold, r.role): (r.records, r.dates, r.tickers) for r in folds.fold_counts(df, made, wf).collect()}
+    assert want and got == want
+
+
+def test_batches_are_merged_by_part_and_retried_whole(spark, tmp_path):
+    from pitpanel.streaming import ingest
+
+    names = contracts.PRICES.fieldNames()
+
+    def batch(*rows):  # (ticker, date, close, checksum)
+        made = [{**dict.fromkeys(names), "ticker": t, "date": d, "close": c, "raw_checksum": k} for t, d, c, k in rows]
+        return spark.createDataFrame([tuple(r[n] for n in names) for r in made], contracts.PRICES)
+
+    def state():
+        return sorted((r.ticker, r.date, r.close) for r in ingest.ingested(spark, table).collect())
+
+    table, a, b = str(tmp_path / "table"), dt.date(2020, 1, 2), dt.date(2021, 1, 4)
+    assert ingest.ingested(spark, table).count() == 0
+    ingest.merge_batch(batch(("A", a, 1.0, "x"), ("A", a, 9.0, "y"), ("A", b, 2.0, "x"), ("B", a, 3.0, "x")), table, 0)
+    first = [("A", a, 1.0), ("A", b, 2.0), ("B", a, 3.0)]
+    assert state() == first
+    second = batch(("A", b, 5.0, "z"), ("C", b, 6.0, "z"))
+    ingest.merge_batch(second, table, 1)
+    want = sorted([("A", a, 1.0), ("A", b, 5.0), ("B", a, 3.0), ("C", b, 6.0)])
+    assert state() == want
+    # only parts of 2021 were written again
+    assert {p.name for p in (tmp_path / "table/data/batch=1").glob("*/year=*")} == {"year=2021"}
+    # a batch without its list is not seen, and its retry takes nothing twice
+    (tmp_path / "table/manifest/batch=1/_SUCCESS").unlink()
+    assert state() == first
+    ingest.merge_batch(second, table, 1)
+    assert state() == want

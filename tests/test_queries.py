@@ -13,7 +13,7 @@ TABLES = (
 CHECKED = [
     "panel_prices", "feat_macd", "feat_target_rank", "asof_financials", "universe_monthly",
     "merge_sources", "incremental_ingest", "adaptive_selection", "shrunk_cov", "backtest_equal",
-    "paired_bootstrap", "allocate_weights", "run_gate", "import_prices_rejected", "fold_status",
+    "fold_counts", "regimes", "paired_bootstrap", "allocate_weights", "run_gate", "import_prices_rejected", "fold_status",
 ]
 
 
