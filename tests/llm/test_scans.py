@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pitpanel.llm import decontaminate as dc
 from pitpanel.llm import toxicity as tx
-from pitpanel.llm.secrets import Ledger, op9_secret_ledger, secrets, versions_of
-from pitpanel.session import scratch_root
+from pitpanel.llm.secrets import RULES, Ledger, Rule, op9_secret_ledger, secrets, versions_of
+from pitpanel.session import scratch_root, store
 
 from .odd import documents, same_rows
 
@@ -61,6 +61,10 @@ def naive_secrets(text):
     return ",".join(f"{k}:{a}:{b}" for k, _, a, b in sorted(out, key=lambda f: (f[2], f[1])))
 
 
+def spans(found):
+    return ",".join(f"{f['kind']}:{f['first']}:{f['end']}" for f in found)
+
+
 def test_secrets_of_the_whole_table(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in op9_secret_ledger(spark, SF).collect()}
@@ -74,7 +78,6 @@ def test_secret_shapes(spark):
     texts = ["Api_Key = 'abcd.1234'", "apikey:short", "paſsword=abcdefghij", "token=token=abcdefgh", "AKIA" + "A" * 11, "AKIA" + "A" * 12,
              "é" + "f" * 32 + "g", "secret\"= \"x-y_z/1+2=", "PASSWD:12345678 passwd:1234567"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    spans = lambda fs: ",".join(f"{f['kind']}:{f['first']}:{f['end']}" for f in fs)
     got = {r.path: spans(r.findings) for r in secrets(df).collect()}
     assert got == {i: naive_secrets(t) for i, t in enumerate(texts)} and got[6] == "hex:1:33" and got[2] == ""
 
@@ -83,15 +86,44 @@ def test_ledger_scans_only_what_it_has_not_seen(spark):
     docs = documents(spark)
     ledger = Ledger(spark, f"{scratch_root(spark)}/test-ledger-{id(docs)}")
     first = secrets(docs, ledger=ledger).collect()
-    size = ledger.read().count()
-    assert size == versions_of(docs).select("blob").distinct().count() and len(first) == docs.count()
-    assert same_rows(first, secrets(docs, ledger=ledger).collect()) and ledger.read().count() == size
+    size = ledger.entries().count()
+    assert size == len(RULES) * versions_of(docs).select("blob").distinct().count() and len(first) == docs.count()
+    assert same_rows(first, secrets(docs, ledger=ledger).collect()) and ledger.entries().count() == size
     more = docs.select("doc_id", "text").union(spark.createDataFrame([(99, "token: new-secret-9")], "doc_id long, text string"))
     assert {r.path for r in secrets(more, ledger=ledger).collect() if r.findings} >= {None, 8, 99}
-    assert ledger.read().count() == size + 1
+    assert ledger.entries().count() == size + len(RULES)
     assert secrets(docs.limit(0), ledger=ledger).collect() == []
 
 
+def test_a_new_or_changed_rule_scans_only_its_own_pairs(spark):
+    docs = spark.createDataFrame([(1, "key=AKIA" + "A" * 16 + " pin 123456"), (2, "pin 99 pin 4321"), (3, None)], "doc_id long, text string")
+    ledger = Ledger(spark, f"{scratch_root(spark)}/test-rules-{id(docs)}")
+    secrets(docs, ledger=ledger)
+    entries = lambda: {(r.blob, r.rule) for r in ledger.entries().collect()}
+    before = entries()
+    pin = Rule("pin", r"pin (\d+)", 1, 4)
+    got = {r.path: spans(r.findings) for r in secrets(docs, ledger=ledger, rules=(*RULES, pin)).collect()}
+    assert got == {1: "access:4:24,pin:25:35", 2: "pin:7:15", 3: ""}
+    assert {rule for _, rule in entries() - before} == {pin.version} and len(entries() - before) == 3
+    shorter = pin._replace(least=2)
+    got = {r.path: spans(r.findings) for r in secrets(docs, ledger=ledger, rules=(*RULES, shorter)).collect()}
+    assert got[2] == "pin:0:6,pin:7:15"
+    changed = [pin, shorter, pin._replace(kind="p"), pin._replace(group=0), pin._replace(pattern=r"pin (\d+) ")]
+    assert len({r.version for r in changed}) == len(changed)
+    # the older rule still has its own findings
+    got = {r.path: spans(r.findings) for r in secrets(docs, ledger=ledger, rules=(pin,)).collect()}
+    assert got == {1: "pin:25:35", 2: "pin:7:15", 3: ""}
+
+
+def test_pairs_entered_twice_are_read_once(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "x")], "doc_id long, text string")
+    ledger = Ledger(spark, f"{scratch_root(spark)}/test-twice-{id(docs)}")
+    first = secrets(docs, ledger=ledger).collect()
+    store(ledger.entries()).write.mode("append").parquet(ledger.path)  # as another run at the same time would
+    assert ledger.entries().count() == 2 * 2 * len(RULES)
+    assert same_rows(first, secrets(docs, ledger=ledger).collect()) and len(first) == 3
+
+
 @pytest.fixture(scope="module")
 def toxic_model(spark):
     words = ["grumpf", "snarkle", "blotch"]
