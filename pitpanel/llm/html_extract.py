@@ -6,12 +6,13 @@ node the odds of holding main text; the page's labels are the most probable ones
 which nothing is kept below a removed node, by a sum over the tree from its leaves.
 
 The trees are fitted by Spark on at most ``sample_pages`` distinct pages (the smallest
-digests of their text) of those in the whole table that mark their article, which
-carry their own labels. Each of them is also
+digests of their text) of those in the whole table that have an article element, less
+what lies inside it as comment, aside, menu or form. Each of them is also
 rebuilt ``variants`` times from its own blocks in other layouts, with menus, headers,
 sidebars, notices, adverts, forms and comments around and inside the article, so that
-the model does not lean on one site's tags. Where no page marks an article, the trees
-are fitted on nothing and all visible text counts as main.
+the model does not lean on one site's tags. Labels of rebuilt pages are marks that are
+read from these pages alone: no attribute of a page of the table is ever a label. Where
+no page has an article, the trees are fitted on the layouts with made-up words.
 
 Pages are extracted where they lie, whole, without a shuffle. NULL and empty pages give
 an empty text; so do pages without main text. Broken markup is read as far as it goes.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitpanel.llm.common import batches, fresh, table
-from pitpanel.llm.html_tree import Page, features
+from pitpanel.llm.html_tree import COMMENT, Page, features
 from pitpanel.session import store
 
 SAMPLE_PAGES, VARIANTS, TREES, DEPTH = 160, 8, 24, 4
@@ -81,28 +82,48 @@ def _trees(model, depth: int) -> Trees:
     return out
 
 
+#: Not part of an article though inside it; also what holds no articles of its own.
+ASIDE, LISTS = {"article", "aside", "nav", "form", "dialog"}, {"section", "ol", "ul"}
+
+
 def labels_of(page: Page) -> np.ndarray | None:
     """1 for nodes that hold main text, from marks or the article element; None without either."""
     n = len(page.tag)
-    main = [False] * n
-    marked = False
+    state = [0] * n  # 0 outside, 1 main, 2 set apart, with all below
     for i in range(1, n):
-        own = page.label[i]
-        if own is None and page.tag[i] == "article" and page.label[page.parent[i]] is None:
-            own = "1"
-        if own is not None:
-            marked = True
-            page.label[i] = own
-            main[i] = own == "1"
-        else:
-            main[i] = main[page.parent[i]]
-    if not marked:
+        up, tag, said = state[page.parent[i]], page.tag[i], page.groups[i] & COMMENT
+        state[i] = up
+        if page.marks:
+            if page.label[i] is not None:
+                state[i] = 1 if page.label[i] == "1" else 2
+        elif up == 0 and tag == "article":
+            state[i] = 1
+        elif up == 0 and (tag in ("aside", "nav") or said and tag in LISTS):
+            state[i] = 2
+        elif up == 1 and (tag in ASIDE or said and tag != "#text"):
+            state[i] = 2
+    if 1 not in state:
         return None
-    y = np.array([float(m and t is not None) for m, t in zip(main, page.text, strict=True)])
+    y = np.array([float(s == 1 and t is not None) for s, t in zip(state, page.text, strict=True)])
     total = np.concatenate(([0.0], np.cumsum(y)))
     return (total[np.array(page.end)] - total[np.arange(n)] > 0).astype(float)
 
 
+def default_pages(count: int = 60) -> list[str]:
+    """Plain articles of made-up words, for tables in which no page has an article."""
+    rng = random.Random(7)
+    letters = "aeiou", "bcdfghklmnprstvw"
+    words = ["".join(rng.choice(letters[k % 2]) for k in range(rng.randint(1, 9))) for _ in range(400)]
+    some = lambda low, high: " ".join(rng.choice(words) for _ in range(rng.randint(low, high))).capitalize()
+    text = lambda: " ".join(some(4, 25) + "." for _ in range(rng.randint(1, 6)))
+    out = []
+    for _ in range(count):
+        blocks = "".join(f"<p>{text()}</p>" for _ in range(rng.randint(2, 12)))
+        menu = "".join(f"<li><a href=#>{some(1, 3)}</a></li>" for _ in range(rng.randint(3, 8)))
+        out.append(f"<nav><ul>{menu}</ul></nav><article><h1>{some(2, 8)}</h1>{blocks}</article><footer><p>{some(3, 12)}</p></footer>")
+    return out
+
+
 def _rebuilt(page: Page, rng: random.Random) -> str | None:
     """The page's own blocks in a made-up layout; ``data-y`` marks what is main text."""
     esc = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
@@ -182,23 +203,22 @@ def _rebuilt(page: Page, rng: random.Random) -> str | None:
 
 
 def labelled(pages: DataFrame, *, html_col: str, sample_pages: int) -> DataFrame:
-    """``(key, html)`` of at most ``sample_pages`` distinct pages that carry a label, found over the whole table."""
+    """``(key, html)`` of at most ``sample_pages`` distinct pages with an article, found over the whole table."""
     named = pages.where(F.col(html_col).isNotNull()).select(F.sha2(html_col, 256).alias("key"), F.col(html_col).alias("html"))
 
     def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [labels_of(Page(h)) is not None for h in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(found, pa.bool_()))], ["key"])
 
-    # only pages with one of these words can be marked; they are read to be sure
-    maybe = named.where(F.col("html").rlike("(?i)<article|data-y"))
+    # only pages with this word can have one; they are read to be sure
+    maybe = named.where(F.col("html").rlike("(?i)<article"))
     # bounded by the limit, so it may be broadcast
     keys = batches(maybe, marked, "key string").distinct().orderBy("key").limit(sample_pages)
     return named.join(F.broadcast(keys), "key").groupBy("key").agg(F.first("html").alias("html"))
 
 
-def training_rows(pages: DataFrame, *, html_col: str, sample_pages: int, variants: int) -> DataFrame:
-    """``(features, label)`` of the nodes of sampled pages and of their rebuilt forms."""
-    chosen = labelled(pages, html_col=html_col, sample_pages=sample_pages).repartition(8, "key")
+def training_rows(chosen: DataFrame, *, variants: int) -> DataFrame:
+    """``(features, label)`` of the nodes of pages ``(key, html)`` and of their rebuilt forms."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         read, y = [], []
@@ -212,27 +232,30 @@ def training_rows(pages: DataFrame, *, html_col: str, sample_pages: int, variant
             rng = random.Random(zlib.crc32(source.encode("utf-8", "replace")))
             for _ in range(variants):
                 if made := _rebuilt(page, rng):
-                    read.append(Page(made))
+                    read.append(Page(made, marks=True))
                     y.append(labels_of(read[-1]))
         x = features(read).astype(float) if read else np.zeros((0, 1))
         return pa.RecordBatch.from_arrays([
             pa.array(list(x), pa.list_(pa.float64())), pa.array(np.concatenate(y) if y else [], pa.float64())
         ], ["x", "label"])
 
-    return batches(chosen, run, "x array<double>, label double")
+    return batches(chosen.repartition(8, "key"), run, "x array<double>, label double")
 
 
 def fit(pages: DataFrame, *, html_col: str = "html", sample_pages: int = SAMPLE_PAGES,
-        variants: int = VARIANTS, trees: int = TREES, depth: int = DEPTH) -> Trees | None:
-    rows = store(training_rows(pages, html_col=html_col, sample_pages=sample_pages, variants=variants), "nodes")
+        variants: int = VARIANTS, trees: int = TREES, depth: int = DEPTH) -> Trees:
+    """Trees from the table's own articles, or from the built-in layouts if it has none."""
+    chosen = labelled(pages, html_col=html_col, sample_pages=sample_pages)
+    rows = store(training_rows(chosen, variants=variants), "nodes")
     if rows.select("label").distinct().count() < 2:
-        return None
+        made = pages.sparkSession.createDataFrame([(str(k), h) for k, h in enumerate(default_pages())], "key string, html string")
+        rows = store(training_rows(made, variants=variants), "nodes")
     rows = rows.select(array_to_vector("x").alias("features"), "label")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.25, seed=11, maxBins=32, minInstancesPerNode=5).fit(rows)
     return _trees(model, depth)
 
 
-def extracted(pages: DataFrame, model: Trees | None, *, html_col: str = "html") -> tuple[DataFrame, str]:
+def extracted(pages: DataFrame, model: Trees, *, html_col: str = "html") -> tuple[DataFrame, str]:
     """``pages`` with the main text in an added column, whose name is returned too."""
     (name,) = fresh(pages, "text")
     sent = pages.sparkSession.sparkContext.broadcast(model)
@@ -240,7 +263,7 @@ def extracted(pages: DataFrame, model: Trees | None, *, html_col: str = "html")
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         read = [Page(h) for h in batch.column(batch.schema.get_field_index(html_col)).to_pylist()]
         at = np.cumsum([0] + [len(p.tag) for p in read])
-        odds = sent.value.log_odds(features(read)) if sent.value else np.ones(at[-1])
+        odds = sent.value.log_odds(features(read))
         texts = [p.main_text(odds[a:b]) for p, a, b in zip(read, at[:-1], at[1:], strict=True)]
         where = batch.schema.get_field_index(name)
         return batch.set_column(where, batch.schema.field(where), pa.array(texts, pa.string()))

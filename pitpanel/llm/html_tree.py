@@ -7,23 +7,24 @@ import re
 
 import numpy as np
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S
-)
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile(r"""[>"']""")
 #: One attribute: its whole name and, after an equals sign, its value.
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 TELLING = {"class", "id", "role", "itemprop"}
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe object textarea title svg math canvas xmp".split())
-UNSEEN = RAW | {"head", "select", "datalist", "audio", "video", "map"}
+RAW = set("script style template iframe textarea title".split())
+#: Never shown as text of the page; all else is for the trees to judge.
+UNSEEN = RAW | {"head", "select", "datalist", "desc", "metadata", "annotation"}
+FOREIGN = {"svg", "math"}
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
-    "tbody td tfoot th thead tr ul caption head button select".split()
+    "tbody td tfoot th thead tr ul caption head button".split()
 )
 #: A start tag of the first kind closes an open tag of the second kind, unless one of the third lies between.
-P_ENDS = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "button", "select", "html", "body", "head", "legend"}
+P_ENDS = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "button", "html", "body", "head", "legend"}
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
@@ -48,43 +49,105 @@ KINDS = ["#text", "p", "h", "li", "list", "cell", "table", "div", "section", "qu
 KIND = {"#text": 0, "p": 1, **{f"h{i}": 2 for i in range(1, 7)}, "li": 3, "dt": 3, "dd": 3, "ul": 4, "ol": 4, "dl": 4, "menu": 4,
         "td": 5, "th": 5, "tr": 6, "table": 6, "tbody": 6, "thead": 6, "div": 7, "section": 8, "article": 8, "main": 8,
         "blockquote": 9, "pre": 9, "figure": 9, "figcaption": 9, "span": 10, "a": 10, "b": 10, "i": 10, "em": 10, "strong": 10}
-_attr_cache: dict[str, tuple[frozenset, bool, str | None]] = {}
+COMMENT = 1 << list(GROUPS).index("comment")
+_attr_cache: dict[str, tuple[int, bool, str | None]] = {}
 
 
-def _attributes(raw: str) -> tuple[frozenset, bool, str | None]:
-    """Groups named by an attribute string, whether it hides the element, and a training label."""
+def _attributes(raw: str) -> tuple[int, bool, str | None]:
+    """Groups named by an attribute string as bits, whether it hides the element, and a training mark."""
     got = _attr_cache.get(raw)
     if got is None:
         if len(_attr_cache) > 50_000:
             _attr_cache.clear()
-        groups, hides, label = set(), False, None
+        groups, hides, mark = 0, False, None
         for name, *values in ATTRIBUTE.findall(raw):
             name, value = name.lower(), "".join(values)
             if name == "data-y":
-                label = value
+                mark = value
             elif name == "hidden":
                 hides = True
             elif name == "style":
                 hides |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
             elif name in TELLING:
                 for t in TOKEN.findall(value):
-                    groups.update(k for k, p in enumerate(GROUP_RE) if p.match(t.lower()))
-        got = _attr_cache[raw] = (frozenset(groups), hides, label)
+                    groups |= sum(1 << k for k, p in enumerate(GROUP_RE) if p.match(t.lower()))
+        got = _attr_cache[raw] = (groups, hides, mark)
     return got
 
 
+class _Tags:
+    """Tags, comments and declarations of a page from left to right, in linear time.
+
+    A tag ends at the first ``>`` outside quotes. Where none follows, its ``<`` is text;
+    what was learned on the way there is kept, so no sign is walked over again.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.last = source, source.rfind(">")
+        self.near = (0, -1)  # from here on the next special sign is there
+        self.ends: dict[int, int] = {}  # end of a tag by the special sign met first; -1 without one
+
+    def _special(self, at: int) -> int:
+        m = SPECIAL.search(self.source, at)
+        return m.start() if m else len(self.source)
+
+    def _end(self, at: int) -> int:
+        lo, q = self.near
+        if not lo <= at <= q:
+            q = self._special(at)
+            self.near = (at, q)
+        walked = []
+        while True:
+            end = self.ends.get(q)
+            if end is None and q >= len(self.source):
+                end = -1
+            elif end is None and self.source[q] == ">":
+                end = q
+            if end is not None:
+                break
+            walked.append(q)
+            close = self.source.find(self.source[q], q + 1)
+            q = len(self.source) if close < 0 else self._special(close + 1)
+        for w in walked:
+            self.ends[w] = end
+        return end
+
+    def next(self, at: int):
+        """``(start, end, closing, name, attributes)`` of the next tag; no name for a comment; None at the end."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            if source.startswith("<!--", start):
+                close = source.find("-->", start + 4)
+                return start, len(source) if close < 0 else close + 3, False, None, ""
+            if start > self.last:
+                # nothing closes any more; only a comment may still come
+                comment = source.find("<!--", start)
+                return (comment, len(source), False, None, "") if comment >= 0 else None
+            if source[start + 1 : start + 2] in ("!", "?"):
+                return start, source.find(">", start) + 1, False, None, ""
+            if m := OPEN.match(source, start):
+                end = self._end(m.end())
+                if end >= 0:
+                    return start, end + 1, bool(m.group(1)), m.group(2).lower(), source[m.end() : end]
+            at = start + 1
+        return None
+
+
 class Page:
     """Nodes in page order: elements that may be decided on, and text blocks as leaves.
 
-    An inline element without telling attributes is no node; its text belongs to the
-    block around it.
+    An inline element is no node; its text belongs to the block around it, and what its
+    attributes tell counts for the block if the element holds half of the block's text.
+    ``marks``: read training marks, which only pages made by this library carry.
     """
 
-    def __init__(self, source: str | None) -> None:
-        self.tag, self.parent, self.groups, self.label, self.depth = ["#root"], [-1], [frozenset()], [None], [0]
-        self.text, self.linked, self.end = [None], [0], [0]
+    def __init__(self, source: str | None, marks: bool = False) -> None:
+        self.tag, self.parent, self.groups, self.label, self.depth = ["#root"], [-1], [0], [None], [0]
+        self.text, self.linked, self.end, self.above = [None], [0], [0], [0]
+        self.marks = marks
         self._parts: list[str] = []
         self._link = 0
+        self._told: dict[int, int] = {}
         if source:
             self._read(source)
         self.end[0] = len(self.tag)
@@ -95,6 +158,7 @@ class Page:
         self.groups.append(groups)
         self.label.append(label)
         self.depth.append(self.depth[parent] + 1)
+        self.above.append(self.above[parent] | self.groups[parent])
         self.text.append(None)
         self.linked.append(0)
         self.end.append(len(self.tag))
@@ -106,19 +170,25 @@ class Page:
             raw = "".join(self._parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                leaf = self._add("#text", node, frozenset(), None)
+                told = 0
+                for k in range(len(GROUPS)) if self._told else ():
+                    if 2 * sum(n for g, n in self._told.items() if g >> k & 1) >= len(text):
+                        told |= 1 << k
+                leaf = self._add("#text", node, told, None)
                 self.text[leaf], self.linked[leaf] = text, min(self._link, len(text))
-            self._parts, self._link = [], 0
+            self._parts, self._link, self._told = [], 0, {}
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = [("#root", 0, False, False)]  # tag, node, inside a link, unseen
+        stack: list[tuple[str, int, bool, bool, int]] = [("#root", 0, False, False, 0)]  # tag, node, in a link, unseen, inline groups
+        where: dict[str, list[int]] = {}  # places of open tags in the stack
         unseen = 0
         at = 0
 
         def pop_to(k: int) -> None:
             nonlocal unseen
             while len(stack) > k:
-                tag, node, _, dark = stack.pop()
+                tag, node, _, dark, _ = stack.pop()
+                where[tag].pop()
                 unseen -= dark
                 below = stack[-1][1]
                 if node != below:
@@ -127,29 +197,29 @@ class Page:
                 elif tag in BLOCK:
                     self._flush(node)
 
+        def innermost(names) -> int:
+            return max((where[t][-1] for t in names if where.get(t)), default=0)
+
         def find(wanted, stop) -> int:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in wanted:
-                    return k
-                if stack[k][0] in stop:
-                    return 0
-            return 0
+            k = innermost(wanted)
+            return k if k and k > innermost(stop) else 0
 
         lowered = None
         pos = 0
-        while m := TAG.search(source, pos):
-            start, pos = m.span()
+        tags = _Tags(source)
+        while m := tags.next(pos):
+            start, pos, closing, name, raw = m
             if start > at and not unseen:
                 piece = source[at:start]
                 self._parts.append(piece)
                 if stack[-1][2]:
                     self._link += len(piece.strip())
+                if told := stack[-1][4]:
+                    self._told[told] = self._told.get(told, 0) + len(piece.strip())
             at = pos
-            name = m.group(2)
             if name is None:
                 continue
-            name = name.lower()
-            if m.group(1):
+            if closing:
                 k = find({name}, set() if name not in {"li", "p"} else SCOPE - {"td", "th"})
                 if k:
                     pop_to(k)
@@ -160,28 +230,27 @@ class Page:
                 elif name == "hr":
                     self._flush(stack[-1][1])
                 continue
+            if raw.endswith("/") and (name in FOREIGN or innermost(FOREIGN)):
+                continue
             if name in P_ENDS and (k := find({"p"}, SCOPE)):
                 pop_to(k)
             if name in CLOSES and (k := find(*CLOSES[name])):
                 pop_to(k)
-            groups, hides, label = _attributes(m.group(3)) if "=" in m.group(3) or "hidden" in m.group(3).lower() else (frozenset(), False, None)
+            groups, hides, label = _attributes(raw) if "=" in raw or "hidden" in raw.lower() else (0, False, None)
             if name in TAG_GROUP:
-                groups = groups | {TAG_GROUP[name]}
-            node, link = stack[-1][1], stack[-1][2] or name == "a"
-            block = name in BLOCK
-            if block or groups:
-                self._flush(node) if block else None
-                if not unseen and not hides and name not in UNSEEN and block:
-                    node = self._add(name, node, groups, label)
-                elif not unseen and not hides and name not in UNSEEN and (groups - {9}):
-                    self._flush(node)  # a telling inline element starts a block of its own
-                    node = self._add(name, node, groups, label)
+                groups |= 1 << TAG_GROUP[name]
+            _, node, link, _, told = stack[-1]
             dark = hides or name in UNSEEN
-            if dark and m.group(3).endswith("/") and name in ("svg", "math"):
-                continue
+            if name in BLOCK:
+                self._flush(node)
+                if not unseen and not dark:
+                    node = self._add(name, node, groups, label if self.marks else None)
+            else:
+                told |= groups
             unseen += dark
-            stack.append((name, node, link, dark))
-            if name in RAW and name not in ("svg", "math"):
+            where.setdefault(name, []).append(len(stack))
+            stack.append((name, node, link or name == "a", dark, told))
+            if name in RAW:
                 if lowered is None:
                     lowered = source.lower() if len(source.lower()) == len(source) else source
                 close = lowered.find(f"</{name}", pos)
@@ -256,15 +325,10 @@ def features(pages: list[Page]) -> np.ndarray:
     nxt[by[:-1]] = np.where(same[1:], s_chars[by[1:]], 0)
     starts = np.maximum.accumulate(np.where(same, 0, at))
     order[by] = at - starts
-    own = np.zeros((n, len(GROUPS)))
-    for i, g in enumerate(g for p in pages for g in p.groups):
-        for k in g:
-            own[i, k] = 1
+    bits = np.arange(len(GROUPS))
+    own = (np.array([g for p in pages for g in p.groups])[:, None] >> bits & 1).astype(float)
+    above = (np.array([g for p in pages for g in p.above])[:, None] >> bits & 1).astype(float)
     depth = np.concatenate([np.array(p.depth) for p in pages])
-    above = np.zeros_like(own)
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        level = np.flatnonzero(depth == d)
-        above[level] = np.maximum(above[up[level]], own[up[level]])
     held = np.minimum(below(own) - own, 1)
     kind = np.zeros((n, len(KINDS)))
     kind[at, kinds] = 1

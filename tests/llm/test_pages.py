@@ -81,7 +81,7 @@ def test_rebuilt_layouts_not_seen_in_training(spark, model):
         page = Page(r.html)
         hx.labels_of(page)
         if made := hx._rebuilt(page, rng):
-            other = Page(made)
+            other = Page(made, marks=True)
             y = hx.labels_of(other)
             kept = other.decode(model.log_odds(features([other])))
             leaves = [i for i, t in enumerate(other.text) if t]
@@ -96,7 +96,7 @@ def test_the_sample_holds_distinct_labelled_pages(spark):
     df = spark.createDataFrame([(f"u{i}", h) for i, h in enumerate(rows)], "url string, html string")
     got = [r.html for r in hx.labelled(df, html_col="html", sample_pages=5).collect()]
     assert sorted(got) == sorted(marked)
-    assert {r.label for r in hx.training_rows(df, html_col="html", sample_pages=5, variants=1).collect()} == {0.0, 1.0}
+    assert {r.label for r in hx.training_rows(hx.labelled(df, html_col="html", sample_pages=5), variants=1).collect()} == {0.0, 1.0}
 
 
 def test_odd_rows(spark, model):
@@ -105,5 +105,51 @@ def test_odd_rows(spark, model):
     out, name = hx.extracted(df, model)
     got = [(r.page_id, r[name]) for r in out.collect()]
     assert name == "_text" and len(got) == 5 and dict(got[:2]) == {1: "", 2: ""}
-    assert hx.fit(df.limit(0)) is None and hx.extracted(df.limit(0), None)[0].collect() == []
-    assert hx.extracted(df, None)[0].where("page_id IS NULL").first()[name] == "plain"
+    assert hx.extracted(df.limit(0), model)[0].collect() == []
+
+
+def test_inline_elements_keep_their_sentence():
+    assert blocks('<p>I <a class="comment-link">like</a> <span class=ad>it</span></p>') == ["I like it"]
+    page = Page('<div><span class="ad">buy now</span></div><p>a long sentence <i class=ad>x</i></p>')
+    told = {t: g for t, g in zip(page.text, page.groups, strict=True) if t}
+    assert told["buy now"] and not told["a long sentence x"]
+
+
+def test_nothing_but_unseen_parts_is_dropped():
+    assert blocks("<p>Let <math><mi>x</mi><mspace/></math> be a <svg><path d=1 /><title>no</title><text>y</text></svg> number</p>") == ["Let x be a y number"]
+    assert blocks("<p>a<noscript>b</noscript><object>c</object><canvas>d</canvas><video>e</video></p>f") == ["abcde", "f"]
+    assert blocks("<p>a<textarea>no</textarea><select><option>no</select><template>no</template>b</p>") == ["ab"]
+
+
+def test_labels_come_from_articles_and_made_pages_only():
+    page = Page('<article><p>one</p><div data-y="0">two</div><section class=comments><article><p>said</p></article></section><aside>by</aside></article>'
+                '<nav><article>menu</article></nav><ol class="comment-list"><li><article>said too</article></ol>')
+    y = dict(zip(page.text, hx.labels_of(page), strict=True))
+    assert {t: y[t] for t in page.text if t} == {"one": 1, "two": 1, "said": 0, "by": 0, "menu": 0, "said too": 0}
+    assert hx.labels_of(Page('<div data-y="1">story</div>')) is None
+    made = Page('<body data-y=0><div data-y=1>story</div>x', marks=True)
+    assert dict(zip(made.text, hx.labels_of(made), strict=True))["story"] == 1
+
+
+@pytest.mark.parametrize("unit", ["<a b ", '<a "', "<div>", "<a '\"", "<p><table><b>", "<!", "<li><b>", "<svg><g>"])
+def test_broken_pages_take_linear_time(unit):
+    import time
+
+    seconds = []
+    for size in (100_000, 1_000_000):
+        for tail in ("", ">", '""'):
+            began = time.process_time()
+            page = Page(unit * (size // len(unit)) + tail)
+            assert len(features([page])) == len(page.tag)
+            seconds.append(time.process_time() - began)
+    assert max(seconds[3:]) < 30 * max(max(seconds[:3]), 0.05)
+
+
+def test_a_table_without_articles_gets_the_built_in_trees(spark):
+    menu = "<ul class=menu>" + "".join(f"<li><a href=/{k}>Part {k}</a></li>" for k in range(6)) + "</ul>"
+    story = [f"This is sentence {k} of the story, and it goes on for quite a while. It ends here." for k in range(5)]
+    source = f"<div id=header><p>My Site</p></div>{menu}<div class=post-content>{''.join(f'<p>{t}</p>' for t in story)}</div>" \
+             "<div class=footer><p>Copyright</p></div>"
+    df = spark.createDataFrame([(1, source), (2, "")], "page_id long, html string")
+    out, name = hx.extracted(df, hx.fit(df))
+    assert {r.page_id: r[name] for r in out.collect()} == {1: "\n\n".join(story), 2: ""}
