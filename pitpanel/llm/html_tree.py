@@ -8,6 +8,8 @@ import re
 import numpy as np
 
 OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: A tag without ``<`` in it: as most are, and never read beyond the next ``<``.
+PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>"']|"[^"<]*+"|'[^'<]*+')*+)>""")
 SPECIAL = re.compile(r"""[>"']""")
 #: One attribute: its whole name and, after an equals sign, its value.
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
@@ -116,6 +118,8 @@ class _Tags:
         """``(start, end, closing, name, attributes)`` of the next tag; no name for a comment; None at the end."""
         source = self.source
         while (start := source.find("<", at)) >= 0:
+            if m := PLAIN.match(source, start):
+                return start, m.end(), m[1] == "/", m[2].lower(), m[3]
             if source.startswith("<!--", start):
                 close = source.find("-->", start + 4)
                 return start, len(source) if close < 0 else close + 3, False, None, ""
@@ -194,7 +198,7 @@ class Page:
                 if node != below:
                     self._flush(node)
                     self.end[node] = len(self.tag)
-                elif tag in BLOCK:
+                elif tag in BLOCK and not unseen:
                     self._flush(node)
 
         def innermost(names) -> int:
@@ -241,11 +245,11 @@ class Page:
                 groups |= 1 << TAG_GROUP[name]
             _, node, link, _, told = stack[-1]
             dark = hides or name in UNSEEN
-            if name in BLOCK:
+            if name in BLOCK and not unseen:
                 self._flush(node)
-                if not unseen and not dark:
+                if not dark:
                     node = self._add(name, node, groups, label if self.marks else None)
-            else:
+            elif name not in BLOCK:
                 told |= groups
             unseen += dark
             where.setdefault(name, []).append(len(stack))

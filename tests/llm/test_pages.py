@@ -153,3 +153,22 @@ def test_a_table_without_articles_gets_the_built_in_trees(spark):
     df = spark.createDataFrame([(1, source), (2, "")], "page_id long, html string")
     out, name = hx.extracted(df, hx.fit(df))
     assert {r.page_id: r[name] for r in out.collect()} == {1: "\n\n".join(story), 2: ""}
+
+
+def test_plain_tags_are_read_as_by_the_full_walk(monkeypatch):
+    from pitpanel.llm import html_tree
+
+    rng = random.Random(1)
+    bits = ["<a", " b", "=", '"', "'", ">", "<", "/", "x", "<!--", "-->", "<!"]
+    sources = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 16))) for _ in range(5000)]
+
+    def walk(source):
+        tags, pos, out = html_tree._Tags(source), 0, []
+        while m := tags.next(pos):
+            out.append(m)
+            pos = m[1]
+        return out
+
+    quick = [walk(s) for s in sources]
+    monkeypatch.setattr(html_tree, "PLAIN", re.compile(r"(?!)"))
+    assert quick == [walk(s) for s in sources]
