@@ -551,6 +551,18 @@ def test_ranks_keep_rows_without_a_value(spark):
     assert got == {i: None if np.isnan(w) else w for i, w in want.items()}
 
 
+def test_ranks_see_one_set_of_cuts(spark):
+    """A sketch depends on the order in which its parts meet, so no plan may hold it twice."""
+    n = 20_000
+    value = (F.xxhash64("id") % 1_000_000_007).cast("double")
+    df = spark.range(0, n, 1, 4).select((F.col("id") % 2).alias("g"), "id", value.alias("v"))
+    ranked = with_average_rank(df, ["g"], "v", "r", pct=True, groups=2)
+    assert "percentile_approx" not in ranked._jdf.queryExecution().executedPlan().toString()
+    got = ranked.toPandas()
+    want = got.groupby("g")["v"].rank(method="average") / got.groupby("g")["v"].transform("count")
+    assert len(got) == n and (got["r"] == want).all()
+
+
 def test_expanding_median_by_bisection(spark):
     import random
     import statistics
