@@ -563,6 +563,32 @@ def test_ranks_see_one_set_of_cuts(spark):
     assert len(got) == n and (got["r"] == want).all()
 
 
+def test_correlations_by_blocks(spark):
+    """Pairwise complete over each fold's window, from one row a ticker instead of one a pair and date."""
+    rng, n = np.random.default_rng(5), 40
+    days = pd.date_range("2001-01-01", periods=n, freq="7D").date
+    wide = pd.DataFrame(rng.normal(size=(n, 4)), columns=list("abcd"), index=days)
+    wide["e"], wide["f"] = wide["a"], 0.1  # an equal series, and one without spread
+    wide.loc[days[3:9], "b"] = np.nan
+    wide.loc[days[2:], "d"] = np.nan
+    long = [(t, d, None if np.isnan(v) else float(v)) for t in wide for d, v in wide[t].items() if t != "d" or d < days[2]]
+    returns = spark.createDataFrame(long, "ticker string, date date, ret1 double")
+    window = spark.createDataFrame([(f, d) for f, at in ((0, slice(0, 20)), (1, slice(5, 40))) for d in days[at]], "fold int, date date")
+    chosen = spark.createDataFrame([(0, "a"), (0, "b"), (1, "b"), (1, "d")], "fold int, ticker string")
+    got = selection.correlation_to(returns, chosen, window, 40)
+    assert "corr(" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {(r.fold, r.ticker, r.other): r["corr"] for r in got.collect()}
+    want = {}
+    for f, o, at in ((0, "a", slice(0, 20)), (0, "b", slice(0, 20)), (1, "b", slice(5, 40))):
+        for t in "abcdef":
+            if f == 0 or t != "d":
+                c = wide[t].iloc[at].corr(wide[o].iloc[at], min_periods=2)
+                want[f, t, o] = 0.0 if np.isnan(c) or t == "f" else c
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert all(got[f, "a", o] == got[f, "e", o] for f, o in ((0, "a"), (0, "b"), (1, "b")))
+
+
 def test_expanding_median_by_bisection(spark):
     import random
     import statistics
