@@ -7,9 +7,10 @@ the cost of each disguise, is the restored word. The score is a logistic model o
 words and character n-grams of the restored text.
 
 The character model counts all texts of the corpus, one partial table per task, summed
-by Spark; its size is the alphabet cubed. The classifier is fitted on at most
-``sample_rows`` labelled rows (the smallest digests of their ids), and keeps at most
-``max_features`` features, chosen by likelihood ratio. Labels come only from rows whose
+by Spark; its size is the alphabet cubed. The classifier is fitted on all labelled
+rows and keeps at most ``max_features`` features, chosen by likelihood ratio; rows with
+the same features and label are one weighted row, and a Newton step is one Spark
+aggregate over these. Labels come only from rows whose
 ``crc32(id) % 3`` is not 1; labels, language, source and id are no inputs of a score.
 Texts are scored where they lie, without a shuffle, whole, in batches of bounded bytes. When
 scoring, only tokens whose signs can spell a feature of the model are decoded (``Reach``).
@@ -34,9 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import BATCH_BYTES, BATCH_ROWS, fresh, table
+from pitpanel.llm.common import BATCH_BYTES, BATCH_ROWS, fresh, store, table
 
-SAMPLE_ROWS, MAX_FEATURES, MIN_TOXIC, MIN_RATIO = 8000, 600, 3, 20.0
+MAX_FEATURES, MIN_TOXIC, MIN_RATIO = 600, 3, 20.0
+#: A word is known if so many labelled rows hold it, and so large a share of them; the share bounds the list.
+KNOWN_ROWS, KNOWN_SHARE = 3, 3 / 8000
+#: Features whose counts a task holds before it passes them on.
+HELD_FEATURES = 300_000
 THRESHOLD = 0.7
 LETTERS = 28  # boundary, a-z, any other letter
 #: Signs and the letters they stand for.
@@ -313,19 +318,40 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _logistic(rows: list[tuple[list[int], int]], width: int, ridge: float = 0.005, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression on binary rows, by Newton steps."""
-    x, y = np.zeros((len(rows), width + 1), np.float32), np.array([t for _, t in rows], float)
-    x[:, width] = 1
-    for i, (found, _) in enumerate(rows):
-        x[i, found] = 1
+def _logistic(rows: DataFrame, width: int, totals: tuple[int, int], ridge: float = 0.005, steps: int = 25) -> tuple[np.ndarray, float]:
+    """Ridge-penalised logistic regression on weighted binary rows ``(at, y, n)``, by Newton steps.
+
+    A step is one aggregate: tasks sum the gradient and the curvature of their rows, which are
+    as large as the features and their pairs.
+    """
+    toxic, clean = totals
     # the intercept is held near the prior, so that one toxic word alone can carry a text
-    w, penalty = np.zeros(width + 1), np.r_[np.full(width, ridge), 0.1 * len(y)]
-    prior = w[width] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    w, penalty = np.zeros(width + 1), np.r_[np.full(width, ridge), 0.1 * (toxic + clean)]
+    prior = w[width] = math.log((toxic + 0.5) / (clean + 0.5))
+    start = w.copy()
+
+    def summed(w: np.ndarray):
+        def run(it):
+            slope, curve = np.zeros(width + 1), np.zeros((width + 1, width + 1))
+            for batch in it:
+                for at, y, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                    at = np.array([*at, width])
+                    p = 1 / (1 + math.exp(-max(-30.0, min(30.0, w[at].sum()))))
+                    slope[at] += n * (y - p)
+                    curve[np.ix_(at, at)] += n * max(p * (1 - p), 1e-6)
+            both = np.vstack([curve, slope]).ravel()
+            found = np.flatnonzero(both)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(both[found])], ["i", "v"])
+
+        return run
+
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None].astype(np.float32)).T @ x
-        step = np.linalg.solve(curve + np.diag(penalty), x.T @ (y - p) - penalty * (w - np.r_[np.zeros(width), prior]))
+        # at most as many rows as there are pairs of features
+        got = rows.mapInArrow(summed(w), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+        both = np.zeros((width + 2) * (width + 1))
+        both[got["i"].to_numpy(np.int64)] = got["v"].to_numpy(float)
+        both = both.reshape(width + 2, width + 1)
+        step = np.linalg.solve(both[:-1] + np.diag(penalty), both[-1] - penalty * (w - start))
         w = w + step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-4:
             break
@@ -333,32 +359,40 @@ def _logistic(rows: list[tuple[list[int], int]], width: int, ridge: float = 0.00
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, chars: CharModel | None = None) -> Classifier:
+        max_features: int = MAX_FEATURES, chars: CharModel | None = None) -> Classifier:
     spark = docs.sparkSession
     chars = chars or corpus_model(docs, text_col)
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold_of(F.col(id_col)) != 1)).groupBy(
         F.col(id_col).alias("l_id")
     ).agg(F.max(label_col).cast("int").alias("l_toxic"))
-    # bounded by the limit, so it may be broadcast
-    chosen = one.orderBy(F.xxhash64("l_id"), "l_id").limit(sample_rows)
-    picked = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("l_id")).select(F.col(text_col).alias("text"), "l_toxic")
-    # words of the sample as they stand make restored words more exact
+    # read four times: joined once
+    picked = store(docs.join(one, F.col(id_col) == F.col("l_id")).select(F.col(text_col).alias("text"), "l_toxic"), "labelled")
+    # words of labelled rows as they stand make restored words more exact
     seen = picked.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("word <> ''")
-    words = seen.groupBy("word").agg(F.count("*").alias("n")).where("n >= 3").collect()  # bounded by the sample
+    least = max(KNOWN_ROWS, math.ceil(KNOWN_SHARE * picked.count()))
+    # bounded by the share: at most the distinct words of a mean row, divided by it
+    words = seen.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()
     chars = chars.knowing({r["word"]: r["n"] for r in words})
     sent = spark.sparkContext.broadcast(chars)
 
     def count(it):
         reader, toxic, clean, rows = Reader(sent.value, None), Counter(), Counter(), [0, 0]
+
+        def given():
+            names = ["", *(set(toxic) | set(clean))]
+            return pa.RecordBatch.from_arrays([
+                pa.array(names), pa.array([rows[1]] + [toxic[f] for f in names[1:]], pa.int64()),
+                pa.array([rows[0]] + [clean[f] for f in names[1:]], pa.int64()),
+            ], ["feature", "toxic", "clean"])
+
         for batch in it:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (toxic if y else clean).update(reader.text(text))
                 rows[bool(y)] += 1
-        names = ["", *(set(toxic) | set(clean))]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(names), pa.array([rows[1]] + [toxic[f] for f in names[1:]], pa.int64()),
-            pa.array([rows[0]] + [clean[f] for f in names[1:]], pa.int64()),
-        ], ["feature", "toxic", "clean"])
+            if len(toxic) + len(clean) > HELD_FEATURES:
+                yield given()
+                toxic, clean, rows = Counter(), Counter(), [0, 0]
+        yield given()
 
     _bounded_batches(spark)
     counts = picked.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(
@@ -386,11 +420,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def look(it):
         reader = Reader(sent.value, index)
         for batch in it:
-            found = [[index[f] for f in reader.text(t)] for t in batch.column(0).to_pylist()]
+            found = [sorted(index[f] for f in reader.text(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["at", "y"])
 
-    rows = [(list(r["at"]), r["y"]) for r in picked.mapInArrow(look, "at array<int>, y int").collect()]  # sample_rows
-    w, b = _logistic(rows, len(index))
+    rows = store(picked.mapInArrow(look, "at array<int>, y int").groupBy("at", "y").agg(F.count("*").alias("n")), "patterns")
+    w, b = _logistic(rows, len(index), (T, N))
     return Classifier(chars, {f: float(w[i]) for f, i in index.items()}, float(b))
 
 

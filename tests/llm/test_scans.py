@@ -193,3 +193,19 @@ def test_held_out_accuracy(spark):
     rows = tx.op4_toxicity(spark, SF).join(labels, "doc_id").where("held_out").collect()
     right = sum(r.predicted == r.toxic for r in rows) / len(rows)
     assert right > 0.93 and sum(r.predicted and not r.toxic for r in rows) <= 1
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that only the rows with the largest digests hold is learnt like any other."""
+    ids = spark.range(15_000).where(tx.fold_of(F.col("id")) != 1).withColumn("h", F.xxhash64("id"))
+    last = ids.approxQuantile("h", [0.97], 0.0)[0]
+    late, early = F.col("h") > last, F.col("id") % 50 == 0
+    word = F.when(late, "zorblat").when(early, "grumpfel").otherwise("garden")
+    df = ids.select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("the quiet river and the "), word).alias("text"), (late | early).cast("int").alias("toxic")
+    ).cache()
+    assert df.count() > 9000
+    model = tx.fit(df.drop("text").join(df.drop("toxic"), "doc_id").drop("toxic"), df.select("doc_id", "toxic"))
+    reader = tx.Reader(model.chars, model.weights)
+    assert all(model.score(reader.text(f"a {w} here")) >= tx.THRESHOLD for w in ("zorblat", "grumpfel"))
+    assert model.score(reader.text("a garden here")) < tx.THRESHOLD
