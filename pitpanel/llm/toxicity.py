@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import BATCH_BYTES, BATCH_ROWS, fresh, store, table
+from pitpanel.llm.common import BATCH_BYTES, BATCH_ROWS, fresh, possible, store, table
 
 MAX_FEATURES, MIN_TOXIC, MIN_RATIO = 600, 3, 20.0
 #: A word is known if so many labelled rows hold it, and so large a share of them; the share bounds the list.
@@ -358,6 +358,128 @@ def _logistic(rows: DataFrame, width: int, totals: tuple[int, int], ridge: float
     return w[:width], w[width]
 
 
+def _ratio(t: int, n: int, T: int, N: int) -> float:
+    """Likelihood ratio of a feature that ``t`` of ``T`` toxic and ``n`` of ``N`` clean rows have."""
+    rate = (t + n) / (T + N)
+    return 2 * sum(seen * math.log(seen / expected) for seen, expected in ((t, rate * T), (n, rate * N)) if seen > 0)
+
+
+def _counted(rows: DataFrame, reader, least: int = 1) -> DataFrame:
+    """``(feature, n)``: how many texts of ``rows`` have each feature; ``reader()`` gives a task's features of a text."""
+
+    def count(it):
+        read, held = reader(), Counter()
+
+        def given():
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["feature", "n"])
+
+        for batch in it:
+            for text in batch.column(0).to_pylist():
+                held.update(read(text))
+            if len(held) > HELD_FEATURES:
+                yield given()
+                held = Counter()
+        yield given()
+
+    _bounded_batches(rows.sparkSession)
+    return rows.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+class PlainReader:
+    """Features among ``known`` of a text's letter runs as they stand: some of those that ``Reader`` finds."""
+
+    def __init__(self, known) -> None:
+        self.known, self.cache = known, {}
+
+    def __call__(self, text: str | None) -> set[str]:
+        out = set()
+        for word in set(PARTS.findall((text or "").lower())):
+            got = self.cache.get(word)
+            if got is None:
+                if len(self.cache) > 300_000:
+                    self.cache.clear()
+                got = self.cache[word] = tuple(f for f in features(word) if f in self.known)
+            out.update(got)
+        return out
+
+
+def _looked(picked: DataFrame, sent, wanted: set[str]) -> DataFrame:
+    """``(found, y, n)``: labelled rows by the wanted features they have, and how many rows these are."""
+
+    def look(it):
+        reader = Reader(sent.value, dict.fromkeys(wanted))
+        for batch in it:
+            found = [sorted(reader.text(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["found", "y"])
+
+    _bounded_batches(picked.sparkSession)
+    return store(picked.mapInArrow(look, "found array<string>, y int").groupBy("found", "y").agg(F.count("*").alias("n")), "looked")
+
+
+def _patterns(found: DataFrame, index: dict[str, int]) -> DataFrame:
+    """``(at, y, n)``: rows by the numbers of their chosen features."""
+
+    def number(it):
+        for batch in it:
+            at = [sorted(index[f] for f in fs if f in index) for fs in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["at", "y", "n"])
+
+    return found.mapInArrow(number, "at array<int>, y int, n long").groupBy("at", "y").agg(F.sum("n").alias("n"))
+
+
+def _chosen(picked: DataFrame, sent, T: int, N: int, max_features: int) -> tuple[list[str], DataFrame]:
+    """The features with the highest likelihood ratios, and the labelled rows by the features they have.
+
+    Only toxic rows are read for every feature. The ratio falls with the clean rows that have a feature, and
+    letter runs as they stand are a lower bound of these rows; so features are tried in the order of
+    the most their ratio may be, until that is below the worst ratio of those kept. Clean rows are decoded
+    for these few alone. Nothing is estimated: the choice is that of all counts.
+    """
+    clean = picked.where("l_toxic = 0")
+    toxic = store(_counted(picked.where("l_toxic <> 0"), lambda: Reader(sent.value, None).text, MIN_TOXIC), "toxic")
+    best: list[tuple[float, str]] = []
+    found, looks = None, 0
+    for times in _bands(toxic):
+        band = {r["feature"]: r["n"] for r in toxic.where(F.col("n").between(*times)).collect()}
+        able = {f: t for f, t in band.items() if _ratio(t, 0, T, N) >= max(MIN_RATIO, best[-1][0] if len(best) == max_features else 0)}
+        if not able:
+            continue
+        names = picked.sparkSession.sparkContext.broadcast(frozenset(able))
+        plain = {r["feature"]: r["n"] for r in _counted(clean, lambda names=names: PlainReader(names.value)).collect()}
+        open_ = sorted(
+            ((_ratio(t, plain.get(f, 0), T, N), f) for f, t in able.items() if t / T > 4 * plain.get(f, 0) / N), key=lambda x: (-x[0], x[1])
+        )
+        while open_:
+            bar = max(MIN_RATIO, best[-1][0] if len(best) == max_features else 0)
+            part, open_ = open_[: 2 * max_features], open_[2 * max_features :]
+            wanted = {f for most, f in part if most >= bar}
+            if not wanted:
+                break
+            found, looks = _looked(picked, sent, wanted), looks + 1
+            seen = found.where("y = 0").select(F.explode("found").alias("f"), "n").groupBy("f").agg(F.sum("n").alias("n")).collect()
+            count = {r["f"]: r["n"] for r in seen}
+            for f in wanted:
+                n = count.get(f, 0)
+                ratio = _ratio(able[f], n, T, N)
+                if able[f] / T > 4 * n / N and ratio >= MIN_RATIO:
+                    best.append((ratio, f))
+            best = sorted(best, key=lambda x: (-x[0], x[1]))[:max_features]
+    chosen = [f for _, f in best]
+    return chosen, found if looks == 1 else _looked(picked, sent, set(chosen))
+
+
+def _bands(toxic: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of counts, highest first, with about ``HELD_FEATURES`` features each."""
+    out, size, high = [], 0, None
+    for r in toxic.groupBy("n").count().orderBy(F.desc("n")).collect():
+        high, size = high or r["n"], size + r["count"]
+        if size >= HELD_FEATURES:
+            out.append((r["n"], high))
+            size, high = 0, None
+        last = r["n"]
+    return out + [(last, high)] if high else out
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         max_features: int = MAX_FEATURES, chars: CharModel | None = None) -> Classifier:
     spark = docs.sparkSession
@@ -365,8 +487,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold_of(F.col(id_col)) != 1)).groupBy(
         F.col(id_col).alias("l_id")
     ).agg(F.max(label_col).cast("int").alias("l_toxic"))
-    # read four times: joined once
-    picked = store(docs.join(one, F.col(id_col) == F.col("l_id")).select(F.col(text_col).alias("text"), "l_toxic"), "labelled")
+    # texts without a label are not moved; the join is the same at any size
+    asked = possible(docs.select(id_col, text_col).where(fold_of(F.col(id_col)) != 1), id_col, one.select("l_id"), "_asked")
+    joined = asked.where("_asked").join(one.hint("merge"), F.col(id_col) == F.col("l_id"))
+    picked = store(joined.select(F.col(text_col).alias("text"), "l_toxic"), "labelled")
     # words of labelled rows as they stand make restored words more exact
     seen = picked.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("word <> ''")
     least = max(KNOWN_ROWS, math.ceil(KNOWN_SHARE * picked.count()))
@@ -375,55 +499,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chars = chars.knowing({r["word"]: r["n"] for r in words})
     sent = spark.sparkContext.broadcast(chars)
 
-    def count(it):
-        reader, toxic, clean, rows = Reader(sent.value, None), Counter(), Counter(), [0, 0]
-
-        def given():
-            names = ["", *(set(toxic) | set(clean))]
-            return pa.RecordBatch.from_arrays([
-                pa.array(names), pa.array([rows[1]] + [toxic[f] for f in names[1:]], pa.int64()),
-                pa.array([rows[0]] + [clean[f] for f in names[1:]], pa.int64()),
-            ], ["feature", "toxic", "clean"])
-
-        for batch in it:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (toxic if y else clean).update(reader.text(text))
-                rows[bool(y)] += 1
-            if len(toxic) + len(clean) > HELD_FEATURES:
-                yield given()
-                toxic, clean, rows = Counter(), Counter(), [0, 0]
-        yield given()
-
     _bounded_batches(spark)
-    counts = picked.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(
-        F.sum("toxic").alias("t"), F.sum("clean").alias("n")
-    ).persist()
-    totals = counts.where("feature = ''").first()
-    T, N = (totals["t"], totals["n"]) if totals else (0, 0)
+    totals = picked.agg(F.count_if(F.col("l_toxic") != 0).alias("t"), F.count_if(F.col("l_toxic") == 0).alias("n")).first()
+    T, N = totals["t"], totals["n"]
     if not T or not N:
-        counts.unpersist()
         share = T / (T + N) if T + N else 0.0
         return Classifier(chars, {}, math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    rate = (F.col("t") + F.col("n")) / F.lit(float(T + N))
-
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    ratio = 2 * (part(F.col("t"), rate * T) + part(F.col("n"), rate * N))
-    best = counts.where(F.col("feature") != "").where(
-        (F.col("t") >= MIN_TOXIC) & (F.col("t") / T > 4 * F.col("n") / N)
-    ).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "feature").limit(max_features)
-    chosen_features = [r["feature"] for r in best.select("feature").collect()]
-    counts.unpersist()
+    chosen_features, found = _chosen(picked, sent, T, N, max_features)
     index = {f: i for i, f in enumerate(chosen_features)}
-
-    def look(it):
-        reader = Reader(sent.value, index)
-        for batch in it:
-            found = [sorted(index[f] for f in reader.text(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["at", "y"])
-
-    rows = store(picked.mapInArrow(look, "at array<int>, y int").groupBy("at", "y").agg(F.count("*").alias("n")), "patterns")
+    rows = store(_patterns(found, index), "patterns")
     w, b = _logistic(rows, len(index), (T, N))
     return Classifier(chars, {f: float(w[i]) for f, i in index.items()}, float(b))
 

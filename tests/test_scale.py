@@ -1,9 +1,13 @@
 """Steps whose cost must not grow faster than what their readers ask for."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from pitpanel.contracts import MARKET_FEATURES
+from pitpanel.llm import toxicity
+from pitpanel.llm.common import possible
 from pitpanel.operators import decision_features, features, selection
 from pitpanel.sources.panel import TradePanel
 
@@ -47,3 +51,41 @@ def test_greedy_rounds_see_only_rows_that_could_be_picked(spark):
         assert {"T1000", "T1001"} <= kept
         # six best, and those less than the penalty of 0.1 below the sixth (9.94)
         assert {f"T{n:04d}" for n in range(985, 1000)} <= kept and len(kept) <= 2 + 16
+
+
+def test_rows_that_could_have_a_partner(spark):
+    rows = spark.createDataFrame([(n, "x" * 10) for n in range(5000)] + [(None, "y")], "id long, text string")
+    keys = spark.createDataFrame([(n,) for n in range(0, 5000, 50)] + [(9999,)], "k long")
+    got = {r.id: r.asked for r in possible(rows, "id", keys, "asked").collect()}
+    assert len(got) == 5001 and all(got[n] for n in range(0, 5000, 50))
+    assert sum(got.values()) < 150  # of rows without a partner only those whose bit is taken
+    none = possible(rows, "id", keys.where("k < 0"), "asked")
+    assert none.columns == ["id", "text", "asked"] and none.where("asked").isEmpty()
+    other = spark.createDataFrame([("7",)], "k string")
+    assert possible(rows, "id", other, "asked").where("NOT asked").isEmpty()  # hashes of other types say nothing
+
+
+def test_features_are_chosen_as_from_all_counts(spark, monkeypatch):
+    """The choice without reading clean rows for every feature, in few and in many bands."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    one = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").cast("int").alias("l_toxic"))
+    picked = docs.join(one, F.col("doc_id") == F.col("l_id")).select("text", "l_toxic").cache()
+    chars = toxicity.corpus_model(docs)
+    sent = spark.sparkContext.broadcast(chars)
+    count = {y: Counter() for y in (0, 1)}
+    reader, total = toxicity.Reader(chars, None), Counter()
+    for r in picked.collect():
+        count[r.l_toxic].update(reader.text(r.text))
+        total[r.l_toxic] += 1
+    T, N = total[1], total[0]
+    want = sorted(
+        (-toxicity._ratio(t, count[0][f], T, N), f) for f, t in count[1].items()
+        if t >= toxicity.MIN_TOXIC and t / T > 4 * count[0][f] / N and toxicity._ratio(t, count[0][f], T, N) >= toxicity.MIN_RATIO
+    )
+    assert len(want) > 20
+    for most, held in ((600, 300_000), (10, 300_000), (10, 40)):
+        monkeypatch.setattr(toxicity, "HELD_FEATURES", held)
+        got, found = toxicity._chosen(picked, sent, T, N, most)
+        assert got == [f for _, f in want[:most]]
+        assert found.agg(F.sum("n")).first()[0] == T + N
