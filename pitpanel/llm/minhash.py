@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import batches, batches_of, components, fresh, table
+from pitpanel.llm.common import batches, batches_of, components, fresh, possible, table
 from pitpanel.session import store
 
 BINS, BANDS, ROWS = 252, 42, 6
@@ -275,13 +275,16 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text
         "d1", "d2", F.col("r.id").alias("rep"), F.col("r.version").alias("version"), F.col("r.size").alias("size"),
         F.col("r.keys").alias("keys"),
     ), "classes")
-    banded = classes.select("rep", "size", F.explode("keys").alias("key"))
+    # dealt once for both: the smallest of each bucket, and the bucket's rows
+    banded = classes.select("rep", F.explode("keys").alias("key")).repartition("key")
     centres = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").drop("last")
-    buckets = store(banded.join(centres, "key").select("key", "rep", "size", "hub"), "buckets")
+    buckets = store(banded.join(centres, "key").select("key", "rep", "hub"), "buckets")
     stars = store(buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     needed = stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct()
     at = classes.join(needed, "rep").select("rep", "version")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version"))
+    # texts that no pair asks for are not moved
+    rows = possible(rows, "id", needed, "_asked").where("_asked").drop("_asked")
     texts = store(rows.join(
         at.withColumnRenamed("version", "v").hint("shuffle_hash"), (F.col("id") == F.col("rep")) & (F.col("version") == F.col("v"))
     ).select("id", "text"), "texts")
@@ -323,7 +326,7 @@ def deduplicated(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text_co
     if several.where("lo <> hi").isEmpty():
         groups = store(near_duplicates(docs, n=n, id_col=id_col, text_col=text_col), "groups")
         gone = groups.where("id <> component").select(F.col("id").alias("_gone")).distinct()
-        return _once(docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti"), id_col, groups)
+        return _once(_without(docs, id_col, gone), id_col, groups)
     (key,) = fresh(docs, "text_key")
     keyed = docs.withColumn(key, F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col, text_col)))
     groups = store(near_duplicates(keyed, n=n, id_col=key, text_col=text_col), "groups")
@@ -331,7 +334,16 @@ def deduplicated(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text_co
     members = groups.where("id IS NOT NULL").select("id", "component").distinct().join(names, "id")
     keepers = members.groupBy("component").agg(F.min_by("id", F.struct("name", "id")).alias("keeper"))
     gone = members.join(keepers, "component").where("id <> keeper").select(F.col("id").alias("_gone")).distinct()
-    return _once(keyed.join(gone, F.col(key) == F.col("_gone"), "left_anti"), key, groups).drop(key)
+    return _once(_without(keyed, key, gone), key, groups).drop(key)
+
+
+def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose ``key`` is in ``gone``; only rows that could be are moved for it."""
+    (name,) = fresh(docs, "asked")
+    gone = store(gone, "gone")
+    marked = possible(docs, key, gone, name)
+    doubtful = marked.where(F.col(name)).join(gone.hint("merge"), F.col(key) == F.col("_gone"), "left_anti")
+    return marked.where(~F.col(name)).unionByName(doubtful).drop(name)
 
 
 def _once(docs: DataFrame, key: str, groups: DataFrame) -> DataFrame:
