@@ -171,10 +171,12 @@ class CharModel:
 class Reach:
     """Which tokens a lattice could turn into a word with a known feature.
 
-    Every letter of a restored word comes from a sign of its own, in order. So a feature can only
-    arise where its letters, in order, stand among the letters that the signs may mean. All features
-    are followed at once: a bit for each of their letters is set when the letters up to it are found.
-    A token that ends without a full feature has none in any reading, and need not be decoded.
+    Every letter of a restored word comes from a sign of its own, in order, and no reading leaves a
+    letter out unless it repeats the one before; only signs that are no letters may mean nothing. So a
+    feature can only arise where its letters stand among the letters that the signs may mean, with
+    nothing between them but repeats and such signs. All features are followed at once: a bit for each
+    of their letters is set when the letters up to it are found. A token that ends without a full
+    feature has none in any reading, and need not be decoded.
     """
 
     def __init__(self, known) -> None:
@@ -195,21 +197,26 @@ class Reach:
     def __call__(self, signs: str) -> bool:
         found, masks, starts, ends = 0, self.masks, self.starts, self.ends
         for sign in signs:
-            mask = masks.get(sign)
-            if mask:
-                found |= (found << 1 | starts) & mask
-                if found & ends:
-                    return True
+            mask = masks.get(sign, 0)
+            stay = mask if sign.isalpha() else -1
+            found = (found << 1 | starts) & mask | found & stay
+            if found & ends:
+                return True
         return False
 
 
+def _bare(token: str) -> str:
+    """The token without marks before it, and without signs after it that a clean word may carry."""
+    return token.lstrip(".,;:?\"'’“”([{<%#&*~=-_/\\").rstrip(EDGES)
+
+
 def words_of(token: str, model: CharModel) -> set[str]:
     """Words of one lower-case token: as it stands, and restored wherever it could be a disguise.
 
     A sign at the edge may be a letter or a mark, and a sign inside may be a letter, nothing
     or a break; the words of each reading are given.
     """
-    s = token.lstrip(".,;:?\"'’“”([{<%#&*~=-_/\\").rstrip(EDGES)
+    s = _bare(token)
     whole = token.strip(MARKS)
     parts = PARTS.findall(s)
     out = {*parts, "".join(parts)} - {""}
@@ -240,31 +247,56 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) > n), *(f"${word[-n:]}" for n in (5, 6) if len(word) > n)]
 
 
+def plain_word(token: str) -> str | None:
+    """The only word of a lower-case token of letters between marks; None where ``words_of`` may find others."""
+    whole = token.strip(MARKS)
+    if whole.isalpha() and not DOUBLE.search(whole) and (whole == token or whole == _bare(token)):
+        return whole
+    return None
+
+
 class Reader:
     """Features of texts among ``known`` (all of them if None), with a cache by token."""
 
     def __init__(self, model: CharModel, known: dict | None) -> None:
         self.model, self.known, self.cache = model, known, {}
         self.reach = None if known is None else Reach(known)
+        self.none: set[str] = set()  # tokens without a feature
+        self.wanted = frozenset(known or ())
+        # how a word with a wanted feature begins or ends
+        self.heads = frozenset(f[1:5] for f in self.wanted if f[0] != "$")
+        self.tails = frozenset(f[-5:] for f in self.wanted if f[0] == "$")
 
     def token(self, token: str) -> tuple:
         got = self.cache.get(token)
         if got is None:
-            if len(self.cache) > 300_000:
+            if len(self.cache) + len(self.none) > 300_000:
                 self.cache.clear()
-            if self.reach is None or self.reach(token):
+                self.none.clear()
+            if self.known is None:
                 fs = {f for w in words_of(token, self.model) for f in features(w)}
+            elif (word := plain_word(token)) is not None:
+                able = word[:4] in self.heads or word[-5:] in self.tails
+                fs = self.wanted.intersection(features(word)) if able else ()
+            elif self.reach is None or self.reach(token):
+                fs = self.wanted.intersection(f for w in words_of(token, self.model) for f in features(w))
             else:  # not as it stands either: its own letters are a reading, too
-                fs = set()
-            got = self.cache[token] = tuple(fs if self.known is None else fs & self.known.keys())
+                fs = ()
+            got = tuple(fs)
+            if got:
+                self.cache[token] = got
+            else:
+                self.none.add(token)
         return got
 
     def text(self, text: str | None) -> set[str]:
         if not text:
             return set()
         low = text.lower()
-        out = {f for t in set(low.split()) for f in self.token(t)}
-        for m in SPACED.finditer(low):
+        tokens = set(low.split())
+        out = {f for t in tokens - self.none for f in self.token(t)}
+        # the second sign of a run is a token
+        for m in SPACED.finditer(low) if 1 in map(len, tokens) else ():
             if self.reach is not None and not self.reach(m.group()):
                 continue
             out.update(

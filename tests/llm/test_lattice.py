@@ -80,6 +80,26 @@ def test_skipped_tokens_have_no_feature(chars):
         assert reader.text(f"so {token} it is") == full.text(f"so {token} it is")
 
 
+def test_reach_keeps_letters_together(chars):
+    """Letters that no reading drops may not part a feature: such tokens are not decoded."""
+    reach = tx.Reach({"=idiot", "^moro", "$upid"})
+    assert not any(map(reach, ["indicator", "kidxiot", "mxoro", "stup1nd", "supplied", "idi ot".replace(" ", "k")]))
+    assert all(map(reach, ["idiot", "iiddiioott", "1-d.1?o_t", "xid10+s", "m0r0n", "st*p!d", "mo~~ro", "upppid"]))
+
+
+def test_plain_words_are_read_as_before(chars):
+    model = chars.knowing({w: 5 for w in WORDS})
+    tokens = ["idiot", "idiot.", "(idiot)", "idiot!", ")idiot", "*idiot", "idiot's", "letter", "ünfug,", "x²", "²", "a", "$", "\"clown\""]
+    for t in tokens:
+        word = tx.plain_word(t)
+        assert word is None or tx.words_of(t, model) == {word}, t
+    assert [tx.plain_word(t) for t in ("idiot.", "idiot's", "letter", ")idiot")] == ["idiot", None, None, None]
+    known = {f: 1.0 for w in (*WORDS, "so") for f in tx.features(w)}
+    reader, full = tx.Reader(model, known), tx.Reader(model, None)
+    for t in [*tokens, *WORDS, "idiots", "clowning", "untrash", "m o r o n", "so m o r o n."]:
+        assert reader.text(t) == full.text(t) & known.keys(), t
+
+
 def test_scores_are_those_of_the_full_decode(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text")
     model = tx.fit(docs, table(spark, SF, "labels"))
