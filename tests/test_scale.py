@@ -89,3 +89,42 @@ def test_features_are_chosen_as_from_all_counts(spark, monkeypatch):
         got, found = toxicity._chosen(picked, sent, T, N, most)
         assert got == [f for _, f in want[:most]]
         assert found.agg(F.sum("n")).first()[0] == T + N
+
+
+def test_fill_order_is_a_long_where_keys_fit(spark, panel, tmp_path):
+    """Both packings order the fills of a week alike."""
+    assert panel.fills().schema["at"].dataType.simpleString() == "bigint"
+    wide = panel.table("lineitem").withColumn("l_orderkey", F.expr("l_orderkey + (1L << 50)"))
+    wide.write.parquet(str(tmp_path / "lineitem.parquet"))
+    far = TradePanel(spark, str(tmp_path))
+    assert far.fills().schema["at"].dataType.simpleString() == "decimal(38,0)"
+    bars, same = panel.bars(), far.bars()
+    assert bars.count() > 1000 and not bars.exceptAll(same).count() and not same.exceptAll(bars).count()
+
+
+def test_averages_read_one_row_a_ticker(spark):
+    """Averages of windows with gaps, each from its own rows; no window over the panel's rows."""
+    days = [(f"2020-01-{d:02d}",) for d in range(1, 29)]
+    rows = [(t, d, float((n * 7 + len(t)) % 11) - 4) for t in ("A", "BB", "C") for n, (d,) in enumerate(days) if (n * len(t) + n // 5) % 3]
+    returns = spark.createDataFrame([*rows, ("D", days[0][0], 1.0), ("E", days[3][0], None)], "ticker string, d string, ret1 double").select(
+        "ticker", F.col("d").cast("date").alias("date"), "ret1"
+    )
+    spans = {0: (0, 9), 1: (4, 20), 2: (12, 27)}
+    window = spark.createDataFrame(
+        [(f, days[n][0], hi - n) for f, (lo, hi) in spans.items() for n in range(lo, hi + 1)], "fold int, d string, age int"
+    ).select("fold", F.col("d").cast("date").alias("date"), "age")
+    scores = selection.ewma_scores(returns, window, 5)
+    got = {(r.fold, r.ticker): r.score for r in scores.collect()}
+    want = {}
+    for f, (lo, hi) in spans.items():
+        for t in "A", "BB", "C", "D":
+            at = [(n, x) for n, (d,) in enumerate(days) for u, e, x in [*rows, ("D", days[0][0], 1.0)] if (u, e) == (t, d) and lo <= n <= hi]
+            for k, (n, x) in enumerate(at):
+                if not k:
+                    want[f, t] = x
+                else:
+                    old = (1 - 1 / 3) ** (n - at[k - 1][0])
+                    want[f, t] += (1 / 3) / (old + 1 / 3) * (x - want[f, t])
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    assert "Window" not in scores._jdf.queryExecution().executedPlan().toString()
