@@ -9,6 +9,8 @@ from pitpanel.contracts import MARKET_FEATURES
 from pitpanel.llm import toxicity
 from pitpanel.llm.common import possible
 from pitpanel.operators import decision_features, features, selection
+from pitpanel.operators.folds import WalkForward
+from pitpanel.plans.walkforward import ExperimentConfig, WalkForwardRun
 from pitpanel.sources.panel import TradePanel
 
 
@@ -128,3 +130,24 @@ def test_averages_read_one_row_a_ticker(spark):
     assert got.keys() == want.keys()
     assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
     assert "Window" not in scores._jdf.queryExecution().executedPlan().toString()
+
+
+def test_history_is_the_one_shuffle_of_the_panel(panel):
+    """A ticker's rows lie in one stored row; greedy rounds, averages and features on dates read it as rows were read."""
+    prices = panel.priced().where("xxhash64(date, ticker) % 50 <> 0").cache()
+    run = WalkForwardRun(prices, ExperimentConfig(walk=WalkForward(24, 3, 1, max_folds=3), ranker=None, periods=52), calendar=panel.calendar())
+    rows = features.with_ret1(prices).select("ticker", "date", "ret1")
+    assert run.history.count() == prices.select("ticker").distinct().count()
+    assert not run.returns.exceptAll(rows).count() and not rows.exceptAll(run.returns).count()
+    window = run.window(60)
+    args = window, run.cfg.reduction, run.cfg.walk
+    for one in (
+        lambda r: selection.ewma_scores(r, window, 60).select("fold", "ticker", F.round("score", 12)),
+        lambda r: selection.adaptive_reduce(run.snapshot, r, *args).select("fold", "ticker", "pick", F.round("pick_score", 12)),
+    ):
+        want, got = (Counter(map(tuple, one(r).collect())) for r in (rows, run.history))
+        assert want == got and len(got) > 20
+    plan = decision_features.market_features_of(run.history, run.decisions.select(F.col("decision_time").alias("date")), run.market)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    held = {r.ticker for r in run.pool_returns.select("ticker").distinct().collect()}
+    assert held == {r.ticker for r in run.pools.select("ticker").distinct().collect()}
