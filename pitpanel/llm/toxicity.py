@@ -42,6 +42,8 @@ MAX_FEATURES, MIN_TOXIC, MIN_RATIO = 600, 3, 20.0
 KNOWN_ROWS, KNOWN_SHARE = 3, 3 / 8000
 #: Features whose counts a task holds before it passes them on.
 HELD_FEATURES = 300_000
+#: Features that the driver holds at a time, and pattern rows of one task of the fit.
+BAND_FEATURES, FIT_ROWS = 50_000, 2_000
 THRESHOLD = 0.7
 LETTERS = 28  # boundary, a-z, any other letter
 #: Signs and the letters they stand for.
@@ -322,13 +324,19 @@ def corpus_model(docs: DataFrame, text_col: str = "text") -> CharModel:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["gram", "n"])
 
     _bounded_batches(docs.sparkSession)
-    rows = docs.select(text_col).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    # as many rows as the alphabet has trigrams, at most
+    rows = docs.select(text_col).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(LETTERS**3)
-    for r in rows:  # as many rows as the alphabet has trigrams, at most
-        counts[r["gram"]] = r["n"]
+    counts[rows["gram"].to_numpy()] = rows["n"].to_numpy()
     return CharModel(counts)
 
 
+def _pairs(rows: DataFrame) -> dict:
+    """First column to second: Arrow batches come to the driver as they are, without an object a row."""
+    got = rows.toArrow()
+    return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+
+
 def _bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -371,7 +379,7 @@ def _logistic(rows: DataFrame, width: int, totals: tuple[int, int], ridge: float
                     p = 1 / (1 + math.exp(-max(-30.0, min(30.0, w[at].sum()))))
                     slope[at] += n * (y - p)
                     curve[np.ix_(at, at)] += n * max(p * (1 - p), 1e-6)
-            both = np.vstack([curve, slope]).ravel()
+            both = np.vstack([np.triu(curve), slope]).ravel()  # the curvature is symmetric
             found = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(both[found])], ["i", "v"])
 
@@ -379,11 +387,12 @@ def _logistic(rows: DataFrame, width: int, totals: tuple[int, int], ridge: float
 
     for _ in range(steps):
         # at most as many rows as there are pairs of features
-        got = rows.mapInArrow(summed(w), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+        got = rows.mapInArrow(summed(w), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
         both = np.zeros((width + 2) * (width + 1))
-        both[got["i"].to_numpy(np.int64)] = got["v"].to_numpy(float)
+        both[got["i"].to_numpy()] = got["v"].to_numpy()
         both = both.reshape(width + 2, width + 1)
-        step = np.linalg.solve(both[:-1] + np.diag(penalty), both[-1] - penalty * (w - start))
+        curve = both[:-1] + np.triu(both[:-1], 1).T
+        step = np.linalg.solve(curve + np.diag(penalty), both[-1] - penalty * (w - start))
         w = w + step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-4:
             break
@@ -472,12 +481,14 @@ def _chosen(picked: DataFrame, sent, T: int, N: int, max_features: int) -> tuple
     best: list[tuple[float, str]] = []
     found, looks = None, 0
     for times in _bands(toxic):
-        band = {r["feature"]: r["n"] for r in toxic.where(F.col("n").between(*times)).collect()}
-        able = {f: t for f, t in band.items() if _ratio(t, 0, T, N) >= max(MIN_RATIO, best[-1][0] if len(best) == max_features else 0)}
+        bar = max(MIN_RATIO, best[-1][0] if len(best) == max_features else 0)
+        if _ratio(times[1], 0, T, N) < bar:  # nor can any feature that fewer rows have
+            break
+        able = {f: t for f, t in _pairs(toxic.where(F.col("n").between(*times))).items() if _ratio(t, 0, T, N) >= bar}
         if not able:
             continue
         names = picked.sparkSession.sparkContext.broadcast(frozenset(able))
-        plain = {r["feature"]: r["n"] for r in _counted(clean, lambda names=names: PlainReader(names.value)).collect()}
+        plain = _pairs(_counted(clean, lambda names=names: PlainReader(names.value)))
         open_ = sorted(
             ((_ratio(t, plain.get(f, 0), T, N), f) for f, t in able.items() if t / T > 4 * plain.get(f, 0) / N), key=lambda x: (-x[0], x[1])
         )
@@ -488,8 +499,7 @@ def _chosen(picked: DataFrame, sent, T: int, N: int, max_features: int) -> tuple
             if not wanted:
                 break
             found, looks = _looked(picked, sent, wanted), looks + 1
-            seen = found.where("y = 0").select(F.explode("found").alias("f"), "n").groupBy("f").agg(F.sum("n").alias("n")).collect()
-            count = {r["f"]: r["n"] for r in seen}
+            count = _pairs(found.where("y = 0").select(F.explode("found").alias("f"), "n").groupBy("f").agg(F.sum("n").alias("n")))
             for f in wanted:
                 n = count.get(f, 0)
                 ratio = _ratio(able[f], n, T, N)
@@ -501,11 +511,11 @@ def _chosen(picked: DataFrame, sent, T: int, N: int, max_features: int) -> tuple
 
 
 def _bands(toxic: DataFrame) -> list[tuple[int, int]]:
-    """Ranges of counts, highest first, with about ``HELD_FEATURES`` features each."""
+    """Ranges of counts, highest first, with about ``BAND_FEATURES`` features each, which the driver looks at together."""
     out, size, high = [], 0, None
     for r in toxic.groupBy("n").count().orderBy(F.desc("n")).collect():
         high, size = high or r["n"], size + r["count"]
-        if size >= HELD_FEATURES:
+        if size >= BAND_FEATURES:
             out.append((r["n"], high))
             size, high = 0, None
         last = r["n"]
@@ -527,8 +537,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     seen = picked.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("word <> ''")
     least = max(KNOWN_ROWS, math.ceil(KNOWN_SHARE * picked.count()))
     # bounded by the share: at most the distinct words of a mean row, divided by it
-    words = seen.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()
-    chars = chars.knowing({r["word"]: r["n"] for r in words})
+    chars = chars.knowing(_pairs(seen.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)))
     sent = spark.sparkContext.broadcast(chars)
 
     _bounded_batches(spark)
@@ -540,7 +549,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen_features, found = _chosen(picked, sent, T, N, max_features)
     index = {f: i for i, f in enumerate(chosen_features)}
     rows = store(_patterns(found, index), "patterns")
-    w, b = _logistic(rows, len(index), (T, N))
+    # every step reads these rows: no more tasks than they need
+    w, b = _logistic(rows.coalesce(max(1, -(-rows.count() // FIT_ROWS))), len(index), (T, N))
     return Classifier(chars, {f: float(w[i]) for f, i in index.items()}, float(b))
 
 

@@ -1,5 +1,6 @@
 """Steps whose cost must not grow faster than what their readers ask for."""
 
+import math
 from collections import Counter
 
 import pytest
@@ -93,6 +94,40 @@ def test_features_are_chosen_as_from_all_counts(spark, monkeypatch):
         assert found.agg(F.sum("n")).first()[0] == T + N
 
 
+def test_features_reach_the_driver_in_small_bands(spark, monkeypatch):
+    """The same choice where the driver holds a few features at a time."""
+    rows = [("bad worse worst text", 1)] * 30 + [("bad words here", 1)] * 20 + [("some text here", 0)] * 150
+    picked = spark.createDataFrame(rows, "text string, l_toxic int").cache()
+    sent = spark.sparkContext.broadcast(toxicity.corpus_model(picked))
+    want, _ = toxicity._chosen(picked, sent, 50, 150, 600)
+    held = []
+    pairs = toxicity._pairs
+    monkeypatch.setattr(toxicity, "_pairs", lambda df: held.append(pairs(df)) or held[-1])
+    monkeypatch.setattr(toxicity, "BAND_FEATURES", 1)
+    got, _ = toxicity._chosen(picked, sent, 50, 150, 600)
+    assert got == want and len(want) > 2 and len(held) > 3
+
+
+def test_newton_steps_bring_no_row_objects_to_the_driver(spark, monkeypatch):
+    """Sums come as Arrow batches; at the end the slope of the penalised likelihood is nought."""
+    given = [([0, 1], 1, 5), ([0], 1, 3), ([2], 0, 4), ([1, 2], 0, 2), ([], 0, 9), ([0, 2], 1, 1)]
+    rows = spark.createDataFrame(given, "at array<int>, y int, n long")
+
+    def refused(*_):
+        raise AssertionError("rows as objects")
+
+    monkeypatch.setattr(type(rows), "toPandas", refused)
+    monkeypatch.setattr(type(rows), "collect", refused)
+    w, bias = toxicity._logistic(rows, 3, (9, 15))
+    prior = math.log(9.5 / 15.5)
+    slope = [-0.005 * w[0], -0.005 * w[1], -0.005 * w[2], -2.4 * (bias - prior)]
+    for at, y, n in given:
+        error = n * (y - 1 / (1 + math.exp(-bias - sum(w[i] for i in at))))
+        for i in [*at, 3]:
+            slope[i] += error
+    assert max(map(abs, slope)) < 1e-3
+
+
 def test_fill_order_is_a_long_where_keys_fit(spark, panel, tmp_path):
     """Both packings order the fills of a week alike."""
     assert panel.fills().schema["at"].dataType.simpleString() == "bigint"
