@@ -125,6 +125,26 @@ def test_rankers_score_as_their_models(spark, panel):
     assert len({round(v, 9) for v in got.values()}) > 2
 
 
+def test_jobs_of_the_ranker_do_not_grow_with_folds(spark, panel, monkeypatch):
+    """A level of a tree is one job for all folds; no fold is fitted on its own."""
+    rows = panel.prices().select(
+        "ticker", "date", F.col("close").alias("a"), F.col("volume").cast("double").alias("b"),
+        (F.col("close") % 1000 / 1000).alias("target_rank"),
+    ).cache()
+    last = rows.agg(F.max("date")).first()[0]
+    monkeypatch.setattr(ranker, "fit_ranker", None)
+    jobs = []
+    for n in (1, 4):
+        made = make_folds(panel.calendar(), WalkForward(24, 3, 1, max_folds=n)).cache()
+        snap = rows.where(F.col("date") == F.lit(last)).crossJoin(made.select("fold"))
+        spark.sparkContext.setJobGroup(f"ranker {n}", "")
+        got = ranker.rank_assets(rows, snap, made, ranker.RankerConfig(trees=2, depth=2), ["a", "b"])
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ranker {n}")))
+        assert {r.fold for r in got.select("fold").distinct().collect()} == set(range(n))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 3
+
+
 def test_ranker_without_rows_is_refused(panel):
     made = make_folds(panel.calendar(), WalkForward(24, 3, 1, max_folds=1))
     rows = panel.prices().select("ticker", "date", F.col("close").alias("a"), F.lit(None).cast("double").alias("target_rank"))
