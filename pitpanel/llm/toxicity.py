@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm.common import BATCH_BYTES, BATCH_ROWS, fresh, possible, store, table
+from pitpanel.llm.common import BATCH_BYTES, BATCH_ROWS, fresh, pieces, possible, store, table
 
 MAX_FEATURES, MIN_TOXIC, MIN_RATIO = 600, 3, 20.0
 #: A word is known if so many labelled rows hold it, and so large a share of them; the share bounds the list.
@@ -56,6 +56,7 @@ COST_EDGE, COST_BREAK, COST_KNOWN, COST_NEW = 1.0, 2.0, 1.0, 8.0
 GAP_SIGNS = "._-*~'’ "
 DOUBLE = re.compile(r"([^\W\d_])\1")
 RUN = re.compile(r"(.)\1\1+")
+REPEAT = re.compile(r"(.)\1+")
 LONG = re.compile(r"(.)\1{4,}")
 PARTS = re.compile(r"[^\W\d_]+")
 BREAKS = re.compile(r"[\W\d_]+")
@@ -64,6 +65,10 @@ MARKS = ".,;:?\"'’“”)[]{}<>%#&~=-_/\\"
 EDGES = ".,;:?!\"'’“”()[]{}<>%#&*~=-_/\\$+|"
 #: Single signs between white space, in quotation marks or before a stop too.
 SPACED = re.compile(r"(?<!\S)[\"'‘’“”(\[{<]*\S(?:\s+\S){2,}[.,;:?!\"'’“”)\]}>…]*(?!\S)")
+#: The second and third sign of such a run; quicker to look for.
+PAIR = re.compile(r"\s\S\s+\S[.,;:?!\"'’“”)\]}>…]*(?!\S)")
+#: Signs of text whose trigrams are counted at a time.
+COUNTED = 1 << 20
 
 
 def _classes() -> np.ndarray:
@@ -120,36 +125,39 @@ class CharModel:
         for at, sign in enumerate(token):
             drop = COST_REPEAT if runs[at] else COST_DOUBLE
             after: dict[tuple[int, int, str], tuple[float, tuple]] = {}
-
-            def offer(key, score, path, after=after):
-                if key not in after or score > after[key][0]:
-                    after[key] = (score, path)
-
-            letter = sign.isalpha()
-            options = [(sign, self.of(sign), 0.0)] if letter else [
-                (c, self.of(c), COST_WILD if sign == "*" else COST_LOOKS) for c in LOOKS.get(sign, "")
-            ]
+            letter, options = sign.isalpha(), OPTIONS.get(sign)
+            if options is None:
+                options = [(sign, self.of(sign), 0.0)] if letter else []
             skip = COST_GAP if sign in GAP_SIGNS else COST_EDGE if edges and not first < at < last_letter else COST_SIGN
             part = COST_GAP if not options or sign in GAP_SIGNS else COST_BREAK
             if spaced:
                 self._end_words(paths, spelt, paths, 0.0, new)
+            # where two paths come to one state, the first of the best stays
             begun = max((x for key, x in paths.items() if not key[1]), default=None, key=lambda x: x[0])
             spelt_after: dict[str, tuple[float, tuple]] = {}
             for w, (score, path) in [*spelt.items(), *([("", begun)] if begun else [])]:
                 for c, _, cost in options:
-                    if w + c in prefixes:
-                        offer(w + c, score - cost, (path, c), spelt_after)
+                    if (key := w + c) in prefixes and ((old := spelt_after.get(key)) is None or score - cost > old[0]):
+                        spelt_after[key] = score - cost, (path, c)
                     if w and c == w[-1]:
-                        offer(w, score - cost - min(drop, COST_KNOWN), path, spelt_after)
-                if w and not letter:
-                    offer(w, score - skip, path, spelt_after)
-            for (a, b, last), (score, path) in paths.items():
+                        s = score - cost - min(drop, COST_KNOWN)
+                        if (old := spelt_after.get(w)) is None or s > old[0]:
+                            spelt_after[w] = s, path
+                if w and not letter and ((old := spelt_after.get(w)) is None or score - skip > old[0]):
+                    spelt_after[w] = score - skip, path
+            for state, (score, path) in paths.items():
+                a, b, last = state
+                row = log[a][b]
                 for c, k, cost in options:
-                    offer((b, k, c), score - cost + log[a][b][k], (path, c))
+                    key, s = (b, k, c), score - cost + row[k]
+                    if (old := after.get(key)) is None or s > old[0]:
+                        after[key] = s, (path, c)
                     if c == last:
-                        offer((a, b, last), score - cost - drop, path)
-                if not letter:
-                    offer((a, b, last), score - skip, path)
+                        s = score - cost - drop
+                        if (old := after.get(state)) is None or s > old[0]:
+                            after[state] = s, path
+                if not letter and ((old := after.get(state)) is None or score - skip > old[0]):
+                    after[state] = score - skip, path
             if breaks and not letter:
                 self._end_words(paths, spelt, after, part, new)
             paths, spelt = after, spelt_after
@@ -170,6 +178,10 @@ class CharModel:
                 into[key] = score - cost, (path, " ")
 
 
+#: Letters that a sign may stand for: letter, class, cost.
+OPTIONS = {sign: [(c, CharModel.of(c), COST_WILD if sign == "*" else COST_LOOKS) for c in letters] for sign, letters in LOOKS.items()}
+
+
 class Reach:
     """Which tokens a lattice could turn into a word with a known feature.
 
@@ -179,18 +191,25 @@ class Reach:
     nothing between them but repeats and such signs. All features are followed at once: a bit for each
     of their letters is set when the letters up to it are found. A token that ends without a full
     feature has none in any reading, and need not be decoded.
+
+    In a token (``token``) a word begins at its start or after a sign that is no letter, and ends at its
+    end or before such a sign; so features of beginnings and ends of words are looked for there alone. Where
+    no sign may part words, one word takes all letters. In a run of single signs words meet anywhere.
     """
 
     def __init__(self, known) -> None:
         self.masks: dict[str, int] = {}
         self.starts = self.ends = 0
+        self.inner = self.closed = 0  # where features begin that may begin inside a word, and end that end with it
         at = 0
-        for letters in sorted({f[1:] for f in known}):
+        for f in sorted(known):
             self.starts |= 1 << at
-            for c in letters:
+            self.inner |= 0 if f[0] != "$" else 1 << at
+            for c in f[1:]:
                 self.masks[c] = self.masks.get(c, 0) | 1 << at
                 at += 1
             self.ends |= 1 << at - 1
+            self.closed |= 0 if f[0] == "^" else 1 << at - 1
         for sign, letters in LOOKS.items():
             self.masks[sign] = 0
             for c in letters:
@@ -206,6 +225,47 @@ class Reach:
                 return True
         return False
 
+    def token(self, signs: str, breaks: bool = True) -> bool:
+        """Whether a token can spell a feature; without ``breaks`` in one word that takes all its letters."""
+        found, masks, starts, closed, open_, on = 0, self.masks, self.starts, self.closed, self.ends & ~self.closed, ~self.ends
+        start, after = starts, starts
+        for sign in signs:
+            mask = masks.get(sign, 0)
+            if sign.isalpha():
+                found = ((found & on) << 1 | start | found) & mask
+                start = self.inner
+                if not breaks:
+                    after = start
+            elif breaks and found & closed:
+                return True
+            else:
+                found |= ((found & on) << 1 | start) & mask
+                start = after
+            if found & open_:
+                return True
+        return bool(found & closed)
+
+
+class Spellings:
+    """Which words of letters could be restored to one with a known feature: only doubled letters are in doubt."""
+
+    def __init__(self, known) -> None:
+        self.whole = {REPEAT.sub(r"\1", f[1:]) for f in known if f[0] == "="}
+        self.heads = {REPEAT.sub(r"\1", f[1:]) for f in known if f[0] == "^"}
+        self.tails = {REPEAT.sub(r"\1", f[1:]) for f in known if f[0] == "$"}
+        self.sizes = [sorted({len(x) for x in xs}) for xs in (self.heads, self.tails)]
+        # the shortest piece that all of them hold is looked up first
+        self.least = [min(x, default=1) for x in self.sizes]
+        self.begun, self.ended = {x[: self.least[0]] for x in self.heads}, {x[-self.least[1] :] for x in self.tails}
+
+    def __call__(self, word: str) -> bool:
+        word = REPEAT.sub(r"\1", word)
+        return (
+            word in self.whole
+            or (word[: self.least[0]] in self.begun and any(word[:n] in self.heads for n in self.sizes[0]))
+            or (word[-self.least[1] :] in self.ended and any(word[-n:] in self.tails for n in self.sizes[1]))
+        )
+
 
 def _bare(token: str) -> str:
     """The token without marks before it, and without signs after it that a clean word may carry."""
@@ -249,12 +309,24 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) > n), *(f"${word[-n:]}" for n in (5, 6) if len(word) > n)]
 
 
+def letters_of(token: str) -> str | None:
+    """The letters of a lower-case token of letters between marks; only doubled ones are in doubt. None for other tokens."""
+    if token.isalpha():
+        return token
+    whole = token.strip(MARKS)
+    return whole if whole.isalpha() and whole == _bare(token) else None
+
+
 def plain_word(token: str) -> str | None:
     """The only word of a lower-case token of letters between marks; None where ``words_of`` may find others."""
-    whole = token.strip(MARKS)
-    if whole.isalpha() and not DOUBLE.search(whole) and (whole == token or whole == _bare(token)):
-        return whole
-    return None
+    word = letters_of(token)
+    return None if word is None or DOUBLE.search(word) else word
+
+
+def edges_of(known) -> tuple[frozenset, frozenset, frozenset]:
+    """How words with a feature among ``known`` begin, in five letters or in four, or end, in five."""
+    heads = [f[1:6] for f in known if f[0] != "$"]
+    return frozenset(heads), frozenset(f[1:] for f in known if f[0] == "^" and len(f) == 5), frozenset(f[-5:] for f in known if f[0] == "$")
 
 
 class Reader:
@@ -263,42 +335,72 @@ class Reader:
     def __init__(self, model: CharModel, known: dict | None) -> None:
         self.model, self.known, self.cache = model, known, {}
         self.reach = None if known is None else Reach(known)
+        self.spelt = Spellings(known or ())
         self.none: set[str] = set()  # tokens without a feature
         self.wanted = frozenset(known or ())
-        # how a word with a wanted feature begins or ends
-        self.heads = frozenset(f[1:5] for f in self.wanted if f[0] != "$")
-        self.tails = frozenset(f[-5:] for f in self.wanted if f[0] == "$")
+        self.heads, self.short, self.tails = edges_of(self.wanted)
 
     def token(self, token: str) -> tuple:
         got = self.cache.get(token)
         if got is None:
-            if len(self.cache) + len(self.none) > 300_000:
-                self.cache.clear()
-                self.none.clear()
-            if self.known is None:
-                fs = {f for w in words_of(token, self.model) for f in features(w)}
-            elif (word := plain_word(token)) is not None:
-                able = word[:4] in self.heads or word[-5:] in self.tails
-                fs = self.wanted.intersection(features(word)) if able else ()
-            elif self.reach is None or self.reach(token):
-                fs = self.wanted.intersection(f for w in words_of(token, self.model) for f in features(w))
-            else:  # not as it stands either: its own letters are a reading, too
-                fs = ()
-            got = tuple(fs)
+            self._bound()
+            got = self._features(token)
             if got:
                 self.cache[token] = got
             else:
                 self.none.add(token)
         return got
 
+    def _bound(self) -> None:
+        if len(self.cache) + len(self.none) > 300_000:
+            self.cache.clear()
+            self.none.clear()
+
+    def _able(self, tokens: set[str]) -> list[str]:
+        """The tokens that may have a wanted feature: all but words of letters whose ends tell that they have none."""
+        heads, short, tails, twice, spelt = self.heads, self.short, self.tails, DOUBLE.search, self.spelt
+        return [
+            t for t in tokens if not (w := t if t.isalpha() else letters_of(t))
+            or w[:5] in heads or w[-5:] in tails or w[:4] in short or twice(w) and spelt(w)
+        ]
+
+    def _reached(self, token: str) -> bool:
+        """Whether some reading of a token with other signs than marks around letters may have a wanted feature."""
+        if not self.reach(token):
+            return False
+        forms = {_bare(token), token.strip(MARKS)}
+        if any(len(BREAKS.findall(form)) > 1 for form in forms):
+            return self.reach.token(token)
+        parts = PARTS.findall(token)
+        return not all(p.isalpha() for p in parts) or bool(self._able(parts)) or any(self.reach.token(f, breaks=False) for f in forms)
+
+    def _features(self, token: str) -> tuple:
+        word = letters_of(token)
+        plain = word is not None and not DOUBLE.search(word)
+        if self.known is None:
+            return tuple({f for w in ([word] if plain else words_of(token, self.model)) for f in features(w)})
+        if plain:
+            return tuple(self.wanted.intersection(features(word))) if self._able([word]) else ()
+        # not as it stands either: its own letters are a reading, too
+        if self.reach is not None and not (self._reached(token) if word is None else self.spelt(word)):
+            return ()
+        return tuple(self.wanted.intersection(f for w in words_of(token, self.model) for f in features(w)))
+
     def text(self, text: str | None) -> set[str]:
         if not text:
             return set()
         low = text.lower()
-        tokens = set(low.split())
-        out = {f for t in tokens - self.none for f in self.token(t)}
+        tokens, out, cache = set(low.split()), set(), self.cache
+        new = tokens - self.none
+        if self.reach is not None:
+            able = self._able(new)
+            self._bound()
+            self.none |= new.difference(able)
+            new = able
+        for t in new:
+            out.update(cache.get(t) or self.token(t))
         # the second sign of a run is a token
-        for m in SPACED.finditer(low) if 1 in map(len, tokens) else ():
+        for m in SPACED.finditer(low) if 1 in map(len, tokens) and PAIR.search(low) else ():
             if self.reach is not None and not self.reach(m.group()):
                 continue
             out.update(
@@ -314,12 +416,13 @@ def corpus_model(docs: DataFrame, text_col: str = "text") -> CharModel:
     def count(it):
         total = np.zeros(LETTERS**3, np.int64)
         for batch in it:
-            for text in batch.column(0):
-                code = np.frombuffer((text.as_py() or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+            for _, texts in pieces(batch.column(0).to_pylist(), COUNTED):
+                # texts in a row, two boundaries before each and one after; trigrams that reach into the next text go
+                code = np.frombuffer("".join(f"\0\0{t or ''}\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
                 c = np.where(code < len(classes), classes[np.minimum(code, len(classes) - 1)], 27).astype(np.int32)
-                c = np.concatenate(([0, 0], c, [0])).astype(np.int32)
                 index = (c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:]
-                total += np.bincount(index, minlength=LETTERS**3)
+                last = np.cumsum([len(t or "") + 3 for t in texts])[:-1]
+                total += np.bincount(np.delete(index, np.concatenate((last - 2, last - 1))), minlength=LETTERS**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["gram", "n"])
 
@@ -431,15 +534,24 @@ class PlainReader:
 
     def __init__(self, known) -> None:
         self.known, self.cache = known, {}
+        self.heads, self.short, self.tails = edges_of(known)
+        self.none: set[str] = set()  # tokens without a feature
 
     def __call__(self, text: str | None) -> set[str]:
-        out = set()
-        for word in set(PARTS.findall((text or "").lower())):
-            got = self.cache.get(word)
+        out, heads, short, tails = set(), self.heads, self.short, self.tails
+        # no run of letters reaches over white space
+        new = set((text or "").lower().split()) - self.none
+        able = [
+            t for t in new if not (w := t if t.isalpha() else t.strip(MARKS)).isalpha() or w[:5] in heads or w[-5:] in tails or w[:4] in short
+        ]
+        if len(self.cache) + len(self.none) > 300_000:
+            self.cache.clear()
+            self.none.clear()
+        self.none |= new.difference(able)
+        for token in able:
+            got = self.cache.get(token)
             if got is None:
-                if len(self.cache) > 300_000:
-                    self.cache.clear()
-                got = self.cache[word] = tuple(f for f in features(word) if f in self.known)
+                got = self.cache[token] = tuple({f for w in PARTS.findall(token) for f in features(w) if f in self.known})
             out.update(got)
         return out
 

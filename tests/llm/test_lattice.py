@@ -109,3 +109,32 @@ def test_scores_are_those_of_the_full_decode(spark):
     assert [model.score(reader.text(t)) for t in texts] == [model.score(full.text(t)) for t in texts]
     tokens = {t for text in texts for t in text.lower().split()}
     assert sum(map(reader.reach, tokens)) < 0.1 * len(tokens)
+
+
+def test_short_features_do_not_open_every_token(chars, monkeypatch):
+    """Features of one or two letters are looked for at the ends of words alone."""
+    model = chars.knowing({w: 5 for w in WORDS})
+    known = dict.fromkeys(["=l", "=s", "=ol", "^idio", "$tupid", "=moron", "^aabb"], 1.0)
+    reader, full, read = tx.Reader(model, known), tx.Reader(model, known), []
+    full.reach = None
+    whole = tx.words_of
+    monkeypatch.setattr(tx, "words_of", lambda token, model: read.append(token) or whole(token, model))
+    idle = ["letter", "banana$$$", "well-known", "hello!!", "(266)", "small,", "seven***", "pool", "aidiot", "xmoron"]
+    assert not any(reader.token(t) for t in idle) and read == []
+    tokens = [*idle, "ll", "l", "s.", "$", "5", "$$$", "ooll", "ool", "mmoroon", "m0ron!!", "sttupid", "st-upid!", "iddiot", "a-l-b", "x.s", "aaabbc", "aabbcd", "xstupidd", "aab"]
+    for token in tokens:
+        assert set(reader.token(token)) == set(full.token(token)), token
+    assert {"=l"} == set(reader.token("ll")) and set(reader.token("sttupid")) == {"$tupid"}
+
+
+def test_trigrams_of_texts_in_a_row(spark, monkeypatch):
+    """Texts counted together give the trigrams of each text alone."""
+    monkeypatch.setattr(tx, "COUNTED", 12)
+    rows = ["", None, "a", "Bé 東x", "no\0yes", "x" * 40, "ab", "\0", "two  words."]
+    got = tx.corpus_model(spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1))
+    counts, classes = np.zeros((tx.LETTERS,) * 3), tx._classes()
+    for t in rows:
+        c = [0, 0, *(int(classes[ord(x)]) if ord(x) < len(classes) else 27 for x in t or ""), 0]
+        for a, b, d in zip(c, c[1:], c[2:], strict=False):
+            counts[a, b, d] += 1
+    assert got.log == tx.CharModel(counts.ravel()).log
