@@ -653,3 +653,26 @@ def test_batches_are_merged_by_part_and_retried_whole(spark, tmp_path):
     assert state() == first
     ingest.merge_batch(second, table, 1)
     assert state() == want
+
+
+def test_ingest_leaves_no_second_copy_and_no_shuffle_files(spark, tmp_path, monkeypatch):
+    from pitpanel import session
+    from pitpanel.streaming import ingest
+
+    stored, shuffle = [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    monkeypatch.setattr(session, "store", lambda df, name="stage": stored.append(name) or df)
+    monkeypatch.setattr(ingest, "store", session.store, raising=False)
+    names, table, before = contracts.PRICES.fieldNames(), str(tmp_path / "table"), spark.conf.get(shuffle)
+    day = dt.date(2020, 1, 2)
+    for k in range(2):
+        # the same keys again, and every bucket: parts of all steps are written into one batch
+        rows = [{**dict.fromkeys(names), "ticker": f"t{i}", "date": day, "close": float(k), "raw_checksum": "x"} for i in range(40 + k)]
+        ingest.merge_batch(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], contracts.PRICES), table, k)
+        got = ingest.ingested(spark, table).collect()
+        assert sorted((r.ticker, r.close) for r in got) == sorted((f"t{i}", float(k)) for i in range(40 + k))
+    assert len({p.parent.name for p in (tmp_path / "table/data/batch=1").glob("bucket=*/year=*")}) > ingest.SLICES
+    assert stored == [] and spark.conf.get(shuffle) == before
+    assert all(".zstd." in p.name for p in (tmp_path / "table/data").rglob("*.parquet"))
+    # an empty batch changes nothing
+    ingest.merge_batch(spark.createDataFrame([], contracts.PRICES), table, 2)
+    assert ingest.ingested(spark, table).count() == 41
